@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, packing, simhash
+from . import chat, packing, pii, simhash
 from .common import read
 
 
@@ -14,6 +14,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op3_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -44,7 +48,7 @@ FROM e GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op4_simhash_anchors, op8_chat_format)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op3_pii_skip_chain, op4_simhash_anchors, op8_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
