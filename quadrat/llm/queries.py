@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, packing, pii, simhash
+from . import chat, packing, pii, simhash, toxicity
 from .common import read
 
 
@@ -29,6 +29,11 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chat(chat.text_parts(turns)))
 
 
+def op10_toxicity_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return toxicity.score(docs, toxicity.trained(docs, read(spark, sf_dir, "labels", "doc_id", "toxic")))
+
+
 CHAT_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -48,7 +53,7 @@ FROM e GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_pii_skip_chain, op4_simhash_anchors, op8_chat_format)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op3_pii_skip_chain, op4_simhash_anchors, op8_chat_format, op10_toxicity_zstd)}
 
 
 def oracle_sql() -> dict[str, str]:
