@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, packing, pii, simhash, toxicity
+from . import chat, packing, pii, simhash, topk, toxicity
 from .common import read
 
 
@@ -22,6 +22,11 @@ def op4_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = topk.quantised(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    return topk.top_k(rows, rows.filter("vec_id % 20 = 0"), 20)
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.range(2).selectExpr("-1L AS conv_id", "id AS turn", "if(id = 0, 'user', 'assistant') AS role", f"'{said}' AS text")
@@ -52,9 +57,23 @@ FROM e GROUP BY conv_id
 """
 
 
+TOPK_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS w FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.w, c.w) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 20
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_pii_skip_chain, op4_simhash_anchors, op8_chat_format, op10_toxicity_zstd)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op3_pii_skip_chain, op4_simhash_anchors, op7_exact_topk, op8_chat_format, op10_toxicity_zstd)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_format": CHAT_SQL}
+    return {"op7_exact_topk": TOPK_SQL, "op8_chat_format": CHAT_SQL}
