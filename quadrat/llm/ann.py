@@ -158,17 +158,21 @@ def _descend(lists: DataFrame, nodes: DataFrame, dims: int, width: int, reverse:
     return _merged(old.unionByName(met.mapInArrow(join, LIST)), width)
 
 
-def graph(nodes: DataFrame, dims: int, width: int = 32, trees: int = 8, leaf: int = 2048, rounds: int = 2, reverse: int = 16, learn: int = 4) -> DataFrame:
-    """The neighbour graph of `node, body` as packed lists.  nodes must be a checkpoint."""
+def graph(nodes: DataFrame, dims: int, width: int = 40, trees: int = 12, leaf: int = 2048, rounds: int | None = None, reverse: int = 16, learn: int = 4) -> DataFrame:
+    """The neighbour graph of `node, body` as packed lists.  nodes must be a checkpoint.
+
+    Twice the nodes halve the chance that two near ones share a leaf, so the rounds grow with the
+    logarithm of the number of leaves unless they are given.
+    """
     n = nodes.count()
     bits = max(0, math.ceil(math.log2(max(n, 1) / leaf))) if n > leaf else 0
     lists = cut(_merged(_leaves(nodes, dims, trees if bits else 1, bits, leaf, width), width))
-    for turn in range(rounds if bits else 0):
+    for turn in range((rounds or max(2, bits // 2)) if bits else 0):
         lists = cut(_descend(lists, nodes, dims, width, reverse, learn, turn))
     return lists
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, width: int = 32, beam: int = 24, ahead: int = 8, hops: int = 4, **how) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 5, width: int = 40, beam: int = 128, ahead: int = 32, hops: int = 8, **how) -> DataFrame:
     """`query_id, rank, vec_id, score`: the k nearest found of each query by cosine, its own row
     left out, nearest first, ties to the smaller vec_id.
 
