@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, lm, packing, pii, simhash, topk, toxicity
+from . import ann, chat, lines, lm, packing, pii, simhash, topk, toxicity
 from .common import read
 
 
@@ -44,6 +44,10 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chat(chat.text_parts(turns)))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dropped(read(spark, sf_dir, "documents", "doc_id", "text")).drop("text_hash")
+
+
 def op10_toxicity_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     return toxicity.score(docs, toxicity.trained(docs, read(spark, sf_dir, "labels", "doc_id", "toxic")))
@@ -82,7 +86,7 @@ FROM s QUALIFY rank <= 20
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_nn_descent, op3_pii_skip_chain, op4_simhash_anchors, op6_masked_lm, op7_exact_topk, op8_chat_format, op10_toxicity_zstd)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_nn_descent, op3_pii_skip_chain, op4_simhash_anchors, op6_masked_lm, op7_exact_topk, op8_chat_format, op9_line_dedup, op10_toxicity_zstd)}
 
 
 def oracle_sql() -> dict[str, str]:
