@@ -14,18 +14,23 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir, made known to Spark.
 
-    The folder is the one the cluster names in spark.checkpoint.dir.  Only where that is unset
-    (tests, a laptop) is a temporary folder used, and never on a cluster master.
+    Only where that is unset (tests, a laptop) is a temporary folder used, never on a cluster.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
         if named is None and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quadrat-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder and read it from there, which ends its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
