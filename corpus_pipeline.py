@@ -1,0 +1,65 @@
+"""The corpus pipeline: five of the training-data operators, one after the other.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
+again as the next stage's docs.  All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quadrat.llm import lines, packing, pii, simhash, toxicity
+from quadrat.llm.common import read, shared_folder
+
+
+def clean_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text scores under the threshold; learnt on docs and the table of labels."""
+    model = toxicity.trained(docs, read(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return toxicity.keep_clean(docs, model)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that an earlier line equals or nearly equals."""
+    return lines.dedup(docs)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near duplicates.  Texts that line dedup has emptied say
+    nothing any more and are one such group."""
+    return simhash.keep_one(docs)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind."""
+    return pii.mask(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document goes in the packed sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", clean_toxicity),
+    ("line_dedup", dedup_lines),
+    ("simhash_dedup", dedup_documents),
+    ("pii", mask_personal_data),
+    ("packing", pack_sequences),
+]
+
+#: The stages have trained models and tokenizers in them, which SQL can't express.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what is between them goes to the shared checkpoint folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return out
+        out.write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
