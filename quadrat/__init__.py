@@ -1,0 +1 @@
+"""Spark-native analytics for georeferenced, dated, multi-valued observation records."""
