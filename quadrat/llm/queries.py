@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, lines, lm, packing, pii, simhash, topk, toxicity
+from . import ann, chat, lines, lm, packing, pieces, pii, simhash, topk, toxicity
 from .common import read
 
 
@@ -27,6 +27,10 @@ def op4_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op5_gumbel_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.sample(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     return lm.score(docs, lm.fit(docs))
@@ -86,7 +90,7 @@ FROM s QUALIFY rank <= 20
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_nn_descent, op3_pii_skip_chain, op4_simhash_anchors, op6_masked_lm, op7_exact_topk, op8_chat_format, op9_line_dedup, op10_toxicity_zstd)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_nn_descent, op3_pii_skip_chain, op4_simhash_anchors, op5_gumbel_pieces, op6_masked_lm, op7_exact_topk, op8_chat_format, op9_line_dedup, op10_toxicity_zstd)}
 
 
 def oracle_sql() -> dict[str, str]:
