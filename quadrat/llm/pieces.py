@@ -34,7 +34,7 @@ ALPHA, SAMPLES = 0.25, 2
 BYTES_AT_ONCE = 1 << 21
 WORD = re.compile("▁*[^▁]+|▁+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
-SAMPLE = "doc_id long, sample int, n_pieces long, ids_crc32 long, logprob double, perturbed double, inclusion double, round_trip boolean"
+SAMPLE = "doc_id long, sample int, n_pieces long, ids_crc32 long, logprob double, perturbed double, log_inclusion double, round_trip boolean"
 
 
 def model_path(name: str = "piece_bpe_32k") -> str:
@@ -191,7 +191,7 @@ def _log_rest(logp):
 
 
 def sampled(vocabulary: Pieces, texts: list[str | None], keys: list[int], k: int = SAMPLES) -> list[list[tuple]]:
-    """For each text up to k (codes, logprob, perturbed, inclusion), the largest perturbed first."""
+    """For each text up to k (codes, logprob, perturbed, log inclusion), the largest perturbed first."""
     each = [vocabulary.words(t) for t in texts]
     index: dict[str, int] = {}
     word = np.array([index.setdefault(w, len(index)) for ws in each for w in ws], np.int64)
@@ -254,10 +254,15 @@ def sampled(vocabulary: Pieces, texts: list[str | None], keys: list[int], k: int
     found = []
     for d, rows in enumerate(out):
         limit = max((float(v.max()) for v in queue[d] if len(v)), default=-np.inf)
-        found.append([(codes, lp, g, 1.0 if limit == -np.inf else float(-np.expm1(-np.exp(min(lp - limit, 50.0))))) for codes, lp, g in rows])
+        found.append([(codes, lp, g, _log_inclusion(lp - limit)) for codes, lp, g in rows])
     return found
 
 
+def _log_inclusion(x: float) -> float:
+    """log(1 - exp(-exp(x))), which is x itself where it is very small."""
+    return x if x < -30 else float(np.log(-np.expm1(-np.exp(min(x, 50.0)))))
+
+
 def fresh_seed(key: int, turn: int) -> int:
     return (key ^ turn * 0x9FB21C651E98DF25) & 0xFFFFFFFFFFFFFFFF
 
@@ -268,11 +273,11 @@ def row_key(doc_id: int | None, seed: int = 0) -> int:
 
 def sample(docs: DataFrame, k: int = SAMPLES, path: str | None = None, alpha: float = ALPHA, seed: int = 0, with_ids: bool = False) -> DataFrame:
     """Up to k distinct segmentations per row of `doc_id, text`, largest perturbed score first:
-    `doc_id, sample (from 1), n_pieces, ids_crc32, logprob, perturbed, inclusion, round_trip`, and the
+    `doc_id, sample (from 1), n_pieces, ids_crc32, logprob, perturbed, log_inclusion, round_trip`, and the
     ids (int32, little-endian) on request.
 
-    logprob is of the segmentation among all of the text, inclusion the probability that it is among
-    the k given the threshold, round_trip whether decoding gives the text back (the model turns the
+    logprob is of the segmentation among all of the text, log_inclusion the logarithm of the
+    probability that it is among the k given the threshold (which a long text's can't be told from 0), round_trip whether decoding gives the text back (the model turns the
     word mark into a blank).  A text has fewer rows than k if it has fewer segmentations; a null or
     empty text has one, without pieces.  Rows are seeded by doc_id, so repeated rows get equal samples.
     Other columns are ignored; an empty table gives an empty one.
