@@ -18,20 +18,22 @@ variants to emit.  Words travel as 32-bit hashes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 
 def _text() -> Column:
     return F.replace(F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit("\r"), F.lit(" ")), F.lit("\t"), F.lit(" "))
 
 
 def lines(docs: DataFrame, least: int = 3) -> DataFrame:
-    """`h` (hash of the words), `check` (a second one), `o` (place in order), `a` (word hashes) of
-    the lines that have at least `least` words.  `o` is (no doc_id, doc_id, text's hash, line)."""
+    """`h` (hash of the words), `check` (a second one), `o` (place in order), `w` (words) of the
+    lines that have at least `least` words.  `o` is (no doc_id, doc_id, text's hash, line)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.posexplode(F.split(_text(), "\n")).alias("line", "said"))
-    words = rows.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "line").alias("o"), F.filter(F.split("said", " "), lambda w: w != "").alias("w"))
-    return words.filter(F.size("w") >= least).select(F.xxhash64("w").alias("h"), F.xxhash64(F.lit(1), "w").alias("check"), "o", F.transform("w", lambda w: F.hash(w)).alias("a"))
+    words = rows.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "line").alias("o"), F.array_remove(F.split("said", " "), "").alias("w"))
+    return words.filter(F.size("w") >= least).select(F.xxhash64("w").alias("h"), F.xxhash64(F.lit(1), "w").alias("check"), "o", "w")
 
 
 def _halves(n: str) -> list[Column]:
@@ -39,15 +41,24 @@ def _halves(n: str) -> list[Column]:
     return [F.expr(f"xxhash64('a', {n}, slice(a, 1, ({n}) div 2))"), F.expr(f"xxhash64('b', {n}, slice(a, size(a) - ({n}) + ({n}) div 2 + 1, size(a)))")]
 
 
-def partners(docs: DataFrame, least: int = 3, near: int = 5) -> DataFrame:
-    """`h, check, o, n` of every different line, with `first` (its near partner's place and words'
-    hash) if an earlier line is near it."""
-    each = lines(docs, least).groupBy("h").agg(F.min(F.struct("o", "check", "a")).alias("f"), F.count("*").alias("n")).select("h", "f.o", "f.check", "f.a", "n")
-    long = each.filter(F.size("a") >= near)
+def firsts(docs: DataFrame, least: int = 3) -> DataFrame:
+    """`h, f` of every different line: f is the place, second hash and word hashes of the earliest.
+
+    All that is asked of different lines is asked of this one frame, with all its columns, so that
+    the planner finds the same exchange and words are shuffled once.
+    """
+    each = lines(docs, least).select("h", F.struct("o", "check", F.transform("w", lambda w: F.hash(w)).alias("a")).alias("f"))
+    return each.groupBy("h").agg(F.min("f").alias("f"))
+
+
+def near_lines(first: DataFrame, near: int = 5) -> DataFrame:
+    """`h, first` of the lines that have a near one before them: first is that one's place."""
+    long = first.filter(F.size("f.a") >= near).select("h", F.col("f.o").alias("o"), F.col("f.a").alias("a"))
     # a line is met under its own middle and under that of a line with one word less
-    keys = long.select("h", F.explode(F.array(*_halves("size(a)"), *_halves("size(a) - 1"))).alias("key")).distinct()
-    shared = keys.withColumn("k", F.count("*").over(Window.partitionBy("key"))).filter("k > 1").select("h").distinct()
-    some = long.join(shared, "h", "left_semi").select("h", "o", "a")
+    keys = long.select("h", F.explode(F.array(*_halves("size(a)"), *_halves("size(a) - 1"))).alias("key"))
+    shared = keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("key")
+    met = keys.join(shared, "key", "left_semi").select("h").distinct()
+    some = cut(long.join(met, "h", "left_semi"))
     variants = some.select(
         "h", "o",
         F.explode(F.expr("transform(sequence(0, size(a)), i -> named_struct('i', i, 'key', if(i = 0, xxhash64(a), xxhash64(concat(slice(a, 1, i - 1), slice(a, i + 1, size(a)))))))")).alias("v"),
@@ -60,8 +71,7 @@ def partners(docs: DataFrame, least: int = 3, near: int = 5) -> DataFrame:
     mine = found.join(some.select("h", "a"), "h")
     theirs = some.select(F.col("h").alias("ph"), F.col("a").alias("b"))
     without = lambda a, i: f"if({i} = 0, {a}, concat(slice({a}, 1, greatest({i} - 1, 0)), slice({a}, {i} + 1, size({a}))))"
-    true = mine.join(theirs, F.col("p.h") == F.col("ph")).filter(F.expr(f"{without('a', 'p.i')} = {without('b', 'p.j')}")).select("h", F.col("p.o").alias("first"))
-    return each.select("h", "check", "o", "n").join(true, "h", "left")
+    return mine.join(theirs, F.col("p.h") == F.col("ph")).filter(F.expr(f"{without('a', 'p.i')} = {without('b', 'p.j')}")).select("h", F.col("p.o").alias("first"))
 
 
 def dropped(docs: DataFrame, least: int = 3, near: int = 5) -> DataFrame:
@@ -72,10 +82,13 @@ def dropped(docs: DataFrame, least: int = 3, near: int = 5) -> DataFrame:
     doc_id and text are one document.  Other columns are ignored.  An empty table gives an empty
     result.
     """
-    known = partners(docs, least, near).filter("n > 1 or first is not null").select("h", F.col("check").alias("check0"), F.col("o").alias("o0"), "first")
-    met = lines(docs, least).select("h", "check", "o").join(known, "h").filter("check = check0 and (first is not null or o > o0)")
-    first = F.when(F.col("first").isNotNull(), F.least("first", "o0")).otherwise(F.col("o0"))
-    out = met.select("o.doc_id", F.col("o.th").alias("text_hash"), "o.line", F.when(F.col("o") == F.col("o0"), "near").otherwise("exact").alias("reason"), first.alias("f"))
+    first = firsts(docs, least)
+    close = cut(near_lines(first, near))
+    each = lines(docs, least).select("h", "check", "o")
+    known = each.groupBy("h").agg(F.min(F.struct("o", "check")).alias("f"), F.count("*").alias("n")).join(close, "h", "left").filter("n > 1 or first is not null")
+    met = each.join(known.select("h", F.col("f.check").alias("check0"), F.col("f.o").alias("o0"), "first"), "h").filter("check = check0 and (first is not null or o > o0)")
+    source = F.when(F.col("first").isNotNull(), F.least("first", "o0")).otherwise(F.col("o0"))
+    out = met.select("o.doc_id", F.col("o.th").alias("text_hash"), "o.line", F.when(F.col("o") == F.col("o0"), "near").otherwise("exact").alias("reason"), source.alias("f"))
     return out.select("doc_id", "text_hash", "line", "reason", F.col("f.doc_id").alias("first_doc_id"), F.col("f.line").alias("first_line")).distinct()
 
 
