@@ -29,11 +29,13 @@ def _text() -> Column:
 
 
 def lines(docs: DataFrame, least: int = 3) -> DataFrame:
-    """`h` (hash of the words), `check` (a second one), `o` (place in order), `w` (words) of the
-    lines that have at least `least` words.  `o` is (no doc_id, doc_id, text's hash, line)."""
+    """`h` and `check` (hashes), `o` (place in order), `s` (words with single blanks) of the lines that
+    have at least `least` words.  `o` is (no doc_id, doc_id, text's hash, line)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.posexplode(F.split(_text(), "\n")).alias("line", "said"))
-    words = rows.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "line").alias("o"), F.array_remove(F.split("said", " "), "").alias("w"))
-    return words.filter(F.size("w") >= least).select(F.xxhash64("w").alias("h"), F.xxhash64(F.lit(1), "w").alias("check"), "o", "w")
+    one = F.trim(F.when(F.instr("said", "  ") > 0, F.regexp_replace("said", " +", " ")).otherwise(F.col("said")))
+    rows = rows.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "line").alias("o"), one.alias("s"))
+    blanks = F.octet_length("s") - F.octet_length(F.replace(F.col("s"), F.lit(" "), F.lit("")))
+    return rows.filter((F.col("s") != "") & (blanks + 1 >= least)).select(F.xxhash64("s").alias("h"), F.xxhash64(F.lit(1), "s").alias("check"), "o", "s")
 
 
 def _halves(n: str) -> list[Column]:
@@ -47,7 +49,7 @@ def firsts(docs: DataFrame, least: int = 3) -> DataFrame:
     All that is asked of different lines is asked of this one frame, with all its columns, so that
     the planner finds the same exchange and words are shuffled once.
     """
-    each = lines(docs, least).select("h", F.struct("o", "check", F.transform("w", lambda w: F.hash(w)).alias("a")).alias("f"))
+    each = lines(docs, least).select("h", F.struct("o", "check", F.transform(F.split("s", " "), lambda w: F.hash(w)).alias("a")).alias("f"))
     return each.groupBy("h").agg(F.min("f").alias("f"))
 
 
@@ -59,14 +61,15 @@ def near_lines(first: DataFrame, near: int = 5) -> DataFrame:
     shared = keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("key")
     met = keys.join(shared, "key", "left_semi").select("h").distinct()
     some = cut(long.join(met, "h", "left_semi"))
-    variants = some.select(
-        "h", "o",
-        F.explode(F.expr("transform(sequence(0, size(a)), i -> named_struct('i', i, 'key', if(i = 0, xxhash64(a), xxhash64(concat(slice(a, 1, i - 1), slice(a, i + 1, size(a)))))))")).alias("v"),
-    ).select("h", "o", "v.i", "v.key")
-    alike = variants.groupBy("key", "i").agg(F.min(F.struct("o", "h", "i")).alias("same"), F.count("*").alias("m"))
-    by_key = alike.groupBy("key").agg(F.min(F.when(F.col("i") == 0, F.col("same"))).alias("whole"), F.min(F.when(F.col("i") > 0, F.col("same"))).alias("part"), F.sum("m").alias("all"))
-    # a key that only one line has says nothing
-    best = alike.join(by_key.filter("all > 1"), "key").select("key", "i", F.when(F.col("i") == 0, F.col("part")).otherwise(F.least("whole", "same")).alias("p")).filter("p is not null")
+    every = some.select(
+        "h", F.explode(F.expr("transform(sequence(0, size(a)), i -> named_struct('i', i, 'key', if(i = 0, xxhash64(a), xxhash64(concat(slice(a, 1, i - 1), slice(a, i + 1, size(a)))))))")).alias("v"),
+    ).select("h", "v.i", "v.key")
+    # most variants are of one line only and go before they carry anything
+    common = every.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("key")
+    variants = every.join(common, "key", "left_semi").join(some.select("h", "o"), "h")
+    alike = variants.groupBy("key", "i").agg(F.min(F.struct("o", "h", "i")).alias("same"))
+    by_key = alike.groupBy("key").agg(F.min(F.when(F.col("i") == 0, F.col("same"))).alias("whole"), F.min(F.when(F.col("i") > 0, F.col("same"))).alias("part"))
+    best = alike.join(by_key, "key").select("key", "i", F.when(F.col("i") == 0, F.col("part")).otherwise(F.least("whole", "same")).alias("p")).filter("p is not null")
     found = variants.join(best, ["key", "i"]).filter("p.o < o").groupBy("h").agg(F.min(F.struct("p.o", "p.h", F.col("p.i").alias("j"), "i")).alias("p"))
     mine = found.join(some.select("h", "a"), "h")
     theirs = some.select(F.col("h").alias("ph"), F.col("a").alias("b"))
