@@ -53,6 +53,9 @@ class Pieces:
         self.size = len(sp)
         self.byte = np.array([next((i for i in range(len(sp)) if sp.is_byte(i) and sp.id_to_piece(i) == f"<0x{b:02X}>"), sp.unk_id()) for b in range(256)])
         self.surface = [bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) or sp.is_unknown(i) else sp.id_to_piece(i).replace("▁", " ").encode() for i in range(len(sp))]
+        self.told = np.frombuffer(b"".join(self.surface), np.uint8)
+        self.tells = np.array([len(x) for x in self.surface])
+        self.told_at = np.cumsum(self.tells) - self.tells
         usable = [i for i in range(len(sp)) if self.surface[i] and not sp.is_byte(i) and not sp.is_unused(i) and (len(sp.id_to_piece(i)) == 1 or sp.get_score(i) > -1e8)]
         usable.sort(key=lambda i: (-sp.get_score(i), i))
         self.weight = np.zeros(len(sp))
@@ -75,11 +78,27 @@ class Pieces:
         """Ids with the bytes of characters that are no pieces written out."""
         if not len(codes) or codes.max() < self.size:
             return codes
-        return np.concatenate([[c] if c < self.size else self.byte[list(chr(c - self.size).encode("utf-8", "surrogatepass"))] for c in codes.tolist()])
+        bare = codes >= self.size
+        size = np.ones(len(codes), np.int64)
+        chars, which = np.unique(codes[bare] - self.size, return_inverse=True)
+        spelt = [self.byte[list(chr(c).encode("utf-8", "surrogatepass"))] for c in chars.tolist()]
+        size[bare] = np.array([len(x) for x in spelt])[which]
+        at = np.cumsum(size) - size
+        out = np.empty(int(size.sum()), np.int64)
+        out[at[~bare]] = codes[~bare]
+        for k, ids in enumerate(spelt):
+            for j, i in enumerate(ids.tolist()):
+                out[at[bare][which == k] + j] = i
+        return out
+
+    def decoded(self, ids: np.ndarray) -> bytes:
+        """The UTF-8 bytes that the pieces stand for, without the blank before the first word."""
+        size = self.tells[ids]
+        text = self.told[np.repeat(self.told_at[ids] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))].tobytes()
+        return text[1:] if text.startswith(b" ") else text
 
     def decode(self, ids: np.ndarray) -> str:
-        text = b"".join(map(self.surface.__getitem__, ids.tolist())).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+        return self.decoded(ids).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -126,10 +145,11 @@ class Lattices:
                 k = min(width, n - i)
                 to = logp[:, i, :k] + rest[:, i + 1 : i + 1 + k]
                 top = to.max(axis=1)
-                rest[:, i] = top + np.log(np.exp(to - top[:, None]).sum(axis=1))
+                total = np.cumsum(np.exp(to - top[:, None]), axis=1)
+                whole = total[:, -1:]
+                rest[:, i] = top + np.log(whole[:, 0])
                 logp[:, i, :k] = to - rest[:, i, None]
-                total = np.cumsum(np.exp(logp[:, i, :k]), axis=1)
-                cdf[:, i, :k] = np.where(total >= total[:, -1:] - 1e-12, 2, total)
+                cdf[:, i, :k] = np.where(total >= whole * (1 - 1e-12), 2, total / whole)
             start += n * many
 
     def sample(self, word: np.ndarray, seed: np.ndarray):
@@ -293,7 +313,7 @@ def sample(docs: DataFrame, k: int = SAMPLES, path: str | None = None, alpha: fl
                 for j, (codes, logprob, perturbed, inclusion) in enumerate(some, 1):
                     found = vocabulary.ids(codes)
                     packed = found.astype("<u4").tobytes()
-                    rows.append((doc, j, len(found), zlib.crc32(packed), logprob, perturbed, inclusion, vocabulary.decode(found) == (text or ""), packed))
+                    rows.append((doc, j, len(found), zlib.crc32(packed), logprob, perturbed, inclusion, vocabulary.decoded(found) == (text or "").encode("utf-8", "surrogatepass"), packed))
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.binary()][: 8 + with_ids]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in columns.split(", ")])
 
