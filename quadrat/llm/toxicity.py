@@ -28,6 +28,8 @@ from .common import chunks
 
 SAMPLE = {0: 6000, 1: 3000}
 THRESHOLD = 0.3
+#: Share of the toxic texts that must have a word for it to be in the dictionary; rarer ones are mostly chance.
+COMMON = 0.015
 LEVEL = 13
 ORDINARY_BYTES, TOXIC_BYTES = 32_000, 2_000
 HEAD, TAIL = bytes(range(128, 192)), bytes(range(192, 208))
@@ -115,7 +117,7 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
     if not toxic or not ordinary:
         return Model(b"", b"")
     said, plain = (Counter(w for text in some for w in set(text)) for some in (toxic, ordinary))
-    least, lift = max(3, len(toxic) // 500), 20 * len(toxic) / len(ordinary)
+    least, lift = max(3, COMMON * len(toxic)), 20 * len(toxic) / len(ordinary)
     marked = {w for w, n in said.items() if n >= least and n > lift * (plain[w] + 0.5)}
     kept = [b" " + b" ".join(w for w in text if w in marked) + b" " for text in toxic]
     kept = [k for k in kept if len(k) > 3]
