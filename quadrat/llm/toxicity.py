@@ -112,7 +112,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 50
 
 def fit(texts: list[str | None], labels: list[int]) -> Model:
     """Dictionaries and weights of labelled texts.  Without both labels every score is 0."""
-    each = [words(t) for t in texts]
+    pool: dict[bytes, bytes] = {}  # equal words are one object
+    each = [[pool.setdefault(w, w) for w in words(t)] for t in texts]
     toxic, ordinary = ([w for w, y in zip(each, labels) if y == k] for k in (1, 0))
     if not toxic or not ordinary:
         return Model(b"", b"")
