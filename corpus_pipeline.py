@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrat.llm import lines, packing, pii, simhash, toxicity
+from quadrat.llm import lines, near, packing, pii, toxicity
 from quadrat.llm.common import read, shared_folder
 
 
@@ -26,9 +26,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates.  Texts that line dedup has emptied say
-    nothing any more and are one such group."""
-    return simhash.keep_one(docs)
+    """The first document of each group of near duplicates: five-word shingles, similarity 0.8.  Texts
+    that line dedup has emptied say nothing any more and are one such group."""
+    return near.keep_one(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
