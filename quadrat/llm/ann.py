@@ -2,7 +2,8 @@
 
 Equal vectors are one node, so a vector that a third of all rows share has one place in the graph.
 The graph starts from random-projection leaves: in each of `trees` partitions by the signs of random
-projections, a node takes its nearest of its leaf.  Leaves are salted to a bounded size.  Then
+projections, a node takes its nearest of its leaf.  Crowded leaves are split around their own mean,
+and what no projection splits is salted, by tree, to a bounded size.  Then
 NN-descent joins: every node's list and a sample of the nodes that list it meet at that node, and
 those of its members that are nearer than what they have learn of each other.  Only pairs with an
 entry that is new since the last round are compared.  Vectors travel as bytes with a scale; only
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import cut
 from .topk import finite
 
+#: More than any number of trees; a leaf's number has its tree as the remainder.
+TREES = 64
 LIST = "node long, ids binary, sims binary, new binary"
 
 
@@ -41,7 +44,9 @@ def _dot(a: str, b: str) -> Column:
 def _unpack(bodies: list[bytes], dims: int) -> np.ndarray:
     raw = np.frombuffer(b"".join(bodies), np.uint8).reshape(len(bodies), dims + 4)
     scale = np.ascontiguousarray(raw[:, dims:]).view("<f4")
-    return raw[:, :dims].view(np.int8).astype(np.float32) * scale
+    v = raw[:, :dims].view(np.int8).astype(np.float32) * scale
+    # the rounding of lengths would drown the differences within a tight cluster
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
 def _lists(node, other, sim, new, width: int):
@@ -59,6 +64,36 @@ def _lists(node, other, sim, new, width: int):
     return pa.RecordBatch.from_arrays([pa.array(node[starts], pa.int64()), *(pa.array(c, pa.binary()) for c in cols)], names=["node", "ids", "sims", "new"])
 
 
+def _split(coded: DataFrame, dims: int, leaf: int, passes: int = 4, most: int = 10) -> DataFrame:
+    """Leaves of more than `leaf` nodes, as tight clusters have them in every tree, split by random
+    projections of their tree around the leaf's own mean.  What is still crowded is salted later."""
+
+    def project(batches, turn):
+        for batch in batches:
+            leaves, v = batch.column(0).to_numpy(), _unpack(batch.column(2).to_pylist(), dims)
+            out = np.zeros((len(v), most), np.float32)
+            for t in np.unique(leaves % TREES):
+                at = leaves % TREES == t
+                out[at] = v[at] @ np.random.default_rng([19, turn, int(t)]).standard_normal((dims, most)).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(out), pa.list_(pa.float32()))], names=["leaf", "node", "body", "p"])
+
+    done = None
+    for turn in range(passes):
+        sizes = cut(coded.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > leaf))
+        if sizes.isEmpty():
+            break
+        small = coded.join(sizes, "leaf", "left_anti")
+        done = small if done is None else done.unionByName(small)
+        crowded = coded.join(sizes.select("leaf"), "leaf", "left_semi").select("leaf", "node", "body")
+        cast = cut(crowded.mapInArrow(lambda batches, turn=turn: project(batches, turn), "leaf long, node long, body binary, p array<float>"))
+        means = cast.groupBy("leaf").agg(F.array(*(F.avg(F.col("p")[k]) for k in range(most))).alias("m")).join(sizes, "leaf")
+        means = means.select("leaf", "m", F.least(F.lit(most), F.ceil(F.log2(F.col("n") / leaf))).cast("int").alias("depth"))
+        sides = F.concat(*(F.when((F.col("depth") > k) & (F.col("p")[k] > F.col("m")[k]), "1").otherwise("0") for k in range(most)))
+        # a leaf's number keeps its tree as the remainder
+        coded = cut(cast.join(means, "leaf").select((F.shiftright(F.xxhash64("leaf", sides), 16) * TREES + F.pmod("leaf", F.lit(TREES))).alias("leaf"), "node", "body"))
+    return coded if done is None else done.unionByName(coded)
+
+
 def _leaves(nodes: DataFrame, dims: int, trees: int, bits: int, leaf: int, width: int) -> DataFrame:
     """First lists, from random-projection leaves."""
 
@@ -68,11 +103,11 @@ def _leaves(nodes: DataFrame, dims: int, trees: int, bits: int, leaf: int, width
             v = _unpack(batch.column(1).to_pylist(), dims)
             for t in range(trees):
                 codes = ((v @ planes[t]) > 0) @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros(len(v), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(codes * trees + t), batch.column(0), batch.column(1)], names=["leaf", "node", "body"])
+                yield pa.RecordBatch.from_arrays([pa.array(codes * TREES + t), batch.column(0), batch.column(1)], names=["leaf", "node", "body"])
 
-    coded = cut(nodes.mapInArrow(code, "leaf long, node long, body binary"))
+    coded = _split(cut(nodes.mapInArrow(code, "leaf long, node long, body binary")), dims, leaf)
     parts = coded.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(leaf)).alias("parts"))
-    dealt = coded.join(parts, "leaf").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).select("leaf", "part", "node", "body")
+    dealt = coded.join(parts, "leaf").withColumn("part", F.pmod(F.xxhash64("node", "leaf"), F.col("parts"))).select("leaf", "part", "node", "body")
 
     def nearest(key, table):
         node, v = table.column("node").to_numpy(), _unpack(table.column("body").to_pylist(), dims)

@@ -67,3 +67,21 @@ def test_ann_recall_with_leaves_and_rounds(spark):
     got = ann.search(df, F.col("vec_id") % 50 == 0, 5, leaf=128, trees=4, width=16, beam=48, ahead=16, hops=4).collect()
     hit = sum(len({r.vec_id for r in got if r.query_id == i} & set(np.argsort(-cosines(x.astype(float), i))[:5].tolist())) for i in range(0, 1500, 50))
     assert hit / 150 >= 0.9
+
+
+def clustered_recall(spark, n):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(n, 16))
+    x[: n // 2] = 3 * x[0] + rng.normal(size=(n // 2, 16)) * 0.3  # different, but in one leaf of every tree
+    x = np.float32(x)
+    df = table(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    asked = range(0, n // 2, n // 60)
+    got = ann.search(df, F.col("vec_id").isin(list(asked)), 5, leaf=64, trees=6, width=16, beam=48, ahead=16, hops=5).collect()
+    hit = sum(len({r.vec_id for r in got if r.query_id == i} & set(np.argsort(-cosines(x.astype(float), i))[:5].tolist())) for i in asked)
+    return hit / (5 * len(asked))
+
+
+def test_ann_recall_in_a_crowded_leaf(spark):
+    found = {n: round(clustered_recall(spark, n), 3) for n in (1200, 3000)}
+    print("recall in a tight cluster", found)
+    assert min(found.values()) >= 0.8
