@@ -31,6 +31,6 @@ def order_quantile(x: str, p: float) -> Column:
 
 def average_rank(x: Column, by: list[str] | None = None) -> Column:
     """Rank from 1 in which ties share their mean rank, over `by` groups."""
-    by = by or []
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, x))
-    return F.rank().over(Window.partitionBy(*by).orderBy(x)) + (ties - 1) / F.lit(2.0)
+    place = Window.partitionBy(*(by or [])).orderBy(x)  # one sort serves the rank and its ties
+    ties = F.count(F.lit(1)).over(place.rangeBetween(Window.currentRow, Window.currentRow))
+    return F.rank().over(place) + (ties - 1) / F.lit(2.0)

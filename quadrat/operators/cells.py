@@ -40,7 +40,8 @@ def richness(grid: DataFrame, by: list[str], m: int = 10, means: tuple[str, ...]
     """
     aggs = [F.max(last).alias(last)] if last else []
     main = grid.groupBy(*by).agg(*aggs, F.count("*").alias("n_rec"), *[F.avg(skip_nan(lenient_double(F.col(c).cast("string")))).alias(f"mean_{c}") for c in means])
-    alike = incidence(grid, by).groupBy(*by, F.col("n_inc").alias("c")).agg(F.count("*").alias("k"))
+    # dealt by group once: both aggregates and the join stay where the rows are
+    alike = incidence(grid, by).select(*by, F.col("n_inc").alias("c")).repartition(*by).groupBy(*by, "c").agg(F.count("*").alias("k"))
     per = alike.groupBy(*by).agg(F.sum("k").alias("s_obs"), F.collect_list(F.struct("c", "k")).alias("_f"))
     out = main.join(per, by, "left").withColumn("s_obs", F.coalesce("s_obs", F.lit(0).cast("bigint"))).withColumn("s_rare", rarefied(F.col("_f"), F.col("n_rec"), m)).drop("_f")
     return out.withColumn("s_rare_r3", F.round("s_rare", 3))
@@ -61,13 +62,14 @@ def long_form(cells: DataFrame, keys: list[str], columns: list[str]) -> DataFram
     return cells.unpivot(keys, columns, "index_name", "value")
 
 
-def spearman(cells: DataFrame, against: str, columns: list[str], least: int = 10) -> DataFrame:
+def spearman(cells: DataFrame, against: str, columns: list[str], least: int = 10, places: int = 9) -> DataFrame:
     """`index_name, n, rho` of each column against one; null below `least` pairs or without variance.
 
-    The windows are partitioned by column name.  A surrounding CASE would not keep corr() from
+    Values are ranked as rounded to `places`: means of equal numbers differ in their last bits with
+    the order in which they were summed, and would tie or not by chance.  The windows are partitioned by column name.  A surrounding CASE would not keep corr() from
     dividing by zero, so covariance and deviations are divided safely instead.
     """
-    pairs = long_form(cells.select(F.col(against).cast("double").alias("_y"), *columns), ["_y"], columns).select("index_name", skip_nan(F.col("value").cast("double")).alias("x"), skip_nan(F.col("_y")).alias("y")).filter("x is not null and y is not null")
+    pairs = long_form(cells.select(F.col(against).cast("double").alias("_y"), *columns), ["_y"], columns).select("index_name", F.round(skip_nan(F.col("value").cast("double")), places).alias("x"), F.round(skip_nan(F.col("_y")), places).alias("y")).filter("x is not null and y is not null")
     ranks = pairs.select("index_name", average_rank(F.col("x"), ["index_name"]).alias("rx"), average_rank(F.col("y"), ["index_name"]).alias("ry"))
     found = ranks.groupBy("index_name").agg(F.count("*").alias("n"), F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry")).alias("r"))
     names = cells.sparkSession.createDataFrame([(c,) for c in columns], "index_name string")

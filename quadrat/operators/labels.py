@@ -10,8 +10,10 @@ from ..functions.scalars import INSUFFICIENT, LABELS
 
 
 def tertile(value: str, ties: list[str], by: list[Column | str] | None = None) -> Column:
-    """Label by thirds of the rank among rows that have a value; ties go by the named columns."""
-    third = F.ntile(3).over(Window.partitionBy(F.col(value).isNull(), *(by or [])).orderBy(value, *ties))
+    """Label by thirds of the rank among rows that have a value; ties go by the named columns.  Rows
+    without one are no part of that order and are spread by hash."""
+    spread = F.when(F.col(value).isNull(), F.xxhash64(*ties))
+    third = F.ntile(3).over(Window.partitionBy(spread, *(by or [])).orderBy(value, *ties))
     named = F.element_at(F.array(*map(F.lit, LABELS)), third)
     return F.when(F.col(value).isNull(), INSUFFICIENT).otherwise(named)
 

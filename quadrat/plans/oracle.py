@@ -59,14 +59,14 @@ hit AS (SELECT pid, kind, year, py FROM pt JOIN pl ON x BETWEEN a AND a + w AND
 CLS = POINT + ", cl AS (SELECT *, CASE WHEN cust % 10 = 0 THEN 'city' WHEN cust % 10 < 3 THEN 'town' ELSE 'rural' END AS urban_class FROM pt)"
 SRC = (
     REC
-    + r""", src AS (SELECT id, continent, idx_total, 0 AS src_rank FROM rec WHERE id % 3 <> 0 UNION ALL SELECT id, continent, idx_total + 1, 1 FROM rec WHERE id % 2 = 0
-  UNION ALL SELECT id, continent, idx_total + 2, 2 FROM rec WHERE id % 5 = 0),
+    + r""", src AS (SELECT id, continent, idx_total, 0 AS src_rank FROM rec WHERE idx_total >= 100000 UNION ALL SELECT id, continent, idx_total + 1, 1 FROM rec WHERE idx_total < 150000
+  UNION ALL SELECT id, continent, idx_total + 2, 2 FROM rec WHERE idx_total >= 140000 OR idx_total < 60000),
 kept AS (SELECT * FROM src QUALIFY row_number() OVER (PARTITION BY continent, id ORDER BY src_rank) = 1)"""
 )
-META = "meta AS (SELECT l_orderkey AS id, max(l_partkey * 100000 + l_suppkey) AS seq FROM lineitem WHERE l_orderkey % 7 <> 0 GROUP BY 1)"
+META = "meta AS (SELECT l_orderkey AS id, max(l_partkey * 100000 + l_suppkey) AS seq FROM lineitem GROUP BY 1)"
 RANK = (
     CELL
-    + r""", long AS (SELECT index_name, value AS x, s_rare_r3 AS y FROM (SELECT * FROM cell WHERE s_rare IS NOT NULL) UNPIVOT (value FOR index_name IN
+    + r""", long AS (SELECT index_name, round(value, 9) AS x, s_rare_r3 AS y FROM (SELECT * FROM cell WHERE s_rare IS NOT NULL) UNPIVOT (value FOR index_name IN
   (mean_idx_quantity, mean_idx_price, mean_idx_discount, mean_idx_tax, mean_idx_total))),
 rk AS (SELECT index_name, rank() OVER (PARTITION BY index_name ORDER BY x) + (count(*) OVER (PARTITION BY index_name, x) - 1) / 2e0 AS rx,
   rank() OVER (PARTITION BY index_name ORDER BY y) + (count(*) OVER (PARTITION BY index_name, y) - 1) / 2e0 AS ry FROM long),

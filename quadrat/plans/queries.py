@@ -155,15 +155,15 @@ def p19_growth_pct(s, d):
 
 # joins
 def _sources(s, d):
+    """Three overlapping sources that hold every recording between them."""
     rows = recordings(s, d).select("id", "continent", "idx_total")
-    base, gap, hist = rows.filter("id % 3 <> 0"), rows.filter("id % 2 = 0"), rows.filter("id % 5 = 0")
+    base, gap, hist = rows.filter("idx_total >= 100000"), rows.filter("idx_total < 150000"), rows.filter("idx_total >= 140000 or idx_total < 60000")
     both = ingest.union_sources([(0, base), (1, gap.withColumn("idx_total", F.col("idx_total") + 1)), (2, hist.withColumn("idx_total", F.col("idx_total") + 2))])
     return both.withColumn("seq", F.col("id"))
 
 
 def _meta(s, d):
-    rows = table(s, d, "lineitem").select(F.col("l_orderkey").alias("id"), "l_partkey", "l_suppkey", (F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("seq"))
-    return rows.filter("id % 7 <> 0")
+    return table(s, d, "lineitem").select(F.col("l_orderkey").alias("id"), "l_partkey", "l_suppkey", (F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("seq"))
 
 
 @query
