@@ -2,7 +2,7 @@
 
 A text is normalised as its model says and cut before each run of word marks, which no piece
 crosses.  So its lattice is a chain of word lattices, and equal words have equal lattices: they are
-built once per batch, for all words at once, by hashing substrings.  A piece weighs
+built once, for all new words of a batch together, by hashing substrings.  A piece weighs
 -alpha * log(1 + rank), with ranks by the model's scores (Zipf's law for a model that has only merge
 ranks); a character that is no piece is its bytes.
 
@@ -18,8 +18,10 @@ key, the sample, the word's place and the step, so that a lost executor's rows c
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -32,6 +34,8 @@ from .common import chunks
 
 ALPHA, SAMPLES = 0.25, 2
 BYTES_AT_ONCE = 1 << 21
+#: Characters of words whose lattices a worker keeps, and places of a long word whose edges it makes at once.
+KEPT, BLOCK = 2_500_000, 1 << 15
 WORD = re.compile("▁*[^▁]+|▁+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SAMPLE = "doc_id long, sample int, n_pieces long, ids_crc32 long, logprob double, perturbed double, log_inclusion double, round_trip boolean"
@@ -60,6 +64,7 @@ class Pieces:
         usable.sort(key=lambda i: (-sp.get_score(i), i))
         self.weight = np.zeros(len(sp))
         self.weight[usable] = -alpha * np.log(2 + np.arange(len(usable)))
+        self.linear = np.exp(self.weight)
         self.byte_weight = -alpha * np.log(2 + len(usable))
         self.longest = max(len(sp.id_to_piece(i)) for i in usable)
         starts: list[dict[int, int]] = [{} for _ in range(self.longest)]  # by length: how pieces begin, -1 if that is none itself
@@ -69,32 +74,76 @@ class Pieces:
                 h = (h * int(BASE) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
                 held.setdefault(h, -1)
             starts[len(sp.id_to_piece(i)) - 1][h] = i
+        self.lattice = Lattices(self)
         self.tables = [tuple(np.array(c, t) for c, t in zip(zip(*sorted(held.items())), (np.uint64, np.int32))) for held in starts]
 
     def words(self, text: str | None) -> list[str]:
         return WORD.findall(self.processor.normalize(text)) if text else []
 
-    def ids(self, codes: np.ndarray) -> np.ndarray:
-        """Ids with the bytes of characters that are no pieces written out."""
-        if not len(codes) or codes.max() < self.size:
-            return codes
-        bare = codes >= self.size
+    def edges(self, text: np.ndarray, room: np.ndarray, row: np.ndarray | None = None):
+        """All pieces in a text of code points, by place, longest first: where each place's edges
+        start, and their codes, lengths and weights.  room is how far a piece may reach (1 at least);
+        row numbers the places anew."""
+        at, h, hits, bare = np.arange(len(text)), np.zeros(len(text), np.uint64), [], np.ones(len(text), bool)
+        row = at if row is None else row
+        for k, (hashes, ids) in enumerate(self.tables):  # only where some piece begins like the text
+            h = h * BASE + text[at + k].astype(np.uint64) + np.uint64(1)
+            place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            met = hashes[place] == h
+            hit = met & (ids[place] >= 0)
+            hits.append((row[at[hit]], ids[place[hit]]))
+            if not k:
+                bare[at[hit]] = False
+            on = met & (room[at] > k + 1)
+            at, h = at[on], h[on]
+        lone = np.flatnonzero(bare)
+        many = np.zeros(len(text), np.int64)
+        for rows in (row[lone], *(rows for rows, _ in hits)):
+            many[rows] += 1
+        start = np.concatenate([[0], np.cumsum(many)])
+        code, step, filled = np.empty(start[-1], np.int32), np.ones(start[-1], np.int8), start[:-1].copy()
+        weight = np.empty(start[-1])
+        for k in range(len(hits) - 1, -1, -1):
+            rows, ids = hits[k]
+            e = filled[rows]
+            code[e], step[e], weight[e] = ids, k + 1, self.linear[ids]
+            filled[rows] += 1
+        e, char = filled[row[lone]], text[lone]
+        code[e] = self.size + char
+        weight[e] = np.exp(self.byte_weight * (1 + (char > 0x7F) + (char > 0x7FF) + (char > 0xFFFF)))
+        return start, code, step, weight
+
+    def spelt(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids with the bytes of characters that are no pieces written out, and how many each code has."""
         size = np.ones(len(codes), np.int64)
+        bare = np.flatnonzero(codes >= self.size)
         chars, which = np.unique(codes[bare] - self.size, return_inverse=True)
         spelt = [self.byte[list(chr(c).encode("utf-8", "surrogatepass"))] for c in chars.tolist()]
-        size[bare] = np.array([len(x) for x in spelt])[which]
+        many = np.array([len(x) for x in spelt], np.int64)
+        table = np.zeros((len(chars), 4), np.int64)
+        for row, ids in zip(table, spelt):
+            row[: len(ids)] = ids
+        size[bare] = many[which]
         at = np.cumsum(size) - size
         out = np.empty(int(size.sum()), np.int64)
-        out[at[~bare]] = codes[~bare]
-        for k, ids in enumerate(spelt):
-            for j, i in enumerate(ids.tolist()):
-                out[at[bare][which == k] + j] = i
-        return out
+        whole = np.flatnonzero(codes < self.size)
+        out[at[whole]] = codes[whole]
+        for j in range(int(many.max(initial=0))):
+            on = np.flatnonzero(many[which] > j)
+            out[at[bare[on]] + j] = table[which[on], j]
+        return out, size
 
-    def decoded(self, ids: np.ndarray) -> bytes:
-        """The UTF-8 bytes that the pieces stand for, without the blank before the first word."""
+    def ids(self, codes: np.ndarray) -> np.ndarray:
+        return self.spelt(np.asarray(codes, np.int64))[0]
+
+    def told_by(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The UTF-8 bytes that the pieces stand for, and how many each has."""
         size = self.tells[ids]
-        text = self.told[np.repeat(self.told_at[ids] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))].tobytes()
+        return self.told[np.repeat(self.told_at[ids] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))].tobytes(), size
+
+    def decoded(self, ids: np.ndarray) -> bytes:
+        """The UTF-8 bytes of a text, without the blank before the first word."""
+        text = self.told_by(ids)[0]
         return text[1:] if text.startswith(b" ") else text
 
     def decode(self, ids: np.ndarray) -> str:
@@ -107,95 +156,293 @@ def pieces(path: str, alpha: float = ALPHA) -> Pieces:
 
 
 class Lattices:
-    """Of many words: at each character, edges by length with their ids, log-probabilities given
-    the place, and cumulative probabilities.  The log-probability of a path is that of its edges."""
+    """Word lattices.  A row is a place in a word; its edges are pieces, longest first, each with its
+    length, the row it leads to (-1 at the word's end), its probability given the place, and that of
+    all other edges there (summed, not subtracted, so that small shares are exact).
+
+    Words of up to `self.short` characters are held sparsely for sampling all at once.  Those that
+    came in together are a block, in which places equally far from their words' ends stand side by
+    side.  They are kept for later batches until there are KEPT characters.  A longer word, such as
+    a text without blanks, keeps 12 bytes a character: its edges are made again for BLOCK places at
+    a time.  Probabilities are computed word by word, so what is kept does not change them.
+    """
 
-    def __init__(self, vocabulary: Pieces, words: list[str]):
+    def __init__(self, vocabulary: Pieces):
+        self.vocabulary = vocabulary
+        self.short = max(1, min(48, int(500 / max(1e-9, -4 * vocabulary.byte_weight))))
+        self.clear()
+
+    def clear(self):
+        self.index: dict[str, int] = {}
+        self.held, self.firsts_end = {}, 0
+        kinds = dict.fromkeys(("length", "block", "rank", "base", "start", "stop"), np.int64) | {"to": np.int32, "code": np.int32, "step": np.int8} | dict.fromkeys(("p", "draw", "miss"), np.float64)
+        for name, kind in kinds.items():
+            self.held[name] = np.empty(0, kind), 0
+            setattr(self, name, self.held[name][0])
+        self.firsts: list[np.ndarray] = []
+        self.long: dict[int, LongWord] = {}
+
+    def number(self, words: list[str]) -> np.ndarray:
+        """Each word's number; new ones get their lattice."""
+        found = list(map(self.index.get, words))
+        missing = [i for i, x in enumerate(found) if x is None]
+        new = list(dict.fromkeys(words[i] for i in missing))
+        if self.firsts_end + sum(map(len, new)) > KEPT and self.index:
+            self.clear()
+            return self.number(words)
+        if new:
+            self._add(new)
+            for i in missing:
+                found[i] = self.index[words[i]]
+        return np.array(found, np.int64)
+
+    def _add(self, words: list[str]):
+        first = len(self.index)
+        self.index.update(zip(words, range(first, first + len(words))))
         length = np.fromiter(map(len, words), np.int64, len(words))
-        order = np.argsort(length, kind="stable")
-        text = np.frombuffer("".join([words[i] for i in order]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        self.length, self.base = length, np.zeros(len(words), np.int64)
-        sizes = length[order]
-        self.base[order] = np.cumsum(sizes) - sizes
-        room = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(text))  # characters to the word's end
-        width = vocabulary.longest
-        self.edge = np.full((len(text), width), -1, np.int32)
-        self.logp = np.full((len(text), width), -np.inf)
-        at, h = np.arange(len(text)), np.zeros(len(text), np.uint64)
-        for k, (hashes, ids) in enumerate(vocabulary.tables):  # only where some piece begins like the text
-            h = h * BASE + text[at + k].astype(np.uint64) + np.uint64(1)
-            place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            met = hashes[place] == h
-            found = ids[place]
-            hit = met & (found >= 0)
-            self.edge[at[hit], k] = found[hit]
-            self.logp[at[hit], k] = vocabulary.weight[found[hit]]
-            on = met & (room[at] > k + 1)
-            at, h = at[on], h[on]
-        bare = np.flatnonzero(self.edge[:, 0] < 0)
-        self.edge[bare, 0] = vocabulary.size + text[bare]
-        self.logp[bare, 0] = vocabulary.byte_weight * (1 + (text[bare] > 0x7F) + (text[bare] > 0x7FF) + (text[bare] > 0xFFFF))
-        self.cdf = np.full((len(text), width), 2, np.float32)
-        start = 0
-        for n, many in zip(*np.unique(sizes, return_counts=True)):  # words of one length at once, from their ends
-            rows = slice(start, start + n * many)
-            logp, cdf = self.logp[rows].reshape(many, n, width), self.cdf[rows].reshape(many, n, width)
-            rest = np.zeros((many, n + 1))
-            for i in range(n - 1, -1, -1):
-                k = min(width, n - i)
-                to = logp[:, i, :k] + rest[:, i + 1 : i + 1 + k]
-                top = to.max(axis=1)
-                total = np.cumsum(np.exp(to - top[:, None]), axis=1)
-                whole = total[:, -1:]
-                rest[:, i] = top + np.log(whole[:, 0])
-                logp[:, i, :k] = to - rest[:, i, None]
-                cdf[:, i, :k] = np.where(total >= whole * (1 - 1e-12), 2, total / whole)
-            start += n * many
+        for i in np.flatnonzero(length > self.short).tolist():
+            self.long[first + i] = LongWord(self.vocabulary, words[i])
+        size = np.where(length > self.short, 0, length)
+        text = np.frombuffer("".join([w for w, n in zip(words, size.tolist()) if n]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        room = np.repeat(np.cumsum(size), size) - np.arange(len(text))
+        rank = np.empty(len(words), np.int64)
+        rank[np.argsort(-size, kind="stable")] = np.arange(len(words))
+        reach = len(words) - np.cumsum(np.bincount(size, minlength=1))  # words with more than d characters
+        firsts = np.cumsum(reach) - reach  # rows by distance to the word's last character
+        row = firsts[room - 1] + np.repeat(rank, size)
+        start, code, step, weight = self.vocabulary.edges(text, room, row)
+        many = np.diff(start)
+        far, of = np.repeat(np.arange(len(reach)), reach), np.arange(len(text)) - np.repeat(firsts, reach)
+        far, of = np.repeat(far, many) - step, np.repeat(of, many)
+        to = np.where(far >= 0, firsts[far] + of, -1)
+        beta, p = np.ones(len(text) + 1), weight  # what to = -1 leads to weighs 1
+        for d, n in enumerate(reach.tolist()):
+            if n:
+                a = firsts[d]
+                e = slice(start[a], start[a + n])
+                p[e] *= beta[to[e]]
+                beta[a : a + n] = np.add.reduceat(p[e], start[a : a + n] - start[a])
+                p[e] /= np.repeat(beta[a : a + n], many[a : a + n])
+        small = p < 0.5
+        rest = np.add.reduceat(np.where(small, p, 0), start[:-1]) if len(p) else p
+        miss = np.where(small, 1 - p, np.repeat(rest, many))
+        draw = p.copy()
+        draw[start[1:] - 1] = 2
+        rows, edges = self.firsts_end, self.held["code"][1]
+        self.firsts.append(firsts + rows)
+        self.firsts_end += len(text)
+        self._keep(length=length, block=np.full(len(words), len(self.firsts) - 1), rank=rank, base=np.where(size > 0, firsts[size - 1] + rank + rows, -1))
+        self._keep(start=start[:-1] + edges, stop=start[1:] + edges, to=np.where(to >= 0, to + rows, -1), code=code, step=step, p=p, draw=draw, miss=miss)
+
+    def _keep(self, **arrays):
+        """Append to the arrays of these names, whose room doubles when it is full."""
+        for name, new in arrays.items():
+            held, n = self.held[name]
+            if n + len(new) > len(held):
+                held = np.concatenate([held[:n], np.empty(max(n, len(new)), held.dtype)])
+            held[n : n + len(new)] = new
+            self.held[name] = held, n + len(new)
+            setattr(self, name, held)
+
+    def row(self, word: int, at: int) -> tuple[list, list, list]:
+        """Codes, lengths and probabilities of the edges at a place of a word."""
+        if word in self.long:
+            return self.long[word].row(at)
+        row = self.firsts[self.block[word]][self.length[word] - 1 - at] + self.rank[word]
+        a, b = int(self.start[row]), int(self.stop[row])
+        return self.code[a:b].tolist(), self.step[a:b].tolist(), self.p[a:b].tolist()
+
+    def walk(self, word: int, at: int, draw) -> tuple[list, list, float, float]:
+        """A path from a place of a word to its end: codes, lengths, log-probability, and the
+        probability of all other paths from there."""
+        codes, steps, logp, other, n = [], [], 0.0, 0.0, int(self.length[word])
+        while at < n:
+            code, step, p = self.row(word, at)
+            k = _chosen(p, next(draw))
+            if len(p) > 1:
+                other += math.exp(logp) * (sum(p[:k]) + sum(p[k + 1 :]))
+                logp += math.log(p[k])
+            codes.append(code[k])
+            steps.append(step[k])
+            at += step[k]
+        return codes, steps, logp, other
 
     def sample(self, word: np.ndarray, seed: np.ndarray):
-        """A path for each occurrence of a word: number of pieces, log-probability, and codes with
-        each occurrence's pieces in order."""
-        n, count = self.length[word], np.zeros(len(word), np.int64)
-        logp, at = np.zeros(len(word)), np.zeros(len(word), np.int64)
-        active, steps = np.arange(len(word)), []
-        while len(active):
-            row = self.base[word[active]] + at[active]
-            k = (self.cdf[row] <= uniform(seed[active], len(steps))[:, None]).sum(axis=1)
-            steps.append((active, self.edge[row, k]))
-            logp[active] += self.logp[row, k]
-            at[active] += k + 1
-            count[active] += 1
-            active = active[at[active] < n[active]]
+        """A path for each occurrence of a word: number of pieces, log-probability, probability of the
+        word's other paths, and codes with each occurrence's pieces in order."""
+        n = len(word)
+        count, logp, rest, found = np.ones(n, np.int64), np.zeros(n), np.zeros(n), []
+        is_long = np.isin(word, list(self.long)) if self.long else np.zeros(n, bool)
+        at = np.flatnonzero(~is_long)
+        row, key, mass, other, turn = self.base[word[at]], seed[at], np.ones(len(at)), np.zeros(len(at)), 0
+        while len(at):
+            u, e = uniform(key, turn), self.start[row]
+            share = self.draw[e]
+            on = np.flatnonzero(u >= share)
+            while len(on):
+                u[on] -= share[on]
+                e[on] += 1
+                share[on] = self.draw[e[on]]
+                on = on[u[on] >= share[on]]
+            other += mass * self.miss[e]
+            mass *= self.p[e]
+            found.append((at, self.code[e]))
+            row, turn = self.to[e], turn + 1
+            over = np.flatnonzero(row < 0)
+            done = at[over]
+            count[done], logp[done], rest[done] = turn, np.log(mass[over]), other[over]
+            on = np.flatnonzero(row >= 0)
+            at, row, key, mass, other = at[on], row[on], key[on], mass[on], other[on]
+        walks = {}
+        for i in np.flatnonzero(is_long).tolist():
+            codes, _, logp[i], rest[i] = self.walk(int(word[i]), 0, draws(int(seed[i])))
+            walks[i], count[i] = codes, len(codes)
         offset, codes = np.cumsum(count) - count, np.zeros(int(count.sum()), np.int64)
-        for step, (rows, code) in enumerate(steps):
-            codes[offset[rows] + step] = code
-        return count, logp, codes
-
-    def other(self, word: int, taken: list[tuple], seed: int) -> tuple[list, float]:
-        """A path of one word that is not among those taken: its codes and log-probability."""
-        at, end, codes, logp = int(self.base[word]), int(self.base[word] + self.length[word]), [], 0.0
-        while at < end:
-            p = np.exp(logp + self.logp[at])
-            for path, mass in taken:  # those that have run along so far take their share
-                if path[: len(codes)] == tuple(codes):
-                    k = np.flatnonzero(self.edge[at] == path[len(codes)])[0]
-                    p[k] = max(0.0, p[k] - mass)
-            p[self.edge[at] < 0] = 0
-            total = np.cumsum(p)
-            k = int((total <= uniform(np.array([seed], np.uint64), 7_000_000 + len(codes))[0] * total[-1]).sum()) if total[-1] > 0 else int(np.argmax(self.edge[at] >= 0))
-            k = min(k, int(np.flatnonzero(p > 0)[-1])) if total[-1] > 0 else k
-            codes.append(int(self.edge[at, k]))
-            logp += float(self.logp[at, k])
-            at += k + 1
-        return codes, logp
-
-
-def uniform(seed: np.ndarray, stream: int) -> np.ndarray:
-    """Numbers in (0, 1) that depend on the seeds and the stream only (splitmix64)."""
-    z = seed + np.uint64((stream + 1) * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF)
+        for turn, (at, code) in enumerate(found):
+            codes[offset[at] + turn] = code
+        for i, some in walks.items():
+            codes[offset[i] : offset[i] + count[i]] = some
+        return count, logp, rest, codes
+
+    def other(self, word: int, taken: Taken, seed: int) -> tuple[list, float, float]:
+        """A path of a word that is not among those taken, which it joins: its codes and
+        log-probability, and the probability of the paths that are left then."""
+        left, draw = taken.left(self, word), draws(seed)
+        node, at, codes, steps, logp = 0, 0, [], [], 0.0
+        while node >= 0:
+            code, step, p = self.row(word, at)
+            k = _chosen(taken.weights(node, code, p, left), next(draw))
+            codes.append(code[k])
+            steps.append(step[k])
+            logp += math.log(p[k])
+            at += step[k]
+            node = taken.kid(node, code[k])
+        more = self.walk(word, at, draw)
+        codes, steps = codes + more[0], steps + more[1]
+        taken.add(codes, steps)
+        return codes, logp + more[2], taken.left(self, word)[0]
+
+
+class LongWord:
+    """The lattice of one long word.  `rest` is the log of the summed weights of all paths from each
+    place to the end; edges are made from it for a block of places when they are asked for."""
+
+    def __init__(self, vocabulary: Pieces, word: str):
+        self.vocabulary = vocabulary
+        self.text = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.rest, self.block = np.zeros(len(self.text) + 1), (-1, None)
+        for a in range((len(word) - 1) // BLOCK * BLOCK, -1, -BLOCK):
+            start, _, step, weight = (x.tolist() for x in self._edges(a))
+            n = len(start) - 1
+            tail = self.rest[a + n : a + n + vocabulary.longest]  # beta: weights scaled by exp(shift)
+            shift = float(tail[0])
+            beta, logs = [0.0] * n + np.exp(tail - shift).tolist(), [0.0] * n
+            for i in range(n - 1, -1, -1):
+                total = 0.0
+                for e in range(start[i], start[i + 1]):
+                    total += weight[e] * beta[i + step[e]]
+                logs[i] = shift + math.log(total)
+                if total < 1e-100:
+                    for j in range(i + 1, min(len(beta), i + 1 + vocabulary.longest)):
+                        beta[j] /= total
+                    shift, total = logs[i], 1.0
+                beta[i] = total
+            self.rest[a : a + n] = logs
+
+    def _edges(self, a: int):
+        n = min(BLOCK, len(self.text) - a)
+        text = self.text[a : a + n + self.vocabulary.longest].astype(np.int64)
+        start, code, step, weight = self.vocabulary.edges(text, len(text) - np.arange(len(text)))
+        e = int(start[n])
+        return start[: n + 1], code[:e], step[:e], weight[:e]
+
+    def row(self, at: int) -> tuple[list, list, list]:
+        a = at // BLOCK * BLOCK
+        if self.block[0] != a:
+            start, code, step, weight = self._edges(a)
+            row = a + np.repeat(np.arange(len(start) - 1), np.diff(start))
+            p = weight * np.exp(self.rest[row + step] - self.rest[row])
+            self.block = a, [x.tolist() for x in (start, code, step, p)]
+        start, code, step, p = self.block[1]
+        i, j = start[at - a], start[at - a + 1]
+        return code[i:j], step[i:j], p[i:j]
+
+
+class Taken:
+    """The paths of one word that have come out, as a tree of their pieces.  Most nodes have one
+    child, which is held in arrays: a long word's path is as long as its text."""
+
+    def __init__(self, codes: list, steps: list):
+        self.at, self.code, self.child = array("q", [0]), array("q", [-1]), array("q", [-1])
+        self.more: dict[int, dict[int, int]] = {}
+        self.add(codes, steps)
+
+    def kid(self, node: int, code: int) -> int:
+        """The child that a piece leads to, or -1."""
+        return self.child[node] if self.code[node] == code else self.more.get(node, {}).get(code, -1)
+
+    def add(self, codes: list, steps: list):
+        node = 0
+        for code, step in zip(codes, steps):
+            then = self.kid(node, code)
+            if then < 0:
+                then = len(self.at)
+                if self.child[node] < 0:
+                    self.code[node], self.child[node] = code, then
+                else:
+                    self.more.setdefault(node, {})[code] = then
+                self.at.append(self.at[node] + step)
+                self.code.append(-1)
+                self.child.append(-1)
+            node = then
+
+    def weights(self, node: int, code: list, p: list, left: array) -> list[float]:
+        """Of each edge of a node, the probability of the paths that are not taken."""
+        if node in self.more:
+            return [q * left[kid] if (kid := self.kid(node, c)) >= 0 else q for c, q in zip(code, p)]
+        out = p.copy()
+        out[code.index(self.code[node])] *= left[self.child[node]]
+        return out
+
+    def left(self, lattice: Lattices, word: int) -> array:
+        """By node, the probability, given the node, of the paths through it that are not taken: 0
+        just where all are."""
+        left = array("d", bytes(8 * len(self.at)))
+        for node in range(len(left) - 1, -1, -1):
+            if self.child[node] >= 0:
+                code, _, p = lattice.row(word, self.at[node])
+                left[node] = sum(self.weights(node, code, p, left))
+        return left
+
+
+def _chosen(weights: list[float], u: float) -> int:
+    """The place that u of the sum falls to; one of weight 0 never."""
+    left, last = u * sum(weights), 0
+    for k, w in enumerate(weights):
+        if w > 0:
+            last = k
+            if left < w:
+                return k
+        left -= w
+    return last
+
+
+def draws(seed: int):
+    """The numbers uniform(seed, 0), uniform(seed, 1) and so on."""
+    at, n = 0, 8
+    while True:
+        yield from uniform(np.full(n, seed, np.uint64), np.arange(at, at + n)).tolist()
+        at, n = at + n, min(2 * n, 4096)
+
+
+def uniform(seed: np.ndarray, stream) -> np.ndarray:
+    """Numbers in (0, 1) that depend on the seeds and the stream (or streams) only (splitmix64)."""
+    z = seed + (np.atleast_1d(np.asarray(stream, np.uint64)) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
-    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) * 2.0**-53 + 2.0**-54
+        z ^= z >> np.uint64(shift)
+        z *= np.uint64(factor)
+    z ^= z >> np.uint64(31)
+    return (z >> np.uint64(11)).astype(float) * 2.0**-53 + 2.0**-54
 
 
 def _truncated(log_mass: np.ndarray, bound, u: np.ndarray) -> np.ndarray:
@@ -204,73 +451,79 @@ def _truncated(log_mass: np.ndarray, bound, u: np.ndarray) -> np.ndarray:
         return np.where(np.isneginf(log_mass), -np.inf, -np.logaddexp(-bound, np.log(-np.log(u)) - log_mass))
 
 
-def _log_rest(logp):
-    """log(1 - exp(logp)), -inf where nothing is left."""
-    rest = -np.expm1(logp)
-    return np.where(rest > 1e-12, np.log(np.maximum(rest, 1e-300)), -np.inf)
+def _log(mass):
+    """Logarithm, -inf of an empty set."""
+    with np.errstate(divide="ignore"):
+        return np.log(mass)
 
 
 def sampled(vocabulary: Pieces, texts: list[str | None], keys: list[int], k: int = SAMPLES) -> list[list[tuple]]:
     """For each text up to k (codes, logprob, perturbed, log inclusion), the largest perturbed first."""
     each = [vocabulary.words(t) for t in texts]
-    index: dict[str, int] = {}
-    word = np.array([index.setdefault(w, len(index)) for ws in each for w in ws], np.int64)
+    lattice = vocabulary.lattice
+    word = lattice.number([w for ws in each for w in ws])
     size = np.array([len(ws) for ws in each], np.int64)
     start = np.cumsum(size) - size
-    lattice = Lattices(vocabulary, list(index))
     doc = np.repeat(np.arange(len(each)), size)
     place = (np.arange(len(word)) - start[doc]).astype(np.uint64)
-    seed = np.array(keys, np.uint64)[doc] + place * np.uint64(0xA24BAED4963EE407)
     key = np.array(keys, np.uint64)
+    seed = key[doc] + place * np.uint64(0xA24BAED4963EE407)
     bound = -np.log(-np.log(uniform(key, 9_000_000)))
-    count, logp, codes = lattice.sample(word, seed)
+    count, logp, rest, codes = lattice.sample(word, seed)
     at = np.cumsum(count) - count
+    before = _before(logp, size)
+    value = _truncated(before + _log(rest), bound[doc], uniform(seed, 8_000_000))
     out, paths, queue = [], [], []
     for d, (a, n) in enumerate(zip(start.tolist(), size.tolist())):
         mine = codes[at[a] : at[a + n - 1] + count[a + n - 1]] if n else codes[:0]
-        paths.append([(mine, count[a : a + n], logp[a : a + n], 0)])
+        paths.append([(mine, count[a : a + n], logp[a : a + n])])
         out.append([[mine, float(logp[a : a + n].sum()), float(bound[d])]])
-    before = np.cumsum(logp) - logp
-    before -= np.repeat(before[start[size > 0]], size[size > 0]) if len(word) else 0
-    value = _truncated(before + _log_rest(logp), bound[doc], uniform(seed, 8_000_000))
-    for d, (a, n) in enumerate(zip(start.tolist(), size.tolist())):
         queue.append([value[a : a + n].copy()])  # by path: the perturbed scores of the sets left at its words
     taken: list[dict] = [{} for _ in each]
     for turn in range(1, k):
         again, first = [], []
         for d in range(len(each)):
-            best = max(((float(v.max()), p) for p, v in enumerate(queue[d]) if len(v)), default=(-np.inf, 0))
+            best = max(((float(v.max()), -p) for p, v in enumerate(queue[d]) if len(v)), default=(-np.inf, 0))
             if best[0] == -np.inf:
                 continue
-            p, b = best[1], int(queue[d][best[1]].argmax())
-            again.append((d, p, b, best[0]))
+            b = int(queue[d][-best[1]].argmax())
+            again.append((d, -best[1], b, best[0]))
             first.append(b + 1)
+        if not again:
+            break
         rows = [np.arange(start[d] + f, start[d] + size[d]) for (d, *_), f in zip(again, first)]
-        flat = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
+        flat = np.concatenate(rows)
         fresh = seed[flat] + np.uint64(turn * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF)
-        n_new, logp_new, codes_new = lattice.sample(word[flat], fresh)
-        noise = uniform(fresh, 8_000_000)
-        r, c = 0, 0
+        n_new, logp_new, rest_new, codes_new = lattice.sample(word[flat], fresh)
+        noise, heads = uniform(fresh, 8_000_000), []
         for (d, p, b, g), own in zip(again, rows):
-            old, n_old, logp_old, _ = paths[d][p]
+            old, n_old, logp_old = paths[d][p]
             head = int(n_old[:b].sum())
-            gone = taken[d].setdefault((p, b), [(tuple(old[head : head + n_old[b]].tolist()), float(np.exp(logp_old[b])))])
-            new, new_logp = lattice.other(int(word[start[d] + b]), gone, int(fresh_seed(keys[d], turn)))
-            gone.append((tuple(new), float(np.exp(new_logp))))
-            m = len(own)
-            pieces_new = int(n_new[r : r + m].sum())
-            mine = np.concatenate([old[:head], np.array(new, np.int64), codes_new[c : c + pieces_new]])
-            counts = np.concatenate([n_old[:b], [len(new)], n_new[r : r + m]])
-            logs = np.concatenate([logp_old[:b], [new_logp], logp_new[r : r + m]])
-            ahead = np.cumsum(logs) - logs
-            left = 1 - sum(mass for _, mass in gone)
+            w = int(word[start[d] + b])
+            if (p, b) not in taken[d]:
+                said, steps, place_at = old[head : head + n_old[b]].tolist(), [], 0
+                for code in said:
+                    some, step, _ = lattice.row(w, place_at)
+                    steps.append(step[some.index(code)])
+                    place_at += steps[-1]
+                taken[d][p, b] = Taken(said, steps)
+            new, new_logp, left = lattice.other(w, taken[d][p, b], fresh_seed(keys[d], turn))
+            ahead = float(logp_old[:b].sum())
             u = uniform(np.array([fresh_seed(keys[d], turn)], np.uint64), 8_500_000)
-            queue[d][p][b] = _truncated(np.array([ahead[b] + (np.log(left) if left > 1e-12 else -np.inf)]), g, u)[0]
-            tail = _truncated(ahead[b + 1 :] + _log_rest(logs[b + 1 :]), g, noise[r : r + m])
-            queue[d].append(np.concatenate([np.full(b + 1, -np.inf), tail]))
-            paths[d].append((mine, counts, logs, p))
+            queue[d][p][b] = _truncated(np.array([ahead + (math.log(left) if left > 0 else -np.inf)]), g, u)[0]
+            heads.append((old[:head], n_old[:b], logp_old[:b], new, new_logp, ahead + new_logp))
+        many = np.array([len(own) for own in rows])
+        ends, c = np.cumsum(many), 0
+        tails = _truncated(np.repeat([h[5] for h in heads], many) + _before(logp_new, many) + _log(rest_new), np.repeat([g for *_, g in again], many), noise)
+        for (d, p, b, g), e, own, (old, n_old, logp_old, new, new_logp, _) in zip(again, ends.tolist(), rows, heads):
+            part = slice(e - len(own), e)
+            pieces_new = int(n_new[part].sum())
+            mine = np.concatenate([old, np.array(new, np.int64), codes_new[c : c + pieces_new]])
+            logs = np.concatenate([logp_old, [new_logp], logp_new[part]])
+            queue[d].append(np.concatenate([np.full(b + 1, -np.inf), tails[part]]))
+            paths[d].append((mine, np.concatenate([n_old, [len(new)], n_new[part]]), logs))
             out[d].append([mine, float(logs.sum()), g])
-            r, c = r + m, c + pieces_new
+            c += pieces_new
     found = []
     for d, rows in enumerate(out):
         limit = max((float(v.max()) for v in queue[d] if len(v)), default=-np.inf)
@@ -278,6 +531,15 @@ def sampled(vocabulary: Pieces, texts: list[str | None], keys: list[int], k: int
     return found
 
 
+def _before(logp: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """By word, the sum over the words before it in its text; text by text, so that it doesn't
+    depend on what else is in the batch."""
+    out = np.empty(len(logp))
+    for end, n in zip(np.cumsum(size).tolist(), size.tolist()):
+        out[end - n : end] = np.cumsum(logp[end - n : end]) - logp[end - n : end]
+    return out
+
+
 def _log_inclusion(x: float) -> float:
     """log(1 - exp(-exp(x))), which is x itself where it is very small."""
     return x if x < -30 else float(np.log(-np.expm1(-np.exp(min(x, 50.0)))))
@@ -308,12 +570,17 @@ def sample(docs: DataFrame, k: int = SAMPLES, path: str | None = None, alpha: fl
         vocabulary = pieces(path, alpha)
         for batch in chunks(batches, BYTES_AT_ONCE):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            rows = []
-            for doc, text, some in zip(ids, texts, sampled(vocabulary, texts, [row_key(i, seed) for i in ids], k)):
-                for j, (codes, logprob, perturbed, inclusion) in enumerate(some, 1):
-                    found = vocabulary.ids(codes)
-                    packed = found.astype("<u4").tobytes()
-                    rows.append((doc, j, len(found), zlib.crc32(packed), logprob, perturbed, inclusion, vocabulary.decoded(found) == (text or "").encode("utf-8", "surrogatepass"), packed))
+            found = [(doc, text, j, *x) for doc, text, some in zip(ids, texts, sampled(vocabulary, texts, [row_key(i, seed) for i in ids], k)) for j, x in enumerate(some, 1)]
+            flat, size = vocabulary.spelt(np.concatenate([x[3] for x in found]))
+            told, chars = vocabulary.told_by(flat)
+            ends = np.cumsum([len(x[3]) for x in found])
+            ends = np.concatenate([[0], np.cumsum(size)])[ends]
+            spots = np.concatenate([[0], np.cumsum(chars)])[ends].tolist()
+            data, rows, a, b = flat.astype("<u4").tobytes(), [], 0, 0
+            for (doc, text, j, _, logprob, perturbed, inclusion), end, spot in zip(found, ends.tolist(), spots):
+                packed, said = data[4 * a : 4 * end], told[b + (told[b : b + 1] == b" ") : spot]
+                rows.append((doc, j, end - a, zlib.crc32(packed), logprob, perturbed, inclusion, said == (text or "").encode("utf-8", "surrogatepass"), packed))
+                a, b = end, spot
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.binary()][: 8 + with_ids]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in columns.split(", ")])
 

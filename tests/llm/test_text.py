@@ -209,15 +209,16 @@ def test_lm_network_learns():
 
 # pieces
 def all_paths(vocabulary, word):
-    lattice = pieces.Lattices(vocabulary, [word])
+    lattice = vocabulary.lattice
+    w = int(lattice.number([word])[0])
 
     def go(i):
         if i == len(word):
             yield (), 0.0
             return
-        for k in np.flatnonzero(lattice.edge[i] >= 0):
-            for rest, lp in go(i + k + 1):
-                yield (int(lattice.edge[i, k]), *rest), lattice.logp[i, k] + lp
+        for code, step, p in zip(*lattice.row(w, i)):
+            for rest, lp in go(i + step):
+                yield (code, *rest), np.log(p) + lp
 
     return list(go(0))
 
@@ -245,6 +246,31 @@ def test_all_segmentations_come_out_once():
     assert len({tuple(x[0].tolist()) for x in found}) == len(found) == n and abs(sum(np.exp(x[1]) for x in found) - 1) < 1e-6
 
 
+def test_long_words_are_like_short_ones(monkeypatch):
+    short, long = (pieces.Pieces(pieces.model_path()) for _ in range(2))
+    long.lattice.short = 0
+    monkeypatch.setattr(pieces, "BLOCK", 5)
+    texts, keys = ["some longer wordsofletters é😀\n", "the the", ""], [1, 2, 3]
+    for x, y in zip(pieces.sampled(short, texts, keys, 4), pieces.sampled(long, texts, keys, 4)):
+        assert [a[0].tolist() for a in x] == [a[0].tolist() for a in y] and np.allclose([a[1:] for a in x], [a[1:] for a in y])
+
+
+def test_a_long_text_without_blanks():
+    vocabulary = pieces.Pieces(pieces.model_path())
+    text = "".join(np.random.default_rng(0).choice(list("thernoandies"), 60_000))
+    found = pieces.sampled(vocabulary, [text], [7], 3)[0]
+    assert len({tuple(x[0].tolist()) for x in found}) == 3 and all(vocabulary.decode(vocabulary.ids(x[0])) == text for x in found)
+
+
+def test_what_is_kept_changes_nothing(monkeypatch):
+    texts, keys = [f"some word{k} and thereafter {k * k}" for k in range(60)], list(range(60))
+    flat = lambda found: [(x[0].tolist(), *x[1:]) for rows in found for x in rows]
+    whole = flat(pieces.sampled(pieces.Pieces(pieces.model_path()), texts, keys))
+    monkeypatch.setattr(pieces, "KEPT", 100)
+    vocabulary = pieces.Pieces(pieces.model_path())
+    assert whole == [x for k in range(0, 60, 7) for x in flat(pieces.sampled(vocabulary, texts[k : k + 7], keys[k : k + 7]))]
+
+
 def test_round_trip(spark):
     texts = ["", "a  b\n é😀 x", None, "word " * 500, " lead", "\x00\t一Ａ"]
     docs = spark.createDataFrame([*((i, t, 1) for i, t in enumerate(texts)), (0, "", 1)], "doc_id long, text string, ids int")
