@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a key that no task minds.
+HOT = 10_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -57,3 +62,32 @@ def schema_of(names: str) -> pa.Schema:
     """Arrow schema of a short Spark DDL string with plain types."""
     kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
     return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in names.split(","))])
+
+
+def unused(df: DataFrame, n: int) -> list[str]:
+    """Names of n columns that df has not."""
+    taken = {c.lower() for c in df.columns}
+    return list(itertools.islice((x for x in (f"_{k}" for k in itertools.count()) if x not in taken), n))
+
+
+def look_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Inner join of rows with a table that has one row per (long, not null) key and `n`, how many
+    rows have that key; the result has no `n`.
+
+    The rows of a key that many share would meet in one task.  Keys with over 1 / (4 x partitions)
+    of all rows are fewer than 4 x partitions, whatever the input: those are broadcast, and their
+    rows stay where they are.  table should be a checkpoint, since it is read twice.
+    """
+    spark = table.sparkSession
+    total = table.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") > max(HOT, total // (4 * partitions(spark)))
+    values = [c for c in table.columns if c not in (key, "n")]
+    held = table.select(key, F.struct(*values).alias("_held"), "n")
+    if held.filter(hot).isEmpty():
+        return rows.join(held.drop("n"), key).select(*rows.columns, "_held.*")
+    few = F.broadcast(held.filter(hot).select(key, F.col("_held").alias("_hot")))
+    # rows that are done go anywhere
+    rest = rows.join(few, key, "left").withColumn("_at", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.xxhash64(*rows.columns)))
+    out = rest.join(held.filter(~hot).select(F.col(key).alias("_at"), "_held"), "_at", "left")
+    out = out.withColumn("_held", F.coalesce("_hot", "_held")).filter("_held is not null")
+    return out.select(*rows.columns, "_held.*")

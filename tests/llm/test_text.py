@@ -7,8 +7,9 @@ from collections import Counter
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from quadrat.llm import chat, lines, lm, pieces, pii, toxicity
+from quadrat.llm import chat, common, lines, lm, pieces, pii, toxicity
 
 said = st.text(alphabet="<|>\\/\nab é", max_size=12)
 
@@ -103,7 +104,7 @@ def test_loopy_messages_are_exact_on_a_tree():
 
 
 # line dedup
-def plain_dropped(docs, least=3, near=5):
+def plain_dropped(docs, least=1, near=5):
     def close(a, b):
         if a == b:
             return True
@@ -128,17 +129,34 @@ def test_line_dedup(spark):
             n = int(rng.integers(1, 9))
             made.append(" ".join("abc"[k] for k in rng.integers(0, 3 if n < 7 else 2, n)))
         docs.append((d, "\n".join(made)))
-    docs += [(20, None), (21, ""), (22, "one two three four five six\n\none two  three four five seven\none two three four five"), (23, "x y"), (24, "x y")]
-    df = spark.createDataFrame([(*r, 1) for r in docs], "doc_id long, text string, line int")
+    docs += [(20, None), (21, ""), (22, "one two three four five six\n\none two  three four five seven\none two three four five"), (23, "x y"), (24, "x y\nz")]
+    df = spark.createDataFrame([(*r, 1, "k", 2) for r in docs], "doc_id long, text string, line int, _0 string, _gone int")
     got = {(r.doc_id, r.line) for r in lines.dropped(df).collect()}
     assert got == plain_dropped(docs) and (22, 2) in got and (22, 3) in got
+    assert lines.dedup(df).columns == df.columns and all((r["_0"], r["_gone"], r.line) == ("k", 2, 1) for r in lines.dedup(df).collect())
     clean = {r.doc_id: r.text for r in lines.dedup(df).collect()}
-    assert clean[20] is None and clean[22] == "one two three four five six\n" and clean[24] == "x y"
+    assert clean[20] is None and clean[22] == "one two three four five six\n" and clean[24] == "z"
     for d, t in docs[:12]:
         assert clean[d] == "\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in got)
     assert lines.dropped(df.limit(0)).count() == 0
 
 
+def test_line_dedup_when_keys_are_equal_by_chance(spark, monkeypatch):
+    few = lines._variants
+    monkeypatch.setattr(lines, "_variants", lambda some, seed: few(some, seed).withColumn("key", F.pmod("key", F.lit(3))) if seed == 0 else few(some, seed))
+    rng = np.random.default_rng(4)
+    docs = [(d, "\n".join(" ".join("abc"[k] for k in rng.integers(0, 3, 7)) for _ in range(5))) for d in range(12)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(r.doc_id, r.line) for r in lines.dropped(df).collect()} == plain_dropped(docs)
+
+
+def test_very_common_lines_and_variants(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 3)
+    docs = [(d, f"one line that all have\na line with the number {d} in it\nx{d}") for d in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    assert {(r.doc_id, r.line) for r in lines.dropped(df).collect()} == plain_dropped(docs) == {(d, k) for d in range(1, 60) for k in (0, 1)}
+
+
 def test_line_dedup_repeated_rows_and_nulls(spark):
     df = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (None, None)], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.text) for r in lines.dedup(df).collect() if r.text is not None) == [(0, ""), (1, "a b c d"), (1, "a b c d")]
