@@ -50,7 +50,8 @@ def different(docs: DataFrame, least: int = 1, near: int = 5) -> DataFrame:
     """`h, o, check, n, s` of every different line: its earliest place, how often it occurs, and its
     words, if it may be near another one; a checkpoint."""
     first = lines(docs, least).groupBy("h").agg(F.min(F.struct("o", "check", "s")).alias("f"), F.count("*").alias("n"))
-    long = first.select("h", F.col("f.s").alias("s")).withColumn("m", _size("s")).filter(F.col("m") >= near)
+    # n is asked of this branch too, so that both have the same exchange and words are shuffled once
+    long = first.filter("n > 0").select("h", F.col("f.s").alias("s")).withColumn("m", _size("s")).filter(F.col("m") >= near)
     # a line is met under its own middle and under that of a line with one word less
     keys = long.select("h", F.explode(F.array(*_halves("m"), *_halves("m - 1"))).alias("key"))
     shared = keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("key")

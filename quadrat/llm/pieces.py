@@ -35,7 +35,7 @@ from .common import chunks
 ALPHA, SAMPLES = 0.25, 2
 BYTES_AT_ONCE = 1 << 21
 #: Characters of words whose lattices a worker keeps, and places of a long word whose edges it makes at once.
-KEPT, BLOCK = 2_500_000, 1 << 15
+KEPT, BLOCK = 1_800_000, 1 << 15
 WORD = re.compile("▁*[^▁]+|▁+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SAMPLE = "doc_id long, sample int, n_pieces long, ids_crc32 long, logprob double, perturbed double, log_inclusion double, round_trip boolean"
