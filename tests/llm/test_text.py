@@ -1,10 +1,13 @@
 """Chat, PII, line dedup, toxicity, language model and pieces, each against a plain version."""
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -178,8 +181,6 @@ def test_toxicity_held_out(spark):
     docs = spark.createDataFrame([*((i, t) for i, t, _ in rows), (1000, None), (1001, ""), (None, "stupid")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y, y) for i, _, y in rows], "doc_id long, toxic int, score int")
     got = toxicity.score(docs, toxicity.trained(docs, labels)).collect()
-    import zlib
-
     held = {r.doc_id: r for r in got if r.held_out}
     assert set(held) == {i for i in [*range(400), 1000, 1001] if zlib.crc32(str(i).encode()) % 4 == 2}
     right = [held[i].predicted == y for i, _, y in rows if i in held]
@@ -189,6 +190,45 @@ def test_toxicity_held_out(spark):
     assert kept == {r.doc_id for r in got if not r.predicted}
 
 
+def test_toxicity_against_brute_force(spark):
+    rows = list(corpus(300, 5))
+    model = toxicity.fit([t for _, t, _ in rows], [y for *_, y in rows])
+    assert b" stupid " in model.toxic or b"worthless" in model.toxic
+    texts = [rows[0][1], "", None, "stupid " * 3, "x" * 5000]
+
+    def size(content, word):  # one word at a time, with a compressor of its own
+        log = dict(hash_log=17, chain_log=17, write_content_size=False, write_dict_id=False, write_checksum=False)
+        whole = content + toxicity.HEAD + toxicity.TAIL
+        how = zstandard.ZstdCompressionParameters.from_level(toxicity.LEVEL, source_size=128, dict_size=len(whole), **log)
+        held = zstandard.ZstdCompressionDict(whole, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=held, compression_params=how).compress(toxicity.HEAD + b" " + word + b" " + toxicity.TAIL))
+
+    for text, score in zip(texts, model.score([toxicity.words(t) for t in texts])):
+        saved = [size(model.ordinary, w) - size(model.ordinary + model.toxic, w) for w in (text or "").lower().encode().split()]
+        over = [sum(s >= k for s in saved) for k in toxicity.SAVED]
+        x = [1, max(saved, default=0), *map(math.log1p, over), *(min(n, 1) for n in over), math.log1p(len(saved))]
+        assert abs(score - 1 / (1 + math.exp(-min(30, max(-30, sum(a * b for a, b in zip(x, model.weights))))))) < 1e-9
+
+
+def test_toxicity_learns_from_its_rows_only(spark):
+    rows = [(i, f"text {i} " + "very " * (i % 3), i % 2) for i in range(400)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(1, rows[1][1]), (7, "y" * 3000)], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = [r.text for r in toxicity.sampled(docs, labels, {0: 50, 1: 30}, 2000).collect()]
+    assert 0 < len(got) <= 80 and len(set(got)) == len(got) and sum(map(len, got)) <= 2000 and "y" * 3000 not in got
+    assert all(zlib.crc32(t.split()[1].encode()) % 4 != 2 for t in got)
+    again = toxicity.sampled(docs.repartition(2), labels, {0: 50, 1: 30}, 2000).collect()
+    assert [r.text for r in again] == got
+
+
+def test_toxicity_of_one_label_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(i, f"w{i} same words here") for i in range(9)] + [(1, "w1 same words here")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(9)], "doc_id long, toxic int")
+    got = toxicity.score(docs, toxicity.trained(docs, labels)).collect()
+    assert [r.score for r in got] == [0.0] * 10
+    assert toxicity.score(docs.limit(0), toxicity.trained(docs.limit(0), labels)).count() == 0
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     model = toxicity.trained(docs, spark.createDataFrame([], "doc_id long, toxic int"))
