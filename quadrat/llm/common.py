@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,10 +34,19 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it from there, which ends its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, forget: bool = False) -> DataFrame:
+    """Write df to the shared checkpoint folder and read it from there, which ends its lineage.
+
+    A checkpoint carries on its estimated size, and a join's estimate is the product of both sides':
+    over rounds of joins with itself that number gets so long that planning takes minutes.  With
+    forget, df is written as a table, which has the size of its files.
+    """
+    folder = shared_folder(df.sparkSession)
+    if not forget:
+        return df.checkpoint(eager=True)
+    path = f"{folder}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:

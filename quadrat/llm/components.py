@@ -19,11 +19,11 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = _tidy(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     rounds: list[DataFrame] = []
-    while not (edges := cut(edges)).isEmpty():
-        hooks = cut(edges.groupBy("u").agg(F.min("v").alias("p")))
+    while not (edges := cut(edges, forget=True)).isEmpty():
+        hooks = cut(edges.groupBy("u").agg(F.min("v").alias("p")), forget=True)
         while True:
             up = hooks.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-            hooks = cut(hooks.join(up, "p", "left").select("u", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")))
+            hooks = cut(hooks.join(up, "p", "left").select("u", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")), forget=True)
             if hooks.filter("moved").isEmpty():
                 break
             hooks = hooks.select("u", "p")
@@ -36,7 +36,7 @@ def components(links: DataFrame) -> DataFrame:
     found = rounds[-1]
     for hooks in reversed(rounds[:-1]):  # a node's end in an early round may have hooked later on
         later = found.select(F.col("u").alias("p"), F.col("p").alias("root"))
-        found = cut(hooks.join(later, "p", "left").select("u", F.coalesce("root", "p").alias("p")).unionByName(found))
+        found = cut(hooks.join(later, "p", "left").select("u", F.coalesce("root", "p").alias("p")).unionByName(found), forget=True)
     found = found.select(F.col("u").alias("node"), F.col("p").alias("root"))
     return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
 

@@ -1,13 +1,18 @@
 """Near-duplicate documents: all pairs whose sets of five-word shingles have a Jaccard similarity of 0.8.
 
-No pair is left to chance.  Shingles have one order for all texts, rare ones first as far as counts
-of hash buckets tell.  Of a set of n, similarity t asks n - ceil(t n) + 1 of the first ones, its
-prefix: sets of that similarity share at least one shingle of their prefixes, whatever the order is.
-So texts that share a key are the candidates, and their whole sets are compared.
+No pair is left to chance.  Sets of similarity t have at least ceil(t n) shingles of either's n in
+common, so all but n - ceil(t n) of them must be shared by other texts.  That is
+asked first of a part: of the n - ceil(t n) + 1 + m shingles with the smallest hashes at least
+floor(t m) + 1 must be shared, since the other text's size differs by a factor of t at most.  Then
+of the whole sets of the texts that are left.  Shingles of those have one order for all texts, from
+rare to frequent by exact counts.  Of a set of n, the first n - ceil(t n) + 1 are its keys: similar
+sets share at least one.  So passages that many documents share make no candidates, only texts that
+share a key do, and their whole sets are compared.
 
 What counts is which texts a chain of similar pairs connects, so pairs that are connected already
 needn't be compared.  Most links are found cheaply first: SimHash anchors propose stars, and then
-each key's texts meet one of them.  At last all pairs of a key that are still apart are compared.
+each key's texts meet one of them, as long as that finds links.  At last all pairs of a key that are
+still apart are compared.
 """
 
 from __future__ import annotations
@@ -18,18 +23,18 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import chunks, cut
+from .common import chunks, cut, look_up
 from .components import components
 
 WORDS, SIMILAR = 5, 0.8
-#: Buckets by whose counts shingles are ordered.  Any order finds all pairs; a good one makes keys rare.
-BUCKETS = 1 << 16
-#: Rounds in which the texts of a key meet one of them only.
-STARS = 2
+#: The part of a set that is asked first is larger by this share than the fewest that pairs must meet at.
+MORE = 0.15
+#: Most rounds in which the texts of a key meet one of them only.
+STARS = 4
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -45,38 +50,53 @@ def similar(x: np.ndarray, y: np.ndarray, similarity: float = SIMILAR) -> bool:
     return both >= similarity * (len(x) + len(y) - both) - 1e-9
 
 
-def _levels(texts: DataFrame, words: int) -> np.ndarray:
-    """Logarithm of the number of shingles in each bucket."""
+def _keys(texts: DataFrame, similarity: float, words: int) -> DataFrame:
+    """`key, node, size`: the first shingles of each text and the size of its set; of copies in one
+    task only one's."""
 
     def run(batches):
-        total = np.zeros(BUCKETS, np.int64)
+        seen: set[int] = set()
         for batch in chunks(batches):
-            total += np.bincount(np.concatenate([shingles(t, words) for t in batch.column(1).to_pylist()]) % np.uint64(BUCKETS), minlength=BUCKETS)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["code", "n"])
+            keys, nodes, sizes = [np.zeros(0, np.uint64)], [], []
+            for node, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if node not in seen:
+                    seen.add(node)
+                    found = shingles(t, words)
+                    n = len(found)
+                    keys.append(found[: n - math.ceil(similarity * n - 1e-9) + 1 + math.floor(MORE * n)])
+                    nodes.append(node)
+                    sizes.append(n)
+            n = [len(k) for k in keys[1:]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(nodes, n), pa.int64()), pa.array(np.repeat(sizes, n), pa.int64())], names=["key", "node", "size"])
+
+    return texts.select("node", "text").mapInArrow(run, "key long, node long, size long")
+
+
+def _shared(keys: DataFrame) -> DataFrame:
+    """`key, node, size, df` of the keys that more than one node has, each once; df is how many rows have it."""
+    shared = cut(keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("key", "n", F.col("n").alias("df")), forget=True)
+    return look_up(keys, shared, "key").repartition("node").groupBy("node", "key", "size").agg(F.min("df").alias("df"))
 
-    found = texts.select("node", "text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS rows
-    out = np.zeros(BUCKETS)
-    out[found.column("code").to_numpy()] = np.floor(np.log2(found.column("n").to_numpy() + 1))
-    return out.astype(np.int8)
 
+def _survivors(texts: DataFrame, similarity: float, words: int) -> DataFrame:
+    """`node` of the texts that share enough of their first shingles with others."""
+    need = F.floor(F.lit(similarity) * F.floor(F.lit(MORE) * F.col("size") + F.lit(1e-9)) + F.lit(1e-9))
+    return _shared(_keys(texts, similarity, words)).groupBy("node", "size").agg(F.count("*").alias("k")).filter(F.col("k") > need).select("node")
 
-def _keys(texts: DataFrame, levels: np.ndarray, similarity: float, words: int) -> DataFrame:
-    """`key, node, size`: the prefix of each text and the size of its set."""
+
+def _candidates(sets: DataFrame, similarity: float) -> DataFrame:
+    """`key, node, size`: the rarest shingles of each set, where at least two sets meet."""
 
     def run(batches):
-        for batch in chunks(batches):
-            keys, sizes = [], []
-            for t in batch.column(1).to_pylist():
-                found = shingles(t, words)
-                sizes.append(len(found))
-                keys.append(found[np.lexsort((found, levels[found % np.uint64(BUCKETS)]))[: len(found) - math.ceil(similarity * len(found) - 1e-9) + 1]])
-            n = [len(k) for k in keys]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array(np.repeat(sizes, n))], names=["key", "node", "size"]
-            )
+        for batch in batches:
+            found = [np.frombuffer(s, np.int64) for s in batch.column(1).to_pylist()]
+            n = [len(x) for x in found]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array(np.repeat(n, n), pa.int64())], names=["key", "node", "size"])
 
-    return texts.select("node", "text").mapInArrow(run, "key long, node long, size long")
+    by = Window.partitionBy("node")
+    met = _shared(sets.select("node", "body").mapInArrow(run, "key long, node long, size long"))
+    met = met.withColumns({"k": F.count("*").over(by), "r": F.row_number().over(by.orderBy("df", "key"))})
+    return cut(met.filter(F.col("r") <= F.col("k") - F.ceil(F.lit(similarity) * F.col("size") - F.lit(1e-9)) + 1).select("key", "node", "size"), forget=True)
 
 
 def _sets(texts: DataFrame, words: int) -> DataFrame:
@@ -106,7 +126,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 def _proposed(sets: DataFrame) -> DataFrame:
     """`a, b`: stars of equal SimHashes, and between those that differ in up to three bits."""
-    prints = cut(sets.groupBy("fp").agg(F.min("node").alias("a")))
+    prints = cut(sets.groupBy("fp").agg(F.min("node").alias("a")), forget=True)
     equal = sets.join(prints, "fp").select("a", F.col("node").alias("b"))
     ends = prints.select(F.col("fp").alias("b"), F.col("a").alias("other"))
     near = simhash.links(prints, 3).withColumnRenamed("a", "fp").join(prints, "fp").join(ends, "b").select("a", F.col("other").alias("b"))
@@ -115,24 +135,28 @@ def _proposed(sets: DataFrame) -> DataFrame:
 
 def connected(texts: DataFrame, similarity: float = SIMILAR, words: int = WORDS) -> DataFrame:
     """`node, root` of the rows of `node, text` that are similar to another one: root is the smallest
-    node that a chain of similar pairs reaches.  texts must be a checkpoint, and its nodes different."""
-    keys = _keys(texts, _levels(texts, words), similarity, words)
-    met = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key")
-    keys = cut(keys.join(met, "key", "left_semi"))
-    sets = cut(_sets(texts.join(keys.select("node").distinct(), "node", "left_semi"), words))
-    links = cut(_verified(_proposed(sets), sets, similarity))
+    node that a chain of similar pairs reaches.  Rows of one node must have one text."""
+    some = texts.join(cut(_survivors(texts, similarity, words), forget=True), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    sets = cut(_sets(some, words), forget=True)
+    keys = _candidates(sets, similarity)
+    sets = cut(sets.join(keys.select("node").distinct(), "node", "left_semi"), forget=True)
+    links = cut(_verified(_proposed(sets), sets, similarity), forget=True)
     for turn in range(STARS + 1):
         label = components(links)
-        at = cut(keys.join(label, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("label")))
-        apart = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node")).alias("p")).filter("lo <> hi")
-        some = at.join(apart.select("key", F.col("p.node").alias("pivot")), "key")
-        other = some.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("label").alias("label_b"), "pivot")
-        if turn < STARS:
-            other = other.filter("b = pivot")
-        pairs = some.drop("pivot").join(other.drop("pivot"), "key").filter("label < label_b" if turn == STARS else "label <> label_b")
+        at = cut(keys.join(label, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("label")), forget=True)
+        one = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "size", "label")).alias("p")
+        apart = cut(at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), one).filter("lo <> hi").select("key", "n", "p"), forget=True)
+        last = turn == STARS or (turn and not grew)
+        if not last:
+            pairs = look_up(at, apart, "key").select("node", "size", "label", F.col("p.node").alias("b"), F.col("p.size").alias("size_b"), F.col("p.label").alias("label_b")).filter("label <> label_b")
+        else:
+            left = look_up(at, apart.select("key", "n", F.lit(1).alias("on")), "key").drop("on")
+            pairs = left.join(left.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("label").alias("label_b")), "key").filter("label < label_b")
         pairs = pairs.filter(F.least("size", "size_b") >= similarity * F.greatest("size", "size_b") - 1e-9)
-        links = cut(links.unionByName(_verified(pairs.select(F.col("node").alias("a"), "b"), sets, similarity)))
-    return components(links)
+        found = cut(_verified(pairs.select(F.col("node").alias("a"), "b"), sets, similarity), forget=True)
+        links, grew = links.unionByName(found), not found.isEmpty()
+        if last:
+            return components(links)
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILAR, words: int = WORDS) -> DataFrame:
@@ -140,12 +164,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILAR, words: int = W
     similar texts reaches, the row's own included; null only where no row of it has a doc_id."""
     said = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), said.alias("text")).withColumn("node", F.xxhash64("text"))
-    texts = cut(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("text").alias("text")))
-    label = connected(texts, similarity, words)
-    each = texts.select("node", "first").join(label, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    firsts = cut(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), forget=True)
+    each = firsts.join(connected(rows, similarity, words), "node", "left").select("node", "first", "n", F.coalesce("root", "node").alias("root"))
     least = each.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = each.join(least, "root").select("node", "component_id")
-    return rows.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+    named = cut(each.join(least, "root").select("node", "component_id", "n"), forget=True)
+    return look_up(rows.select("doc_id", "node"), named, "node").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILAR, words: int = WORDS) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, cut
+from .common import chunks, cut, look_up
 from .components import components
 
 BLOCK = 2048
@@ -184,13 +184,13 @@ def near_duplicates(docs: DataFrame, threshold: int = 2, words: int = 3) -> Data
     a doc_id stay apart.  An empty table gives an empty one.
     """
     rows = cut(fingerprints(docs, words))
-    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     member = components(links(distinct, threshold))
     joined = member.join(distinct, member.node == distinct.fp).select("node", "root", "first")
     named = cut(joined.groupBy("root").agg(F.min("first").alias("least")))
     linked = joined.join(named, "root").select(F.col("node").alias("fp"), "least")
-    each = distinct.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return rows.join(each, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    each = cut(distinct.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"), "n"))
+    return look_up(rows, each, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, threshold: int = 2, words: int = 3) -> DataFrame:
