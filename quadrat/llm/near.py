@@ -34,7 +34,7 @@ WORDS, SIMILAR = 5, 0.8
 #: The part of a set that is asked first is larger by this share than the fewest that pairs must meet at.
 MORE = 0.15
 #: Most rounds in which the texts of a key meet one of them only.
-STARS = 4
+STARS = 2
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:

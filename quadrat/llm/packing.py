@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, partitions, schema_of
+from .common import chunks, cut, partitions, schema_of, unused
 
 CAPACITY = 2048
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -132,25 +132,27 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.n
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add sequence_id and offset to rows that have a `length` from 1 to capacity.
 
-    items is read three times: hand in a table or a checkpoint.  Rows of one length are numbered
+    items is read once and kept as a checkpoint.  Rows of one length are numbered
     in salted groups whose counts are summed before, so a length that a third of all rows share is
     spread over all tasks.  Ties and repeated rows are interchangeable: each gets its own place.
     An empty table gives an empty table.  Raises ValueError for lengths outside 1..capacity.
     """
     spark, salts = items.sparkSession, partitions(items.sparkSession)
     columns = [c for c in items.columns if c not in ("sequence_id", "offset")]
-    salted = items.select(*columns).withColumn("_salt", F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int"))
-    by = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    total = by.groupBy("length").agg(F.sum("_n").alias("n")).collect()  # at most capacity rows
+    salt, count, ahead, rank, place = unused(items, 5)
+    # by task and place, not by content: repeated rows are spread as well.  Written down, so that a lost task can't deal anew
+    salted = cut(items.select(*columns).withColumn(place, F.monotonically_increasing_id()).withColumn(salt, F.pmod(place, F.lit(salts)).cast("int")))
+    by = salted.groupBy("length", salt).agg(F.count("*").alias(count))
+    total = by.groupBy("length").agg(F.sum(count).alias("n")).collect()  # at most capacity rows
     if any(r["length"] is None or not 1 <= r["length"] <= capacity for r in total):
         raise ValueError(f"lengths must be from 1 to {capacity}")
     counts = np.zeros(capacity + 1, np.int64)
     for r in total:
         counts[r["length"]] = r["n"]
     placed = spark.sparkContext.broadcast(plan(counts, capacity))
-    before = by.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).drop("_n")
-    rank = F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*[c for c in columns if c != "length"])) - 1
-    ranked = salted.withColumn("_rank", rank).join(before, ["length", "_salt"]).select(*columns, (F.col("_rank") + F.col("_before")).alias("_rank"))
+    before = by.withColumn(ahead, F.sum(count).over(Window.partitionBy("length").orderBy(salt)) - F.col(count)).drop(count)
+    number = F.row_number().over(Window.partitionBy("length", salt).orderBy(place)) - 1
+    ranked = salted.withColumn(rank, number).join(before, ["length", salt]).select(*columns, (F.col(rank) + F.col(ahead)).alias(rank))
 
     def run(batches):
         keys, firsts, offsets = placed.value
@@ -167,9 +169,9 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Tokenise, cut and pack documents: where each piece goes, with a checksum of its ids.
 
-    The tokenised table is checkpointed: it is what a lost executor would otherwise cost.
+    `pack` checkpoints the tokenised table: it is what a lost executor would otherwise cost.
     """
-    return pack(cut(pieces(docs, path, capacity)), capacity)
+    return pack(pieces(docs, path, capacity), capacity)
 
 
 def sequences(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -177,6 +179,6 @@ def sequences(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY
 
     A sequence has at most `capacity` tokens, so each group is bounded.
     """
-    placed = pack(cut(pieces(docs, path, capacity, with_ids=True)), capacity)
+    placed = pack(pieces(docs, path, capacity, with_ids=True), capacity)
     parts = placed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids", "doc_id"))).alias("p"))
     return parts.select("sequence_id", F.expr("aggregate(p, X'', (a, x) -> concat(a, x.ids))").alias("ids"), F.col("p.doc_id").alias("doc_ids"))

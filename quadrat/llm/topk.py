@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS, QUERIES, AT_ONCE = 16_384, 512, 16
+ROWS, QUERIES, AT_ONCE = 4096, 512, 16
 PACKED = "block int, ids binary, terms int, weights binary"
 
 
@@ -26,9 +26,9 @@ def finite(vector: Column) -> Column:
 
 def quantised(vectors: DataFrame, scale: float = 64.0) -> DataFrame:
     """`vec_id, weights` (floor(scale * x), x as double); rows without an id or with a null, NaN or
-    infinite component, or a null vector, are left out."""
+    infinite component, or a null vector, are left out.  A component that 64 bits can't hold is an error."""
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v")).filter(F.col("vec_id").isNotNull() & finite(F.col("v")))
-    return rows.select("vec_id", F.transform("v", lambda x: F.floor(x * F.lit(scale)).cast("long")).alias("weights"))
+    return rows.select("vec_id", F.transform("v", lambda x: F.when(F.abs(x * F.lit(scale)) < 2.0**63, F.floor(x * F.lit(scale)).cast("long")).otherwise(F.raise_error(F.lit("a component is too large")).cast("long"))).alias("weights"))
 
 
 def packed(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
@@ -56,10 +56,13 @@ def packed(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
 
 
 def best(row_ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
-    """(query ids, row ids, scores) of each query's best k rows but its own; rows in order of id."""
+    """(query ids, row ids, scores) of each query's best k rows but its own; rows in order of id.
+
+    Sums are of the narrowest integers that hold them, of exact ones if 64 bits may not; a score
+    that 64 bits can't hold is an error."""
     terms, n = min(rows.shape[1], queries.shape[1]), len(rows)
-    wide = float(np.abs(rows).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(terms, 1) >= 2**31
-    kind = np.int64 if wide else np.int32
+    most = float(np.abs(rows.astype(float)).max(initial=0)) * float(np.abs(queries.astype(float)).max(initial=0)) * max(terms, 1)
+    kind = np.int32 if most < 2**31 else np.int64 if most < 2**62 else object
     postings = []
     for t in range(terms):
         at = np.flatnonzero(rows[:, t])
@@ -67,7 +70,6 @@ def best(row_ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries:
         postings.append((None if dense else at, np.ascontiguousarray(rows[:, t] if dense else rows[at, t], kind)))
     queries = queries.astype(kind)
     out = []
-    tie = np.arange(n, 0, -1, dtype=np.int64)  # a smaller id is worth more among equal scores
     for start in range(0, len(queries), AT_ONCE):
         some = queries[start : start + AT_ONCE]
         scores, part = np.zeros((len(some), n), kind), np.empty((len(some), n), kind)
@@ -85,13 +87,15 @@ def best(row_ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries:
                 scores[has] += some[has, t, None] * weights
         for q in range(len(some)):
             own = query_ids[start + q]
-            mine = scores[q].astype(np.int64)
             low, high = np.searchsorted(row_ids, [own, own + 1])
             left = np.r_[0:low, high:n] if high > low else slice(None)
-            key, ids, value = (mine * (n + 1) + tie)[left], row_ids[left], mine[left]
-            if len(key) > k:
-                top = np.argpartition(key, len(key) - k)[len(key) - k :]
+            ids, value = row_ids[left], scores[q][left]
+            if len(ids) > k:  # all over the border, and of those on it the smallest ids
+                border = np.partition(value, len(value) - k)[len(value) - k]
+                over, on = np.flatnonzero(value > border), np.flatnonzero(value == border)
+                top = np.concatenate([over, on[: k - len(over)]])
                 ids, value = ids[top], value[top]
+            value = value.astype(np.int64)  # raises OverflowError where it must
             out.append((np.full(len(ids), own), ids, value))
     return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
@@ -103,9 +107,11 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     Both tables have `vec_id, weights`; missing components count as 0.  Repeated query rows count
     once, and of repeated row ids the best score counts.  Empty tables give an empty result.
     """
-    held, _ = packed(rows, ROWS)
-    asked, n = packed(queries, QUERIES)
-    meet = held.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("q")).join(asked.select(F.col("block").alias("q"), F.col("ids").alias("q_ids"), F.col("terms").alias("q_terms"), F.col("weights").alias("q_weights")), "q")
+    held, n = packed(rows, ROWS)
+    asked, _ = packed(queries, QUERIES)
+    # the small blocks travel: each goes to every block of rows
+    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), F.col("ids").alias("q_ids"), F.col("terms").alias("q_terms"), F.col("weights").alias("q_weights"))
+    meet = asked.join(held, "block")
     meet = meet.select("ids", "terms", "weights", "q_ids", "q_terms", "q_weights")
 
     def search(batches):

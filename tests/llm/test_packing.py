@@ -87,3 +87,10 @@ def test_documents(spark):
 def test_bad_lengths(spark):
     with pytest.raises(ValueError):
         packing.pack(spark.createDataFrame([(0,)], "length long"), 8)
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    rows = [(None, 700, "k", 1, 2)] * 40 + [(1, 2048, "k", 1, 2)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, length long, _salt string, _rank int, _0 int")).collect()
+    assert all((r["_salt"], r["_rank"], r["_0"]) == ("k", 1, 2) for r in got)
+    assert len({(r.sequence_id, r.offset) for r in got}) == 41 and len({r.sequence_id for r in got}) == 21

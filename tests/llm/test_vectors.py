@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quadrat.llm import ann, topk
@@ -37,6 +38,23 @@ def test_sparse_and_wide_scores():
     assert found.tolist() == [0] and score.tolist() == [0]
 
 
+def test_scores_near_the_largest():
+    n, ids = 16_384, np.arange(16_384)
+    _, found, score = topk.best(ids, np.full((n, 1), 2**40), np.array([n - 1]), np.array([[2**16]]), 5)
+    assert found.tolist() == [0, 1, 2, 3, 4] and set(score.tolist()) == {2**56}
+    rows = np.array([[2**62, 2**62], [2**62, -(2**62)], [1, 1]])
+    _, found, score = topk.best(np.arange(3), rows, np.array([0]), np.array([[1, 1]]), 3)
+    assert dict(zip(found.tolist(), score.tolist())) == {1: 0, 2: 2}
+    with pytest.raises(OverflowError):
+        topk.best(np.arange(3), rows, np.array([9]), np.array([[1, 1]]), 3)
+
+
+def test_components_that_are_too_large(spark):
+    df = table(spark, [(1, [1e30]), (2, [1.0])])
+    with pytest.raises(Exception, match="too large"):
+        topk.quantised(df).collect()
+
+
 def cosines(x, i):
     y = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = y @ y[i]
