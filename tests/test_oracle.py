@@ -1,4 +1,4 @@
-"""Every named query against its SQL, on whole tables of the smallest scale."""
+"""Every named query against its SQL, on whole tables."""
 
 import os
 
@@ -8,7 +8,7 @@ from quadrat.plans.oracle import ORACLE
 from quadrat.plans.queries import QUERIES
 
 duckdb = pytest.importorskip("duckdb")
-SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
+SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
 
 
 @pytest.fixture(scope="module")
