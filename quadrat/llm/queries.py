@@ -32,8 +32,7 @@ def op5_gumbel_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents", "doc_id", "text")
-    return lm.score(docs, lm.fit(docs))
+    return lm.score(lm.fit(read(spark, sf_dir, "documents", "doc_id", "text")))
 
 
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -236,33 +236,69 @@ def test_toxicity_without_labels(spark):
 
 
 # language model
-def test_lm_counts_and_scores(spark):
-    rows = [(1, "the cat sat on the mat"), (2, "The dog sat"), (3, None), (4, ""), (1, "the cat sat on the mat"), (None, "one")]
-    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, score int").repartition(3)
-    model = lm.fit(docs.repartition(2))
-    counts = Counter(b for _, t in rows for b in lm.buckets(t).tolist())
-    array = np.zeros(lm.BUCKETS, int)
-    for b, n in counts.items():
-        array[b] = n
-    assert (model.classes == lm.class_of(array)).all()
-    assert np.allclose(np.exp(model.table).sum(axis=2), 1)
-    shares = np.bincount(model.classes, np.exp(model.share))
-    assert np.allclose(shares, 1)
-    want = {}
+def plain_scores(rows, model):
+    """Scores of (doc_id, text) rows, word by word, with the model's network."""
+    counts = Counter(w for _, t in rows for w in lm.words(t))
+    top = sorted(counts, key=lambda w: (-counts[w], lm.key(w)))[: lm.HEAD]
+    band = lambda n: min(lm.BANDS - 1, (n.bit_length() - 1) // 2)
+    classes = {w: top.index(w) if w in top else lm.HEAD + band(n) * lm.FORMS + lm.form(w) for w, n in counts.items()}
+    total, different = Counter(), Counter()
+    for w, n in counts.items():
+        total[classes[w]] += n
+        different[classes[w]] += 1
+    want = []
     for d, t in rows:
-        own = [lm.EDGE, *model.classes[lm.buckets(t)], lm.EDGE]
-        want[d] = sum(model.table[own[i - 1], own[i + 1], own[i]] + model.share[k] for i, k in enumerate(lm.buckets(t).tolist(), 1))
-    got = lm.score(docs, model).collect()
-    assert len(got) == len(rows) and all(abs(r.score - want[r.doc_id]) < 1e-9 for r in got)
-    assert all((r.mean_logprob is None) == (r.n_tokens == 0) for r in got)
-    assert lm.score(docs.limit(0), lm.fit(docs.limit(0))).count() == 0
-
-
-def test_lm_network_learns():
-    triples = np.zeros((lm.CLASSES + 1, lm.CLASSES, lm.CLASSES + 1))
-    triples[0, 1, 2], triples[0, 2, 3], triples[4, 5, 2] = 50, 50, 50
-    p = np.exp(lm.train(triples))
-    assert p[0, 2, 1] > 0.9 and p[0, 3, 2] > 0.9 and p[4, 2, 5] > 0.9
+        mine, score = lm.words(t), 0.0
+        own = [classes[w] for w in mine]
+        for i, w in enumerate(mine):
+            around = [own[i + k] if 0 <= i + k < len(own) else lm.EDGE for k in lm.PLACES]
+            score += model.network.logp(np.array([around]))[0, own[i]]
+            score += math.log((counts[w] - mine.count(w) + lm.SMOOTH) / (total[own[i]] + lm.SMOOTH * different[own[i]]))
+        want.append((d, len(mine), score))
+    return want
+
+
+def test_lm_scores(spark):
+    rng = np.random.default_rng(3)
+    rows = [(1, "the cat sat on the mat"), (2, "The dog sat"), (3, None), (4, ""), (1, "the cat sat on the mat"), (None, "one"), (7, "a\u0085b\xa0c "), (8, "x " * 3000)]
+    rows += [(10 + k, " ".join(f"w{int(x)}" for x in rng.zipf(1.3, 40) % 900)) for k in range(20)]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, score int").repartition(3)
+    model = lm.fit(docs, every=2)
+    got = lm.score(model).collect()
+    order = lambda r: (-1 if r[0] is None else r[0], r[1], r[2])
+    got, want = sorted(((r.doc_id, r.n_tokens, r.score) for r in got), key=order), sorted(plain_scores(rows, model), key=order)
+    assert [r[:2] for r in got] == [r[:2] for r in want] and np.allclose([r[2] for r in got], [r[2] for r in want], rtol=1e-5)
+    assert all((r.mean_logprob is None) == (r.n_tokens == 0) for r in lm.score(model).collect())
+    assert model.vocabulary.count() == len({w for _, t in rows for w in lm.words(t)})
+    assert lm.score(lm.fit(docs.limit(0))).count() == 0
+
+
+def test_lm_long_and_short_splits_agree():
+    text = "ab\t cd\x0b\x0c ef\r\n\x1c gh " * 300_000
+    assert lm.words(text) == text.lower().encode().split()
+
+
+def test_lm_learns_from_both_sides(spark):
+    """Each word follows from the one before and the one behind it; the network, averaged over
+    partitions, must see that in documents that had no part in its training."""
+    rng = np.random.default_rng(1)
+    chain = lambda k: " ".join(f"s{(int(k) + 3 * i) % 20}" for i in range(60))
+    docs = spark.createDataFrame([(i, chain(rng.integers(20))) for i in range(400)], "doc_id long, text string").repartition(4)
+    model = lm.fit(docs, every=1, rounds=4, batch=256)
+    named = {r.word: r["class"] for r in model.vocabulary.collect()}
+    own = np.array([named[lm.key(w)] for w in lm.words(chain(7))], np.uint8)
+    logp = model.network.logp(lm.window(own, np.array([len(own)])))[np.arange(len(own)), own]
+    assert logp.mean() > math.log(1 / 20) + 2
+
+
+def test_lm_sets_apart_documents_that_occur_twice(spark):
+    rng = np.random.default_rng(2)
+    new = lambda: " ".join("".join(rng.choice(list("abcdefgh"), 7)) for _ in range(60))
+    rows = [(i, new()) for i in range(40)]
+    rows += [(100 + i, t) for i, t in rows[:5]]
+    means = {r.doc_id: r.mean_logprob for r in lm.score(lm.fit(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    twice = {i for i in range(5)} | {100 + i for i in range(5)}
+    assert min(means[i] for i in twice) > max(m for i, m in means.items() if i not in twice) + 1
 
 
 # pieces
