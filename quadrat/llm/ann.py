@@ -1,8 +1,8 @@
 """Approximate nearest neighbours: a neighbour graph by NN-descent, and greedy search on it.
 
 Equal vectors are one node, so a vector that a third of all rows share has one place in the graph.
-The graph starts from random-projection leaves: in each of `trees` partitions by the signs of random
-projections, a node takes its nearest of its leaf.  Crowded leaves are split around their own mean,
+The graph starts from small random-projection leaves: in each of `trees` partitions by the signs of
+random projections, a node takes its nearest of its leaf.  Crowded leaves are split around their own mean,
 and what no projection splits is salted, by tree, to a bounded size.  Then
 NN-descent joins: every node's list and a sample of the nodes that list it meet at that node, and
 those of its members that are nearer than what they have learn of each other.  Only pairs with an
@@ -10,8 +10,8 @@ entry that is new since the last round are compared.  Vectors travel as bytes wi
 the search's scores are exact.
 
 A query starts at its own node.  Each hop looks up the lists of the nearest nodes it has not yet
-looked up, scores them in double precision and keeps the `beam` best, until a hop brings nothing or
-`hops` are done.
+looked up, scores them in double precision and keeps the `beam` best, until none of those is left to
+look up.  What has once fallen out of the beam can't come back, so the search ends.
 """
 
 from __future__ import annotations
@@ -193,21 +193,33 @@ def _descend(lists: DataFrame, nodes: DataFrame, dims: int, width: int, reverse:
     return _merged(old.unionByName(met.mapInArrow(join, LIST)), width)
 
 
-def graph(nodes: DataFrame, dims: int, width: int = 40, trees: int = 12, leaf: int = 2048, rounds: int | None = None, reverse: int = 16, learn: int = 4) -> DataFrame:
+def start(nodes: DataFrame, dims: int, width: int = 40, trees: int = 4, leaf: int = 128) -> DataFrame:
+    """First lists of `node, body`, from small leaves: most of what they hold is far from the nearest."""
+    n = nodes.count()
+    bits = max(0, math.ceil(math.log2(max(n, 1) / leaf)))
+    return cut(_merged(_leaves(nodes, dims, trees if bits else 1, bits, leaf, width), width))
+
+
+def changed(lists: DataFrame) -> float:
+    """The share of entries that came in with the last round."""
+    ones = F.expr("length(replace(hex(new), '0', ''))")  # a byte an entry, 00 or 01
+    row = lists.agg(F.sum(ones).alias("new"), F.sum(F.length("new")).alias("all")).first()
+    return (row["new"] or 0) / max(row["all"] or 0, 1)
+
+
+def graph(nodes: DataFrame, dims: int, width: int = 40, trees: int = 4, leaf: int = 128, settled: float = 0.02, reverse: int = 16, learn: int = 4) -> DataFrame:
     """The neighbour graph of `node, body` as packed lists.  nodes must be a checkpoint.
 
-    Twice the nodes halve the chance that two near ones share a leaf, so the rounds grow with the
-    logarithm of the number of leaves unless they are given.
+    Rounds of NN-descent go on, at every size, until at most `settled` of all entries are new in one.
+    An entry only ever gives way to a nearer one, so they end.
     """
-    n = nodes.count()
-    bits = max(0, math.ceil(math.log2(max(n, 1) / leaf))) if n > leaf else 0
-    lists = cut(_merged(_leaves(nodes, dims, trees if bits else 1, bits, leaf, width), width))
-    for turn in range((rounds or max(2, bits // 2)) if bits else 0):
-        lists = cut(_descend(lists, nodes, dims, width, reverse, learn, turn))
+    lists, turn = start(nodes, dims, width, trees, leaf), 0
+    while changed(lists) > settled:
+        lists, turn = cut(_descend(lists, nodes, dims, width, reverse, learn, turn)), turn + 1
     return lists
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, width: int = 40, beam: int = 128, ahead: int = 32, hops: int = 8, **how) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 5, width: int = 40, beam: int = 128, ahead: int = 32, **how) -> DataFrame:
     """`query_id, rank, vec_id, score`: the k nearest found of each query by cosine, its own row
     left out, nearest first, ties to the smaller vec_id.
 
@@ -246,7 +258,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, width: int = 40, be
     reached = cut(asking.select("q", F.col("q").alias("node"), (_dot("qv", "qv") / (F.col("qn") * F.col("qn"))).alias("score"), F.lit(False).alias("open")))
     frontier = reached.select("q", "node")
     best = Window.partitionBy("q").orderBy(F.desc("score"), "node")
-    for _ in range(hops):
+    while not frontier.isEmpty():
         near = frontier.join(links, "node").select("q", F.explode("ids").alias("node")).distinct().join(reached.select("q", "node"), ["q", "node"], "left_anti")
         scored = near.join(asking, "q").join(classes.select("node", "v", "norm"), "node").select("q", "node", (_dot("qv", "v") / (F.col("qn") * F.col("norm"))).alias("score"), F.lit(True).alias("open"))
         kept = reached.unionByName(scored).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= beam).drop("r")
@@ -254,8 +266,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, width: int = 40, be
         kept = cut(kept.withColumn("go", F.col("open") & (turn <= ahead)))
         frontier = kept.filter("go").select("q", "node")
         reached = kept.select("q", "node", "score", (F.col("open") & ~F.col("go")).alias("open"))
-        if frontier.isEmpty():
-            break
     # k + 1 smallest ids of a class: no query can return more of them
     alike = rows.join(classes.select("v", "node"), "v").select("node", "vec_id").distinct()
     alike = alike.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))).filter(F.col("r") <= k + 1).select("node", "vec_id")
