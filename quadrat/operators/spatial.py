@@ -12,27 +12,33 @@ PRIORITY = ("city", "town")
 ELSE = "rural"
 
 
-def tiled(polygons: DataFrame, tile: float, most: int = 4096) -> DataFrame:
+#: Sides of tiles, as multiples of the finest: a polygon is laid on the finest that its box touches few of.
+LEVELS = tuple(8.0**k for k in range(8))
+
+
+def tiled(polygons: DataFrame, tile: float, most: int = 64) -> DataFrame:
     """Polygons (kind, year, rings, minx, miny, maxx, maxy) once per tile that their box touches.
 
-    A box of more than `most` tiles is laid on tiles that are `most` times coarser a side instead;
-    points are met at both levels, so none is lost."""
-    n = lambda lo, hi: F.floor(F.col(hi) / tile) - F.floor(F.col(lo) / tile) + 1
-    level = F.when(n("minx", "maxx") * n("miny", "maxy") > most, F.lit(float(most))).otherwise(F.lit(1.0))
-    side = F.col("_l") * tile
-    tiles = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / side), F.floor(F.col(hi) / side)))
-    return polygons.withColumn("_l", level).withColumn("_tx", tiles("minx", "maxx")).withColumn("_ty", tiles("miny", "maxy"))
+    A box lies on the finest level at which it touches at most `most` tiles, so a large polygon's tiles
+    are no larger than its own size asks for."""
+    side = lambda level: F.lit(level * tile)
+    n = lambda lo, hi, level: F.floor(F.col(hi) / side(level)) - F.floor(F.col(lo) / side(level)) + 1
+    fits = [F.when(n("minx", "maxx", x) * n("miny", "maxy", x) <= most, F.lit(x)) for x in LEVELS]
+    tiles = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / (F.col("_l") * tile)), F.floor(F.col(hi) / (F.col("_l") * tile))))
+    return polygons.withColumn("_l", F.coalesce(*fits, F.lit(LEVELS[-1]))).withColumn("_tx", tiles("minx", "maxx")).withColumn("_ty", tiles("miny", "maxy"))
 
 
-def points_in(points: DataFrame, polygons: DataFrame, tile: float = 1.0, by_year: bool = True, most: int = 4096) -> DataFrame:
+def points_in(points: DataFrame, polygons: DataFrame, tile: float = 1.0, by_year: bool = True, most: int = 64) -> DataFrame:
     """`pid, kind` of points (pid, x, y, year) that lie in or on a polygon of a kind, each once.
 
-    Adaptive execution splits crowded tiles; the tested edges stay inside generated code.
+    A point is met only at the levels that some polygon lies on (one row of at most len(LEVELS) is sent
+    to all tasks).  Adaptive execution splits crowded tiles; the tested edges stay inside generated code.
     """
-    levels = F.explode(F.array(F.lit(1.0), F.lit(float(most)))).alias("_l")
-    held = points.select("pid", "x", "y", "year", levels).withColumns({"_tx": F.floor(F.col("x") / (F.col("_l") * tile)), "_ty": F.floor(F.col("y") / (F.col("_l") * tile))})
     poly = tiled(polygons, tile, most)
     poly = poly if by_year else poly.drop("year")
+    used = poly.agg(F.collect_set("_l").alias("_used"))
+    held = points.select("pid", "x", "y", "year").crossJoin(F.broadcast(used)).withColumn("_l", F.explode("_used")).drop("_used")
+    held = held.withColumns({"_tx": F.floor(F.col("x") / (F.col("_l") * tile)), "_ty": F.floor(F.col("y") / (F.col("_l") * tile))})
     met = held.join(poly, ["_l", "_tx", "_ty", *(["year"] if by_year else [])])
     inside = met.filter("x between minx and maxx and y between miny and maxy").filter(in_rings("x", "y", "rings"))
     return inside.select("pid", "kind").distinct()

@@ -53,9 +53,11 @@ def dense(counts: DataFrame, keys: dict[str, list], value: str = "n") -> DataFra
     return frame.join(counts, list(keys), "left").withColumn(value, F.coalesce(value, F.lit(0)).cast("bigint"))
 
 
-def stack_offset(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
-    """rows with `base`: the sum of value over the rows before in order, per group."""
-    before = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+def stack_offset(rows: DataFrame, by: str, order: str, value: str, places: list | None = None) -> DataFrame:
+    """rows with `base`: the sum of value over the rows before in order, per group.  With places, the
+    order is that of the list, and what is not in it comes first."""
+    place = F.col(order) if places is None else F.array_position(F.array(*map(F.lit, places)), F.col(order))
+    before = Window.partitionBy(by).orderBy(place, order).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("base", F.coalesce(F.sum(value).over(before), F.lit(0)).cast("bigint"))
 
 

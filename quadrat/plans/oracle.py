@@ -163,8 +163,15 @@ SELECT round(minx, 6) AS minx, round(miny, 6) AS miny, round(maxx, 6) AS maxx, r
     "v4_distribution": f"WITH {YEAR} " + _bins("ch", "delta", 30),
     "v6_trend": f"WITH {YEAR} SELECT year, continent, round({MEDIAN}, 6) AS median_richness, count(s_rare) AS n_scored FROM cy GROUP BY 1, 2",
     "v8_effort_metric": f"WITH {YEAR} SELECT year, CAST(sum(n_rec) AS BIGINT) AS n_rec, count(s_rare) AS n_scored, round({MEDIAN}, 6) AS median_richness FROM cy GROUP BY 1",
-    "v9_country_split": f"""WITH {CLS}, c AS (SELECT year, urban_class, count(*) AS n FROM cl JOIN customer ON cust = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'INDIA' GROUP BY 1, 2),
+    "v8_effort_stack": f"""WITH {YEAR}, c AS (SELECT year, continent, CAST(sum(n_rec) AS BIGINT) AS n_rec FROM cy GROUP BY 1, 2)
+SELECT *, CAST(coalesce(sum(n_rec) OVER (PARTITION BY year ORDER BY coalesce(list_position(['europe', 'america', 'asia', 'africa'], continent), 0), continent ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS base FROM c""",
+    "v8_metric_extrema": f"""WITH {YEAR}, m AS (SELECT year, round({MEDIAN}, 6) AS m FROM cy GROUP BY 1 HAVING count(s_rare) > 0)
+SELECT min(m) AS low, max(m) AS peak, (SELECT year FROM m ORDER BY m, year LIMIT 1) AS low_at, (SELECT year FROM m ORDER BY m DESC, year LIMIT 1) AS peak_at,
+  (SELECT m FROM m ORDER BY year DESC LIMIT 1) AS last, round(max(m) - (SELECT m FROM m ORDER BY year DESC LIMIT 1), 6) AS drop FROM m""",
+    "v9_country_split": f"""WITH {POLY}, h AS (SELECT pid, min(kind) AS kind FROM hit WHERE year = py GROUP BY 1),
+c AS (SELECT year, coalesce(kind, 'rural') AS urban_class, count(*) AS n FROM pt LEFT JOIN h USING (pid) JOIN customer ON cust = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'INDIA' GROUP BY 1, 2),
 d AS (SELECT CAST(yy AS INTEGER) AS year, k AS urban_class, coalesce(n, 0) AS n FROM range(1995, 2002) t(yy) CROSS JOIN (VALUES ('city'), ('town'), ('rural')) u(k) LEFT JOIN c ON year = yy AND urban_class = k)
-SELECT *, CAST(coalesce(sum(n) OVER (PARTITION BY year ORDER BY urban_class ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS base FROM d""",
+SELECT *, CAST(coalesce(sum(n) OVER (PARTITION BY year ORDER BY list_position(['city', 'town', 'rural'], urban_class) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS base,
+  round(n / CAST(nullif(sum(n) OVER (PARTITION BY year), 0) AS DOUBLE), 6) AS share FROM d""",
     "flagship_grid_labels": f"WITH {CELL} SELECT lat_cell, lon_cell, continent, n_rec, s_obs, round(s_rare_r3, 6) AS s_rare10, label, lat_band, label_regional FROM lab",
 }

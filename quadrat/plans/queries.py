@@ -14,6 +14,7 @@ from .proxy import INDICES, points, polygons, recordings, sites, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CLASSES = ["city", "town", "rural"]
+STACK = ["europe", "america", "asia", "africa"]
 
 
 def query(f):
@@ -432,22 +433,37 @@ def v4_distribution(s, d):
 
 @query
 def v6_trend(s, d):
-    out = temporal.trend(yearly(s, d)).filter("continent <> 'ALL'")
+    out = yearly(s, d).groupBy("year", "continent").agg(fn.upper_median("s_rare").alias("median_richness"), F.count("s_rare").alias("n_scored"))
     return rounded(out, "median_richness")
 
 
 @query
 def v8_effort_metric(s, d):
-    total = temporal.effort(yearly(s, d)).filter("continent = 'ALL'").select("year", "n_rec")
-    return rounded(total.join(temporal.scored_by_year(yearly(s, d)), "year"), "median_richness")
+    out = yearly(s, d).groupBy("year").agg(F.sum("n_rec").alias("n_rec"), F.count("s_rare").alias("n_scored"), fn.upper_median("s_rare").alias("median_richness"))
+    return rounded(out, "median_richness")
+
+
+@query
+def v8_effort_stack(s, d):
+    counts = yearly(s, d).groupBy("year", "continent").agg(F.sum("n_rec").alias("n_rec"))
+    return summaries.stack_offset(counts, "year", "continent", "n_rec", STACK)
+
+
+@query
+def v8_metric_extrema(s, d):
+    series = rounded(temporal.scored_by_year(yearly(s, d)).filter("median_richness is not null"), "median_richness")
+    return rounded(temporal.extrema(series, "year", "median_richness"), "drop")
 
 
 @query
 def v9_country_split(s, d):
-    india = recordings(s, d).filter("cnt = 'INDIA'").select(F.col("id").alias("pid"), fn.year_text(F.col("date")).cast("int").alias("year"))
-    tags = classed(s, d).select("pid", "urban_class")
-    counts = india.join(tags, "pid", "left").groupBy("year", "urban_class").agg(F.count("*").alias("n"))
-    return summaries.stack_offset(summaries.dense(counts, {"year": list(range(1995, 2002)), "urban_class": CLASSES}), "year", "urban_class", "n")
+    """A country's records by year and the class of the polygon they lie in: counts, shares, stack."""
+    india = recordings(s, d).filter("cnt = 'INDIA'").select(F.col("id").alias("pid"))
+    tags = spatial.overlay(points(s, d).join(india, "pid", "left_semi"), polygons(s, d), tile=2.0)
+    counts = tags.groupBy("year", "urban_class").agg(F.count("*").alias("n"))
+    full = summaries.dense(counts, {"year": list(range(1995, 2002)), "urban_class": CLASSES})
+    out = summaries.stack_offset(full, "year", "urban_class", "n", CLASSES)
+    return out.withColumn("share", r6(F.try_divide("n", F.sum("n").over(Window.partitionBy("year")))))
 
 
 @query
