@@ -80,9 +80,9 @@ def unused(df: DataFrame, n: int) -> list[str]:
     return list(itertools.islice((x for x in (f"_{k}" for k in itertools.count()) if x not in taken), n))
 
 
-def look_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+def look_up(rows: DataFrame, table: DataFrame, key: str, keep: str | None = None) -> DataFrame:
     """Inner join of rows with a table that has one row per (long, not null) key and `n`, how many
-    rows have that key; the result has no `n`.
+    rows have that key; the result has no `n`, unless keep names it.
 
     The rows of a key that many share would meet in one task.  Keys with over 1 / (4 x partitions)
     of all rows are fewer than 4 x partitions, whatever the input: those are broadcast, and their
@@ -91,7 +91,7 @@ def look_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     spark = table.sparkSession
     total = table.agg(F.sum("n")).first()[0] or 0
     hot = F.col("n") > max(HOT, total // (4 * partitions(spark)))
-    values = [c for c in table.columns if c not in (key, "n")]
+    values = [c for c in table.columns if c not in (key, "n") or c == keep]
     held = table.select(key, F.struct(*values).alias("_held"), "n")
     if held.filter(hot).isEmpty():
         return rows.join(held.drop("n"), key).select(*rows.columns, "_held.*")

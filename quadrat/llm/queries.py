@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, lines, lm, packing, pieces, pii, simhash, topk, toxicity
+from . import align, ann, chat, lines, lm, packing, pieces, pii, quality, ranked, simhash, topk, toxicity
 from .common import read
 
 
@@ -56,6 +56,19 @@ def op10_toxicity_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.trained(docs, read(spark, sf_dir, "labels", "doc_id", "toxic")))
 
 
+def op11_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "n_chars")
+    return quality.score(docs, quality.trained(docs, read(spark, sf_dir, "labels", "doc_id", "quality")))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.links(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op13_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"), 10)
+
+
 CHAT_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -88,9 +101,30 @@ FROM s QUALIFY rank <= 20
 """
 
 
+RANKED_SQL = r"""
+WITH said AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents
+), d AS (SELECT doc_id, row_number() OVER () AS r, words, len(words) AS n FROM said WHERE len(words) > 0
+), total AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM d
+), tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(words) AS term FROM d) GROUP BY 1, 2
+), w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * big_n + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf, total GROUP BY term, big_n
+), q AS (
+  SELECT item_id, term, count(*) AS k FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+  ) GROUP BY 1, 2
+), s AS (
+  SELECT item_id, doc_id, r, CAST(sum(k * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * big_n) // big_l)))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term) JOIN d USING (r), total GROUP BY 1, 2, 3
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_nn_descent, op3_pii_skip_chain, op4_simhash_anchors, op5_gumbel_pieces, op6_masked_lm, op7_exact_topk, op8_chat_format, op9_line_dedup, op10_toxicity_zstd)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_nn_descent, op3_pii_skip_chain, op4_simhash_anchors, op5_gumbel_pieces, op6_masked_lm, op7_exact_topk, op8_chat_format, op9_line_dedup, op10_toxicity_zstd, op11_quality_fm, op12_token_alignment, op13_threshold_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_topk": TOPK_SQL, "op8_chat_format": CHAT_SQL}
+    return {"op7_exact_topk": TOPK_SQL, "op8_chat_format": CHAT_SQL, "op13_threshold_search": RANKED_SQL}
