@@ -28,7 +28,7 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
-        if named is None and not sc.master.startswith("local"):
+        if named is None and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quadrat-"))
     return sc.getCheckpointDir()
@@ -80,6 +80,16 @@ def unused(df: DataFrame, n: int) -> list[str]:
     return list(itertools.islice((x for x in (f"_{k}" for k in itertools.count()) if x not in taken), n))
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark's expressions take it whole, dots and all."""
+    return f"`{name.replace('`', '``')}`"
+
+
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) for columns of any name: the batches' are numbered, in order."""
+    return df.toDF(*[f"_{k}" for k in range(len(df.columns))]).mapInArrow(run, schema)
+
+
 def look_up(rows: DataFrame, table: DataFrame, key: str, keep: str | None = None) -> DataFrame:
     """Inner join of rows with a table that has one row per (long, not null) key and `n`, how many
     rows have that key; the result has no `n`, unless keep names it.
@@ -92,12 +102,12 @@ def look_up(rows: DataFrame, table: DataFrame, key: str, keep: str | None = None
     total = table.agg(F.sum("n")).first()[0] or 0
     hot = F.col("n") > max(HOT, total // (4 * partitions(spark)))
     values = [c for c in table.columns if c not in (key, "n") or c == keep]
-    held = table.select(key, F.struct(*values).alias("_held"), "n")
+    held = table.select(key, F.struct(*map(quoted, values)).alias("_held"), "n")
     if held.filter(hot).isEmpty():
-        return rows.join(held.drop("n"), key).select(*rows.columns, "_held.*")
+        return rows.join(held.drop("n"), key).select(*map(quoted, rows.columns), "_held.*")
     few = F.broadcast(held.filter(hot).select(key, F.col("_held").alias("_hot")))
     # rows that are done go anywhere
-    rest = rows.join(few, key, "left").withColumn("_at", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.xxhash64(*rows.columns)))
+    rest = rows.join(few, key, "left").withColumn("_at", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.xxhash64(*map(quoted, rows.columns))))
     out = rest.join(held.filter(~hot).select(F.col(key).alias("_at"), "_held"), "_at", "left")
     out = out.withColumn("_held", F.coalesce("_hot", "_held")).filter("_held is not null")
-    return out.select(*rows.columns, "_held.*")
+    return out.select(*map(quoted, rows.columns), "_held.*")

@@ -6,8 +6,10 @@ asked first of a part: of the n - ceil(t n) + 1 + m shingles with the smallest h
 floor(t m) + 1 must be shared, since the other text's size differs by a factor of t at most.  Then
 of the whole sets of the texts that are left.  Shingles of those have one order for all texts, from
 rare to frequent by exact counts.  Of a set of n, the first n - ceil(t n) + 1 are its keys: similar
-sets share at least one.  So passages that many documents share make no candidates, only texts that
-share a key do, and their whole sets are compared.
+sets share at least one.  What two sets have in common stands, from the first key that they share, in
+what is left of either; so that key allows partners up to a certain size only.  Texts that share a key
+meet by their sizes, in classes, and only those that allow each other do.  A passage that many
+documents share, and that is too little of each to make them similar, so makes no candidates.
 
 What counts is which texts a chain of similar pairs connects, so pairs that are connected already
 needn't be compared.  Most links are found cheaply first: SimHash anchors propose stars, and then
@@ -27,13 +29,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import chunks, cut, look_up
+from .common import chunks, cut, look_up, quoted
 from .components import components
 
 WORDS, SIMILAR = 5, 0.8
 #: The part of a set that is asked first is larger by this share than the fewest that pairs must meet at.
 MORE = 0.15
-#: Most rounds in which the texts of a key meet one of them only.
+#: Most rounds in which the texts of a key meet one of them only: the smallest, then any.
 STARS = 2
 
 
@@ -85,7 +87,8 @@ def _survivors(texts: DataFrame, similarity: float, words: int) -> DataFrame:
 
 
 def _candidates(sets: DataFrame, similarity: float) -> DataFrame:
-    """`key, node, size`: the rarest shingles of each set, where at least two sets meet."""
+    """`key, node, size, most`: the rarest shingles of each set, where at least two sets meet, and the
+    size of the largest set that could be similar if this is the first key both have."""
 
     def run(batches):
         for batch in batches:
@@ -96,7 +99,20 @@ def _candidates(sets: DataFrame, similarity: float) -> DataFrame:
     by = Window.partitionBy("node")
     met = _shared(sets.select("node", "body").mapInArrow(run, "key long, node long, size long"))
     met = met.withColumns({"k": F.count("*").over(by), "r": F.row_number().over(by.orderBy("df", "key"))})
-    return cut(met.filter(F.col("r") <= F.col("k") - F.ceil(F.lit(similarity) * F.col("size") - F.lit(1e-9)) + 1).select("key", "node", "size"), forget=True)
+    left = F.col("k") - F.col("r") + 1  # what both have in common is among these
+    keys = met.filter(left >= F.lit(similarity) * F.col("size") - F.lit(1e-9))
+    most = F.least(F.floor(F.col("size") / similarity + 1e-9), F.floor(left * (1 + similarity) / similarity + 1e-9) - F.col("size"))
+    return cut(keys.select("key", "node", "size", most.cast("long").alias("most")), forget=True)
+
+
+def _pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """`a, b` of the rows of `key, node, size, most, label` that share a key, allow each other's size, and
+    have different labels: a row meets those of one class of sizes after another, from its least to its most."""
+    level = lambda c: F.floor(F.log(1.02, c.cast("double")) + F.lit(1e-9))
+    least = F.greatest(F.ceil(F.col("size") * F.lit(similarity) - F.lit(1e-9)), F.lit(1))
+    asked = rows.select("key", F.explode(F.sequence(level(least), level(F.col("most")))).alias("level"), F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("most").alias("most_b"), F.col("label").alias("label_b"))
+    held = rows.withColumn("level", level(F.col("size")))
+    return held.join(asked, ["key", "level"]).filter("label < label_b and size <= most_b and size_b <= most").select(F.col("node").alias("a"), "b")
 
 
 def _sets(texts: DataFrame, words: int) -> DataFrame:
@@ -143,28 +159,40 @@ def connected(texts: DataFrame, similarity: float = SIMILAR, words: int = WORDS)
     links = cut(_verified(_proposed(sets), sets, similarity), forget=True)
     for turn in range(STARS + 1):
         label = components(links)
-        at = cut(keys.join(label, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("label")), forget=True)
-        one = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "size", "label")).alias("p")
+        at = cut(keys.join(label, "node", "left").select("key", "node", "size", "most", F.coalesce("root", "node").alias("label")), forget=True)
+        first = F.col("size") if turn == 0 else F.xxhash64("node", F.lit(turn))  # the smallest set is similar to all that have a partner in a shared passage
+        one = F.min(F.struct(first.alias("f"), F.xxhash64("node").alias("h"), "node", "size", "most", "label")).alias("p")
         apart = cut(at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), one).filter("lo <> hi").select("key", "n", "p"), forget=True)
         last = turn == STARS or (turn and not grew)
         if not last:
-            pairs = look_up(at, apart, "key").select("node", "size", "label", F.col("p.node").alias("b"), F.col("p.size").alias("size_b"), F.col("p.label").alias("label_b")).filter("label <> label_b")
+            pairs = look_up(at, apart, "key").filter("label <> p.label and size <= p.most and p.size <= most").select(F.col("node").alias("a"), F.col("p.node").alias("b"))
         else:
-            left = look_up(at, apart.select("key", "n", F.lit(1).alias("on")), "key").drop("on")
-            pairs = left.join(left.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("label").alias("label_b")), "key").filter("label < label_b")
-        pairs = pairs.filter(F.least("size", "size_b") >= similarity * F.greatest("size", "size_b") - 1e-9)
-        found = cut(_verified(pairs.select(F.col("node").alias("a"), "b"), sets, similarity), forget=True)
+            pairs = _pairs(look_up(at, apart.select("key", "n", F.lit(1).alias("on")), "key").drop("on"), similarity)
+        found = cut(_verified(pairs, sets, similarity), forget=True)
         links, grew = links.unionByName(found), not found.isEmpty()
         if last:
             return components(links)
 
 
+def apart(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows of `doc_id, text, node` with other nodes where different texts had the same, and `node, first,
+    n` of each text.  Texts are told apart by 128 bits; those whose 64 meet by chance (a few, at ten
+    billion texts) are named anew."""
+    while True:
+        known = cut(rows.groupBy("node", F.xxhash64(F.lit(1), "text").alias("check")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), forget=True)
+        twice = known.groupBy("node").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).filter("lo <> hi").select("node", F.lit(True).alias("twice"))
+        if twice.isEmpty():
+            return rows, known.select("node", "first", "n")
+        other = F.when(F.col("twice"), F.xxhash64("node", "text")).otherwise(F.col("node"))
+        rows = rows.join(F.broadcast(cut(twice, forget=True)), "node", "left").withColumn("node", other).drop("twice")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILAR, words: int = WORDS) -> DataFrame:
     """`doc_id, component_id` for every row of `doc_id, text`: the smallest doc_id that a chain of
     similar texts reaches, the row's own included; null only where no row of it has a doc_id."""
     said = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), said.alias("text")).withColumn("node", F.xxhash64("text"))
-    firsts = cut(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), forget=True)
+    rows, firsts = apart(rows)
     each = firsts.join(connected(rows, similarity, words), "node", "left").select("node", "first", "n", F.coalesce("root", "node").alias("root"))
     least = each.groupBy("root").agg(F.min("first").alias("component_id"))
     named = cut(each.join(least, "root").select("node", "component_id", "n"), forget=True)
@@ -177,4 +205,4 @@ def keep_one(docs: DataFrame, similarity: float = SIMILAR, words: int = WORDS) -
     Rows without a doc_id are kept: they can't be told apart.  Repeated rows of a kept doc_id stay.
     """
     drop = near_duplicates(docs, similarity, words).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(drop, "doc_id", "left_anti").select(*map(quoted, docs.columns))

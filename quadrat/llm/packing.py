@@ -11,44 +11,21 @@ their place up in the plan.
 
 from __future__ import annotations
 
-import base64
 import zlib
 from bisect import bisect_right
-from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, partitions, schema_of, unused
+from . import tokens
+from .common import chunks, cut, mapped, partitions, quoted, schema_of, unused
 
 CAPACITY = 2048
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def vocabulary_path(name: str = "byte_bpe_50k") -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(f"{name}.tiktoken")
-
-
-@lru_cache(maxsize=2)
-def tokenizer(path: str):
-    """The byte-level BPE, as a function from text to numpy ids.
-
-    `<|endoftext|>` in a text is that special token, as the tokenizer file has it.  The rank file
-    holds the same vocabulary, and the tests hold the ids against those of `tokenizers`.
-    """
-    import public_tokenizers
-    import tiktoken
-
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    encoding = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": 50256})
-    return partial(encoding.encode_to_numpy, allowed_special="all")
-
-
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens: whole pieces, and a shorter first one if need be."""
     first = n % capacity or capacity
@@ -58,14 +35,15 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Tokenise `doc_id, text`; one row per piece, with its ids (int32, little-endian) on request.
 
-    A null text counts as empty; every document ends with id 0, so an empty one has one token.
+    The ids are those of `tokenizers`, whose file path names, with `<|endoftext|>` in a text as that
+    special token.  A null text counts as empty; every document ends with id 0, so an empty one has one token.
     Null or repeated doc_ids are kept as they are; other columns are ignored.
     """
-    path = path or vocabulary_path()
+    path = path or tokens.path("byte_bpe_50k.json")
     out = schema_of(PIECE + (", ids binary" if with_ids else ""))
 
     def run(batches):
-        bpe = tokenizer(path)
+        bpe = tokens.byte_bpe(path, special=True)
         for batch in chunks(batches):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -135,13 +113,14 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     items is read once and kept as a checkpoint.  Rows of one length are numbered
     in salted groups whose counts are summed before, so a length that a third of all rows share is
     spread over all tasks.  Ties and repeated rows are interchangeable: each gets its own place.
-    An empty table gives an empty table.  Raises ValueError for lengths outside 1..capacity.
+    An empty table gives an empty table.  Columns of items
+    that are named like the new ones give way to them.  Raises ValueError for lengths outside 1..capacity.
     """
     spark, salts = items.sparkSession, partitions(items.sparkSession)
-    columns = [c for c in items.columns if c not in ("sequence_id", "offset")]
+    columns = [c for c in items.columns if c.lower() not in ("sequence_id", "offset")]
     salt, count, ahead, rank, place = unused(items, 5)
     # by task and place, not by content: repeated rows are spread as well.  Written down, so that a lost task can't deal anew
-    salted = cut(items.select(*columns).withColumn(place, F.monotonically_increasing_id()).withColumn(salt, F.pmod(place, F.lit(salts)).cast("int")))
+    salted = cut(items.select(*map(quoted, columns)).withColumn(place, F.monotonically_increasing_id()).withColumn(salt, F.pmod(place, F.lit(salts)).cast("int")))
     by = salted.groupBy("length", salt).agg(F.count("*").alias(count))
     total = by.groupBy("length").agg(F.sum(count).alias("n")).collect()  # at most capacity rows
     if any(r["length"] is None or not 1 <= r["length"] <= capacity for r in total):
@@ -152,7 +131,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     placed = spark.sparkContext.broadcast(plan(counts, capacity))
     before = by.withColumn(ahead, F.sum(count).over(Window.partitionBy("length").orderBy(salt)) - F.col(count)).drop(count)
     number = F.row_number().over(Window.partitionBy("length", salt).orderBy(place)) - 1
-    ranked = salted.withColumn(rank, number).join(before, ["length", salt]).select(*columns, (F.col(rank) + F.col(ahead)).alias(rank))
+    ranked = salted.withColumn(rank, number).join(before, ["length", salt]).select(*map(quoted, columns), (F.col(rank) + F.col(ahead)).alias(rank))
 
     def run(batches):
         keys, firsts, offsets = placed.value
@@ -162,8 +141,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             at = np.searchsorted(keys, key, "right") - 1
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(firsts[at] + key - keys[at]), pa.array(offsets[at])], names=[*columns, "sequence_id", "offset"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.select(*columns).schema)
-    return ranked.mapInArrow(run, f"{kinds}, sequence_id long, offset long")
+    schema = items.select(*map(quoted, columns)).schema.add("sequence_id", "long").add("offset", "long")
+    return mapped(ranked, run, schema)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:

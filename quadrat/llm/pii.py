@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, mapped
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
@@ -316,7 +316,7 @@ def mask(docs: DataFrame) -> DataFrame:
             texts = batch.column(columns.index("text")).to_pylist()
             found = find([t or "" for t in texts], model)
             new = [t and masked(t, base + added) for t, (base, added) in zip(texts, found)]
-            yield batch.set_column(columns.index("text"), "text", pa.array(new, pa.string()))
+            yield batch.set_column(columns.index("text"), "text", pa.array(new, pa.string())).rename_columns(columns)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = mapped(docs, run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out

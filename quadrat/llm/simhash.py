@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, look_up
+from .common import chunks, cut, look_up, quoted
 from .components import components
 
 BLOCK = 2048
@@ -199,4 +199,4 @@ def keep_one(docs: DataFrame, threshold: int = 2, words: int = 3) -> DataFrame:
     Rows without a doc_id are kept: they can't be told apart.  Repeated rows of a kept doc_id stay.
     """
     drop = near_duplicates(docs, threshold, words).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(drop, "doc_id", "left_anti").select(*map(quoted, docs.columns))

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, mapped
 
 #: Rows of each label that are learnt from, and the bytes of all their texts; a text over a hundredth of that is not.
 SAMPLE, BYTES = {0: 3000, 1: 1500}, 24 << 20
@@ -227,6 +227,6 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     def run(batches):
         for batch in chunks(batches, column=columns.index("text")):
             found = model.score([words(t) for t in batch.column(columns.index("text")).to_pylist()])
-            yield batch.filter(pa.array(found < threshold))
+            yield batch.filter(pa.array(found < threshold)).rename_columns(columns)
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)

@@ -49,3 +49,31 @@ def test_edited_copies_go_in_the_pipeline(spark):
 def test_rows_without_a_doc_id_and_repeated_rows(spark):
     df = spark.createDataFrame([(None, "x y"), (3, "x y"), (3, "x y"), (4, "X Y"), (None, "z")], "doc_id long, text string")
     assert sorted(str(r.doc_id) for r in near.keep_one(df).collect()) == ["3", "3", "None", "None"]
+
+
+def test_a_shared_passage_makes_no_pairs(spark):
+    """Documents with a passage in common that is too little of them: candidates don't grow with the pairs."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    passage, other = " ".join(word() for _ in range(90)), " ".join(word() for _ in range(9))
+    for n in (200, 800):
+        docs = [(k, passage + " " + " ".join(word() for _ in range(16 + k % 3)) + (" " + other if k % 5 == 0 else "")) for k in range(n)]
+        docs += [(n + k, passage + " " + " ".join(word() for _ in range(k % 4))) for k in range(8)]  # these are similar to one another
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+        rows = df.withColumn("node", F.col("doc_id"))
+        sets = near._sets(rows, 5).cache()
+        keys = near._candidates(sets, 0.8).withColumn("label", F.col("node"))
+        assert near._pairs(keys, 0.8).distinct().count() < 8 * n
+        sets.unpersist()
+        assert {r.doc_id: r.component_id for r in near.near_duplicates(df).collect()} == smallest(docs)
+
+
+def test_texts_with_one_hash_stay_apart(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(1, "x"), (2, "y"), (3, "x"), (4, "z")], "doc_id long, text string").withColumn("node", F.when(F.col("text") == "z", F.lit(8)).otherwise(F.lit(7)).cast("long"))
+    named, known = near.apart(rows)
+    node = {r.doc_id: r.node for r in named.collect()}
+    assert node[1] == node[3] != node[2] and node[4] == 8 and sorted((r["first"], r.n) for r in known.collect()) == [(1, 2), (2, 1), (4, 1)]

@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from quadrat.llm import packing
+from quadrat.llm import packing, tokens
 
 
 def placed(counts, capacity):
@@ -57,7 +58,7 @@ def test_same_ids_as_tokenizers():
     import public_tokenizers
 
     whole = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    ours = packing.tokenizer(packing.vocabulary_path())
+    ours = tokens.byte_bpe(tokens.path("byte_bpe_50k.json"), special=True)
 
     @settings(max_examples=200, deadline=None)
     @given(st.text(max_size=60))
@@ -73,7 +74,7 @@ def test_documents(spark):
     rows = [(1, "hello world", 9), (2, None, 9), (2, None, 9), (None, "", 9), (3, "word " * 300, 9), (4, "hello world", 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, sequence_id int")
     out = packing.pack_documents(docs, capacity=64).collect()
-    ours = packing.tokenizer(packing.vocabulary_path())
+    ours = tokens.byte_bpe(tokens.path("byte_bpe_50k.json"), special=True)
     want = sorted((d or -1, k, s, n, zlib.crc32(np.r_[ours(t or ""), 0].astype("<u4")[s : s + n].tobytes())) for d, t, _ in rows for k, (s, n) in enumerate(packing.cuts(len(ours(t or "")) + 1, 64)))
     assert sorted((r.doc_id or -1, r.piece, r.start, r.length, r.ids_crc32) for r in out) == want
     total = sum(r.length for r in out)
@@ -84,6 +85,22 @@ def test_documents(spark):
     assert sum(len(r.ids) // 4 for r in whole) == total
 
 
+def test_very_long_texts(spark):
+    """Two million blanks, line feeds or letters: the ids of `tokenizers`, in the operator and the pipeline's stage."""
+    tokenizers = pytest.importorskip("tokenizers")
+    import public_tokenizers
+
+    import corpus_pipeline
+
+    whole = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [c * 2_000_000 for c in (" ", "\n", "a")] + ["b" + " " * 1_000_001 + "c<|endoftext|>"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = [np.r_[whole.encode(t, add_special_tokens=False).ids, 0].astype("<u4") for t in texts]
+    want = sorted((d, k, zlib.crc32(x[s : s + n].tobytes())) for d, x in enumerate(ids) for k, (s, n) in enumerate(packing.cuts(len(x), packing.CAPACITY)))
+    for found in (packing.pack_documents(docs), corpus_pipeline.pack_sequences(spark, docs, "")):
+        assert sorted((r.doc_id, r.piece, r.ids_crc32) for r in found.collect()) == want
+
+
 def test_bad_lengths(spark):
     with pytest.raises(ValueError):
         packing.pack(spark.createDataFrame([(0,)], "length long"), 8)
@@ -91,6 +108,6 @@ def test_bad_lengths(spark):
 
 def test_repeated_rows_and_clashing_names(spark):
     rows = [(None, 700, "k", 1, 2)] * 40 + [(1, 2048, "k", 1, 2)]
-    got = packing.pack(spark.createDataFrame(rows, "doc_id long, length long, _salt string, _rank int, _0 int")).collect()
-    assert all((r["_salt"], r["_rank"], r["_0"]) == ("k", 1, 2) for r in got)
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, length long, _salt string, _rank int, _0 int").withColumn("a.b", F.lit(3)).withColumn("Offset", F.lit(4))).collect()
+    assert all((r["_salt"], r["_rank"], r["_0"], r["a.b"]) == ("k", 1, 2, 3) for r in got)
     assert len({(r.sequence_id, r.offset) for r in got}) == 41 and len({r.sequence_id for r in got}) == 21
