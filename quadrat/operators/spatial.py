@@ -1,47 +1,135 @@
-"""Year-matched point-in-polygon tagging without a spatial index: tiles, an equi-join, exact tests."""
+"""Year-matched point-in-polygon tagging without a spatial index: clipped tiles and an equi-join.
+
+A polygon is cut into tiles.  A tile that edges cross keeps just those edges and whether its corner
+lies inside; a tile that none crosses is inside as a whole or isn't kept.  A point then meets one tile
+of a polygon at most, and is inside if the way from the tile's corner to the point, along y and then
+along x, crosses an edge an odd number of times more or less than the corner says.  So a point's test
+doesn't grow with the polygon: levels of tiles are added by the number of its edges.
+
+Whether a point is left of an edge is always the sign of one product, of the same two ends in the same
+order, so rounding can't make a corner and a point disagree.  Points on an edge are inside.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import in_rings
+from ..functions import finite
 
 #: What a kind of polygon makes a point, first of those that apply.
 PRIORITY = ("city", "town")
 ELSE = "rural"
 
-
-#: Sides of tiles, as multiples of the finest: a polygon is laid on the finest that its box touches few of.
-LEVELS = tuple(8.0**k for k in range(8))
-
-
-def tiled(polygons: DataFrame, tile: float, most: int = 64) -> DataFrame:
-    """Polygons (kind, year, rings, minx, miny, maxx, maxy) once per tile that their box touches.
-
-    A box lies on the finest level at which it touches at most `most` tiles, so a large polygon's tiles
-    are no larger than its own size asks for."""
-    side = lambda level: F.lit(level * tile)
-    n = lambda lo, hi, level: F.floor(F.col(hi) / side(level)) - F.floor(F.col(lo) / side(level)) + 1
-    fits = [F.when(n("minx", "maxx", x) * n("miny", "maxy", x) <= most, F.lit(x)) for x in LEVELS]
-    tiles = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / (F.col("_l") * tile)), F.floor(F.col(hi) / (F.col("_l") * tile))))
-    return polygons.withColumn("_l", F.coalesce(*fits, F.lit(LEVELS[-1]))).withColumn("_tx", tiles("minx", "maxx")).withColumn("_ty", tiles("miny", "maxy"))
+#: Tiles of a level have sides of tile x 4^level.  A polygon's box touches few tiles of its coarsest level,
+#: which is 0 at least; levels below are added until an edge shares its tile with about FEW others.
+LEVELS = range(-12, 13)
+FEW = 8
+#: The sign of (x, y) against an edge from its lower to its upper end: over 0 is left of it.
+_SIDE = "(e.bx - e.ax) * ({y} - e.ay) - (e.by - e.ay) * ({x} - e.ax)"
+
+
+def _right(x: str, y: str) -> str:
+    """Whether an edge crosses the level line from (x, y) to the right; its upper end isn't part of it."""
+    return f"({y} >= e.ay AND {y} < e.by AND {_SIDE.format(x=x, y=y)} > 0)"
+
+
+def _above(x: str, y: str) -> str:
+    """Whether an edge that spans x is above (x, y), where a point on it counts as just right of and above it."""
+    side = _SIDE.format(x=x, y=y)
+    return f"(CASE WHEN e.ay = e.by THEN {side} < 0 WHEN e.bx > e.ax THEN {side} <= 0 ELSE {side} > 0 END)"
+
+
+def edges_of(polygons: DataFrame, keys: list[str]) -> DataFrame:
+    """Polygons' `keys, _key, _n, minx, miny, maxx, maxy, e`, a row for each edge of their rings, from its
+    lower to its upper end.  _key is of the shape, so equal polygons are one; _n is its edges.  Rings that
+    don't end where they begin are closed; without an area they are still edges, which points can be on.
+    Polygons without rings, or with a coordinate that isn't a finite number, are left out."""
+    shut = "transform(rings, r -> if(size(r) > 0 AND r[0] <> r[size(r) - 1], concat(r, array(r[0])), r))"
+    sound = "forall(flatten(rings), p -> p.x IS NOT NULL AND p.y IS NOT NULL AND abs(p.x) < double('inf') AND abs(p.y) < double('inf') AND NOT isnan(p.x) AND NOT isnan(p.y))"
+    closed = polygons.filter(sound).withColumn("rings", F.expr(shut)).withColumn("_key", F.struct(F.xxhash64("rings").alias("a"), F.xxhash64(F.lit(1), "rings").alias("b")))
+    whole = closed.select(*keys, "_key", "rings").dropDuplicates([*keys, "_key"])
+    n = whole.withColumn("_n", F.expr("aggregate(rings, 0, (a, r) -> a + greatest(size(r) - 1, 0))"))
+    pairs = n.select(*keys, "_key", "_n", F.explode("rings").alias("r")).filter("size(r) > 1").select(*keys, "_key", "_n", F.explode(F.expr("transform(sequence(1, size(r) - 1), i -> struct(r[i - 1] AS p, r[i] AS q))")).alias("l"))
+    up = F.expr("if(l.p.y < l.q.y OR (l.p.y = l.q.y AND l.p.x <= l.q.x), struct(l.p.x AS ax, l.p.y AS ay, l.q.x AS bx, l.q.y AS by), struct(l.q.x AS ax, l.q.y AS ay, l.p.x AS bx, l.p.y AS by))")
+    return pairs.select(*keys, "_key", "_n", up.alias("e"))
+
+
+def framed(polygons: DataFrame, tile: float, most: int, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Edges, and a row for each polygon with its box and its coarsest and finest level, _root and _leaf."""
+    edges = edges_of(polygons, keys)
+    box = edges.groupBy(*keys, "_key").agg(F.min(F.least("e.ax", "e.bx")).alias("minx"), F.max(F.greatest("e.ax", "e.bx")).alias("maxx"), F.min("e.ay").alias("miny"), F.max("e.by").alias("maxy"), F.first("_n").alias("_n"))
+    finer = F.ceil(F.log(4.0, F.greatest(F.col("_n") / F.lit(4.0 * FEW * 8), F.lit(1.0)))).cast("int")
+    n = lambda lo, hi, k: F.floor(F.col(hi) / F.lit(tile * 4.0**k)).cast("double") - F.floor(F.col(lo) / F.lit(tile * 4.0**k)).cast("double") + 1
+    fits = [F.when(n("minx", "maxx", k) * n("miny", "maxy", k) <= most, F.lit(k)) for k in LEVELS]
+    fit = F.coalesce(*fits, F.lit(LEVELS[-1]))
+    leaf = F.when(F.col("_n") > 4 * FEW, F.least("_root", fit - finer)).otherwise(F.col("_root"))
+    return edges, box.withColumn("_root", F.greatest(fit, F.lit(0))).withColumn("_leaf", leaf)
+
+
+def clipped(polygons: DataFrame, tile: float, most: int = 64, keys: list[str] | None = None) -> DataFrame:
+    """`keys, _key, _l, _tx, _ty, edges, odd`: the tiles that polygons (kind, year, rings) cover or cross,
+    the edges that cross a tile, and whether its lower left corner is inside.
+
+    Rows are as many as edges times levels, however large the polygon; only the edges of a single tile
+    of the finest level are held together, and those of one row of corners are counted in order."""
+    keys = keys or ["kind", "year"]
+    ids = [*keys, "_key"]
+    edges, root = framed(polygons, tile, most, keys)
+    side = F.lit(tile) * F.pow(F.lit(4.0), F.col("_l"))
+    levels = edges.drop("_n").join(root.select(*ids, "_root", "_leaf"), ids).withColumn("_l", F.explode(F.sequence("_leaf", "_root"))).withColumn("_s", side)
+
+    # tiles that an edge crosses, row by row; a hair wider, which does no harm
+    hair = "_s * 1e-9D + (abs(e.ax) + abs(e.bx) + abs(e.ay) + abs(e.by)) * 1e-15D"
+    rows = levels.withColumn("_ty", F.explode(F.expr(f"sequence(floor((e.ay - ({hair})) / _s), floor((e.by + ({hair})) / _s))")))
+    at = lambda y: f"if(e.by = e.ay, {{0}}, least(greatest(e.ax + (e.bx - e.ax) * coalesce(try_divide(greatest(least({y}, e.by), e.ay) - e.ay, e.by - e.ay), 0D), least(e.ax, e.bx)), greatest(e.ax, e.bx)))"
+    lo, hi = at("_ty * _s").format("e.ax"), at("(_ty + 1) * _s").format("e.bx")
+    met = rows.withColumn("_tx", F.explode(F.expr(f"sequence(floor((least({lo}, {hi}) - ({hair})) / _s), floor((greatest({lo}, {hi}) + ({hair})) / _s))")))
+    crossed = met.select(*ids, "_l", "_tx", "_ty", F.when(F.col("_l") == F.col("_leaf"), F.col("e")).alias("e"), F.lit(1).alias("on"), "_leaf")
+
+    # tiles beside them: those of the box on the coarsest level, and on finer ones those of a crossed tile
+    none, step = F.lit(None).cast(crossed.schema["e"].dataType), F.array(*[F.lit(k).cast("long") for k in range(4)])
+    below = crossed.filter("_l > _leaf").select(*ids, "_l", "_tx", "_ty", "_leaf").distinct()
+    below = below.select(*ids, (F.col("_l") - 1).alias("_l"), F.col("_tx"), F.explode(F.transform(step, lambda k: F.col("_ty") * 4 + k)).alias("_ty"), "_leaf").withColumn("_tx", F.explode(F.transform(step, lambda k: F.col("_tx") * 4 + k)))
+    tops = root.withColumn("_l", F.col("_root")).withColumn("_s", side)
+    tops = tops.withColumn("_tx", F.explode(F.expr("sequence(floor(minx / _s), floor(maxx / _s))"))).withColumn("_ty", F.explode(F.expr("sequence(floor(miny / _s), floor(maxy / _s))")))
+    beside = tops.select(*ids, "_l", "_tx", "_ty", "_leaf").unionByName(below).select(*ids, "_l", "_tx", "_ty", none.alias("e"), F.lit(0).alias("on"), "_leaf")
+    tiles = crossed.unionByName(beside).groupBy(*ids, "_l", "_ty", "_tx").agg(F.collect_list("e").alias("edges"), F.max("on").alias("on"), F.first("_leaf").alias("_leaf")).filter("on = 0 or _l = _leaf")
+
+    # corners: how many edges cross the row of corners to the right of each
+    line = levels.withColumn("_ty", F.explode(F.expr("sequence(floor(e.ay / _s), floor(e.by / _s) + 1)"))).withColumn("_y", F.col("_ty") * F.col("_s")).filter("e.ay <= _y and _y < e.by")
+    about = line.withColumn("_t", F.floor((F.expr("e.ax + (e.bx - e.ax) * try_divide(_y - e.ay, e.by - e.ay)")) / F.col("_s")))
+    last = "_t - 2" + "".join(f" + cast({_right(f'((_t + ({k})) * _s)', '_y')} AS int)" for k in (-1, 0, 1))
+    ends = about.select(*ids, "_l", "_ty", F.expr(last).alias("_tx")).groupBy(*ids, "_l", "_ty", "_tx").agg(F.count("*").alias("c"))
+    both = tiles.select(*ids, "_l", "_ty", "_tx", "edges", F.lit(0).cast("long").alias("c")).unionByName(ends.withColumn("edges", F.lit(None).cast(tiles.schema["edges"].dataType)))
+    along = Window.partitionBy(*ids, "_l", "_ty").orderBy(F.desc("_tx"), F.desc("c")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    odd = both.withColumn("odd", F.sum("c").over(along) % 2 == 1).filter("edges is not null")
+    return odd.filter("odd or size(edges) > 0").select(*ids, "_l", "_tx", "_ty", "edges", "odd")
+
+
+def inside(x: str, y: str, corner_x: str, corner_y: str) -> Column:
+    """Whether (x, y) is on one of a tile's `edges` or inside, as the tile's corner is `odd`."""
+    on = f"exists(edges, e -> {_SIDE.format(x=x, y=y)} = 0 AND {y} BETWEEN e.ay AND e.by AND {x} BETWEEN least(e.ax, e.bx) AND greatest(e.ax, e.bx))"
+    along_x = f"({_right(x, y)} <> {_right(corner_x, y)})"
+    along_y = f"(((e.ax > {corner_x}) <> (e.bx > {corner_x})) AND ({_above(corner_x, corner_y)} <> {_above(corner_x, y)}))"
+    return F.expr(f"{on} OR (size(filter(edges, e -> {along_x} <> {along_y})) % 2 = 1) <> odd")
 
 
 def points_in(points: DataFrame, polygons: DataFrame, tile: float = 1.0, by_year: bool = True, most: int = 64) -> DataFrame:
     """`pid, kind` of points (pid, x, y, year) that lie in or on a polygon of a kind, each once.
 
-    A point is met only at the levels that some polygon lies on (one row of at most len(LEVELS) is sent
-    to all tasks).  Adaptive execution splits crowded tiles; the tested edges stay inside generated code.
+    A point is met only at the levels that some polygon lies on (one row of a few levels is sent to all
+    tasks).  Adaptive execution splits crowded tiles.
     """
-    poly = tiled(polygons, tile, most)
-    poly = poly if by_year else poly.drop("year")
-    used = poly.agg(F.collect_set("_l").alias("_used"))
-    held = points.select("pid", "x", "y", "year").crossJoin(F.broadcast(used)).withColumn("_l", F.explode("_used")).drop("_used")
-    held = held.withColumns({"_tx": F.floor(F.col("x") / (F.col("_l") * tile)), "_ty": F.floor(F.col("y") / (F.col("_l") * tile))})
-    met = held.join(poly, ["_l", "_tx", "_ty", *(["year"] if by_year else [])])
-    inside = met.filter("x between minx and maxx and y between miny and maxy").filter(in_rings("x", "y", "rings"))
-    return inside.select("pid", "kind").distinct()
+    keys = ["kind", "year"] if by_year else ["kind"]
+    tiles = clipped(polygons, tile, most, keys)
+    used = framed(polygons, tile, most, keys)[1].select(F.explode(F.sequence("_leaf", "_root")).alias("_l")).agg(F.collect_set("_l").alias("_used"))
+    placed = points.select("pid", "x", "y", "year").filter(finite(F.col("x")).isNotNull() & finite(F.col("y")).isNotNull())
+    held = placed.crossJoin(F.broadcast(used)).withColumn("_l", F.explode("_used")).drop("_used")
+    side = F.lit(tile) * F.pow(F.lit(4.0), F.col("_l"))
+    held = held.withColumn("_s", side).withColumns({"_tx": F.floor(F.col("x") / F.col("_s")), "_ty": F.floor(F.col("y") / F.col("_s"))})
+    met = held.join(tiles, ["_l", "_tx", "_ty", *(["year"] if by_year else [])])
+    return met.filter((F.size("edges") == 0) | inside("x", "y", "(_tx * _s)", "(_ty * _s)")).select("pid", "kind").distinct()
 
 
 def overlay(points: DataFrame, polygons: DataFrame, tile: float = 1.0, by_year: bool = True) -> DataFrame:

@@ -112,6 +112,9 @@ SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN lpad(CAST(m AS VARCHAR), 2
 k AS (SELECT continent, count(*) AS n_total, count(seq) AS n_matched FROM kept LEFT JOIN meta USING (id) GROUP BY 1)
 SELECT continent, n_read, n_gap, n_hist, n_total, n_read - n_total AS n_dupes, n_matched, n_total - n_matched AS n_unmatched, round(100e0 * n_matched / n_total, 6) AS pct_matched FROM r JOIN k USING (continent)""",
     "j05_pip_semi": f"WITH {POLY} SELECT DISTINCT pid, kind FROM hit",
+    "j05_many_vertices": f"""WITH {POINT} SELECT DISTINCT pid, CASE WHEN s_suppkey % 2 = 0 THEN 'city' ELSE 'town' END AS kind FROM pt JOIN (
+  SELECT s_suppkey, ((s_suppkey * 530) % 3300) / 10e0 - 180 + 1e0 / 3 AS a, ((s_suppkey * 310) % 1200) / 10e0 - 60 + 1e0 / 7 AS b, CAST(10 + s_suppkey % 5 * 5 AS DOUBLE) AS w FROM supplier
+) ON x BETWEEN a AND a + w AND y BETWEEN b AND b + w WHERE y <= b + w * (5000 - floor((x - a) / (w / 5000))) / 5000""",
     "j06_pip_by_year": f"WITH {POLY} SELECT DISTINCT pid, kind FROM hit WHERE year = py",
     "j07_priority_overlay": f"WITH {POLY}, h AS (SELECT pid, min(kind) AS kind FROM hit WHERE year = py GROUP BY 1) SELECT pid, year, coalesce(kind, 'rural') AS urban_class FROM pt LEFT JOIN h USING (pid)",
     "j08_left_fanout": f"WITH {REC} SELECT id, date, l_linenumber FROM rec LEFT JOIN lineitem ON l_orderkey = id WHERE cnt = 'INDIA'",

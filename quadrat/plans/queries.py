@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from ..operators import cells, ingest, labels, spatial, summaries, temporal
 from ..sources import month_range
-from .proxy import INDICES, points, polygons, recordings, sites, table
+from .proxy import INDICES, points, polygons, recordings, sites, staircases, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CLASSES = ["city", "town", "rural"]
@@ -206,6 +206,12 @@ def j06_pip_by_year(s, d):
     return spatial.points_in(points(s, d), polygons(s, d), tile=2.0)
 
 
+@query
+def j05_many_vertices(s, d):
+    """Polygons of ten thousand vertices each."""
+    return spatial.points_in(points(s, d), staircases(s, d), tile=2.0, by_year=False)
+
+
 @query
 def j07_priority_overlay(s, d):
     return spatial.overlay(points(s, d), polygons(s, d), tile=2.0).select("pid", "year", "urban_class")

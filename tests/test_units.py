@@ -161,6 +161,35 @@ def test_points_in_polygons(spark):
     assert {r.pid: r.urban_class for r in spatial.overlay(points, poly).collect()} == {1: "town", 2: "town", 3: "city", 4: "rural", 5: "rural", 6: "rural", 7: "town"}
 
 
+def test_clipped_tiles_are_the_whole_polygon(spark):
+    """Spiky and lattice polygons, whose corners lie on tiles' sides and on one another, against all edges."""
+    rng = np.random.default_rng(3)
+
+    def spiky(x, y, r, n):
+        at = [(x + r * (0.4 + 0.6 * rng.random()) * math.cos(2 * math.pi * k / n), y + r * (0.4 + 0.6 * rng.random()) * math.sin(2 * math.pi * k / n)) for k in range(n)]
+        return [*at, at[0]]
+
+    def lattice(n):
+        at = [(float(a), float(b)) for a, b in rng.integers(0, 9, (n, 2))]
+        return [*at, at[0]]
+
+    shapes = [[spiky(float(x), float(y), r, n)] for (x, y), r, n in zip(rng.uniform(-6, 6, (8, 2)), [0.3, 2, 5, 5] * 2, [5, 40, 600, 200] * 2)] + [[lattice(n), lattice(4)] for n in (3, 4, 7, 15)]
+    rows = [(f"k{i}", 2015, i, r, 0.0, 0.0, 0.0, 0.0) for i, r in enumerate(shapes)]
+    odd = [("k0", 2015, 90, shapes[0], 0.0, 0.0, 0.0, 0.0), ("k1", 2015, 91, [[(float("nan"), 0.0), (1.0, 1.0), (0.0, 2.0)]], 0.0, 0.0, 0.0, 0.0), ("k2", 2015, 92, None, 0.0, 0.0, 0.0, 0.0), ("k3", 2015, 93, [], 0.0, 0.0, 0.0, 0.0)]
+    polygons = polygon_frame(spark, rows)
+    at = [(i, float(x), float(y), 2015) for i, (x, y) in enumerate(rng.uniform(-9, 10, (500, 2)))] + [(1000 + i, (i % 40) / 4.0 - 0.5, i // 40 / 4.0 - 0.5, 2015) for i in range(1600)]
+    points = spark.createDataFrame([*at, (9000, float("nan"), 1.0, 2015), (9001, None, 1.0, 2015), (9002, float("inf"), 1.0, 2015)], "pid long, x double, y double, year int")
+    want = {tuple(r) for r in points.filter("pid < 9000").crossJoin(F.broadcast(polygons.drop("year"))).filter(fn.in_rings("x", "y", "rings")).select("pid", "kind").distinct().collect()}
+    for tile, most in ((1.0, 64), (0.37, 16), (50.0, 64)):
+        assert {tuple(r) for r in spatial.points_in(points, polygons.unionByName(polygon_frame(spark, odd)), tile, most=most).collect()} == want
+    sizes = {}
+    for n in (500, 8000):
+        ring = [(3 * math.cos(2 * math.pi * k / n), 3 * math.sin(2 * math.pi * k / n)) for k in range(n)]
+        sizes[n] = spatial.clipped(polygon_frame(spark, [("k", 2015, 1, [ring], 0.0, 0.0, 0.0, 0.0)]), 1.0).agg(F.max(F.size("edges")), F.count("*")).first()
+    assert sizes[8000][0] <= 2 * spatial.FEW and sizes[500][0] <= 2 * spatial.FEW  # edges a point meets don't grow with the polygon's
+    assert sizes[8000][1] < 8000 * 4
+
+
 def test_summaries(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", None), ("a", 2.0), ("a", float("inf")), ("b", float("nan"))], "k string, v double")
     got = {r.k: r for r in summaries.class_summary(df, ["k"], ["v"]).collect()}
