@@ -22,6 +22,14 @@ def path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _special(file: str) -> dict[str, int]:
+    """Special tokens and their ids; the rest of the file, vocabulary and merges, isn't parsed."""
+    with open(file, encoding="utf-8") as f:
+        text = f.read()
+    start = text.find('"added_tokens"')
+    return {x["content"]: x["id"] for x in json.JSONDecoder().raw_decode(text, text.index("[", start))[0]} if start >= 0 else {}
+
+
 def _ranks(file: str) -> dict[bytes, int]:
     with open(f"{os.path.splitext(file)[0]}.tiktoken", "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -40,7 +48,7 @@ def byte_bpe(file: str, special: bool = False) -> Callable[[str], np.ndarray]:
     import tiktoken
     from tokenizers import Tokenizer
 
-    named = {x["content"]: x["id"] for x in json.load(open(file))["added_tokens"]} if special else {}
+    named = _special(file) if special else {}
     fast = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=_ranks(file), special_tokens=named)
     slow: list[Tokenizer] = []
 
@@ -58,7 +66,7 @@ def byte_bpe(file: str, special: bool = False) -> Callable[[str], np.ndarray]:
 @lru_cache(maxsize=4)
 def byte_pieces(file: str) -> list[bytes]:
     """Bytes of each id of a byte-level vocabulary: the rank file has them decoded, special tokens are their strings."""
-    out = {x["id"]: x["content"].encode() for x in json.load(open(file))["added_tokens"]} | {i: piece for piece, i in _ranks(file).items()}
+    out = {i: name.encode() for name, i in _special(file).items()} | {i: piece for piece, i in _ranks(file).items()}
     return [out.get(i, b"") for i in range(max(out) + 1)]
 
 

@@ -41,8 +41,10 @@ TOXIC = ((4_000, 16, 6), (8_000, 24, 8), (16_000, 24, 6))
 ERRORS, RATIO = 5.0, 4.0
 HEAD, TAIL = bytes(range(128, 192)), bytes(range(192, 208))
 SAVED = (2, 3, 4, 5, 6)
+#: Bytes of text whose words are held at once.
+SLICE = 1 << 20
 #: Words whose saving a Python worker remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -211,7 +213,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
 
     def run(batches):
-        for batch in chunks(batches):
+        for batch in chunks(batches, SLICE):
             found = model.score([words(t) for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "score"])
 
@@ -225,7 +227,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     columns = docs.columns
 
     def run(batches):
-        for batch in chunks(batches, column=columns.index("text")):
+        for batch in chunks(batches, SLICE, columns.index("text")):
             found = model.score([words(t) for t in batch.column(columns.index("text")).to_pylist()])
             yield batch.filter(pa.array(found < threshold)).rename_columns(columns)
 
