@@ -1,8 +1,8 @@
-"""Aggregate and rank expressions that Spark has no single function for."""
+"""Aggregate expressions that Spark has no single function for."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -17,20 +17,3 @@ def rarefied(counts: Column, n: Column, m: int = 10) -> Column:
 
     total = F.aggregate(F.array_sort(F.coalesce(counts, F.array().cast("array<struct<c:bigint,k:bigint>>"))), F.lit(0.0), lambda a, x: a + x["k"] * (F.lit(1.0) - missed(x["c"])))
     return F.when(n >= m, total)
-
-
-def upper_median(x: str) -> Column:
-    """The middle value, the larger of two; null of none."""
-    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {x} DESC)")
-
-
-def order_quantile(x: str, p: float) -> Column:
-    """The value at place floor(n * p) of the sorted values, from 0; the last one for p = 1."""
-    return F.expr(f"element_at(array_sort(collect_list({x})), cast(least(floor(count({x}) * {p!r}D) + 1, count({x})) as int))")
-
-
-def average_rank(x: Column, by: list[str] | None = None) -> Column:
-    """Rank from 1 in which ties share their mean rank, over `by` groups."""
-    place = Window.partitionBy(*(by or [])).orderBy(x)  # one sort serves the rank and its ties
-    ties = F.count(F.lit(1)).over(place.rangeBetween(Window.currentRow, Window.currentRow))
-    return F.rank().over(place) + (ties - 1) / F.lit(2.0)

@@ -8,6 +8,20 @@ from pyspark.sql import functions as F
 #: Names of the three classes, from low to high.
 LABELS = ("bad", "moderate", "good")
 INSUFFICIENT = "insufficient_data"
+#: Short names of the eleven indices.
+SHORT = {
+    "Acoustic_Complexity_Index__mean": "ACI",
+    "Acoustic_Diversity_Index__main_value": "ADI",
+    "Acoustic_Evenness_Index__main_value": "AEI",
+    "Bio_acoustic_Index__main_value": "Bioacoustic",
+    "Normalized_Difference_Sound_Index__main_value": "NDSI",
+    "Spectral_Entropy__main_value": "Spectral Entropy",
+    "Temporal_Entropy__main_value": "Temporal Entropy",
+    "NB_peaks__main_value": "NB peaks",
+    "Acoustic_Diversity_Index_NR__main_value": "ADI (NR)",
+    "Bio_acoustic_Index_NR__main_value": "Bioacoustic (NR)",
+    "Spectral_Entropy_NR__main_value": "Spectral Entropy (NR)",
+}
 _BLANKS = r"(?U)^\s+|\s+$"
 
 
@@ -90,3 +104,8 @@ def percent(part: Column, whole: Column, places: int | None = 1) -> Column:
 def growth(first: Column, last: Column) -> Column:
     """Whole percent of growth, rounded down; null if there was nothing at first."""
     return F.floor(F.try_divide((last - first) * F.lit(100.0), first)).cast("bigint")
+
+
+def short_name(index: Column) -> Column:
+    """The short name of an index, or the name itself."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in SHORT.items() for x in pair]), index), index)

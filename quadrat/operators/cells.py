@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import average_rank, lenient_double, rarefied, skip_nan, snap, species_set
+from ..functions import lenient_double, rarefied, skip_nan, snap, species_set, year_text
+from . import order
 
 
 def gridded(recordings: DataFrame, cells_per_degree: int = 10) -> DataFrame:
@@ -31,20 +32,48 @@ def incidence(grid: DataFrame, by: list[str]) -> DataFrame:
     return grid.select(*by, F.explode("species").alias("species_name")).groupBy(*by, "species_name").agg(F.count("*").alias("n_inc"))
 
 
+def state(grid: DataFrame, by: list[str], means: tuple[str, ...] = (), last: str | None = "continent") -> DataFrame:
+    """`by, species_name, n` and more: in how many records of a group each species is, and, with a null
+    species, how many records there are, their `last` and their means.
+
+    One pass over the records makes both."""
+    marked = grid.select(*by, *([last] if last else []), *means, F.explode(F.concat(F.array(F.lit(None).cast("string")), "species")).alias("species_name"))
+    whole = F.col("species_name").isNull()
+    aggs = [F.max(F.when(whole, F.col(last))).alias(last)] if last else []
+    return marked.groupBy(*by, "species_name").agg(F.count("*").alias("n"), *aggs, *[F.avg(F.when(whole, skip_nan(lenient_double(F.col(c).cast("string"))))).alias(f"mean_{c}") for c in means])
+
+
+def _scored(counts: DataFrame, by: list[str], m: int, more: list[str]) -> DataFrame:
+    """Per group: `more`, n_rec, s_obs, s_rare, s_rare_r3, of counts that are dealt by (some of) `by`.  Species
+    that are in equally many records add the same term, so they are counted before they are gathered."""
+    species = F.col("species_name").isNotNull().alias("_s")
+    alike = counts.groupBy(*by, species, "n").agg(F.count("*").alias("k"), *[F.max(c).alias(c) for c in more])
+    of = lambda x, on: F.when(F.col("_s") == on, x)
+    pair = F.struct(F.col("n").alias("c"), "k")
+    out = alike.groupBy(*by).agg(*[F.max(of(F.col(c), False)).alias(c) for c in more], F.max(of(F.col("n"), False)).alias("n_rec"), F.coalesce(F.sum(of(F.col("k"), True)), F.lit(0)).cast("bigint").alias("s_obs"), F.collect_list(of(pair, True)).alias("_f"))
+    return out.withColumn("s_rare", rarefied(F.col("_f"), F.col("n_rec"), m)).drop("_f").withColumn("s_rare_r3", F.round("s_rare", 3))
+
+
 def richness(grid: DataFrame, by: list[str], m: int = 10, means: tuple[str, ...] = (), last: str | None = "continent") -> DataFrame:
     """Per group: `continent` (the last in order), n_rec, s_obs, s_rare, s_rare_r3 and mean_* of the
-    named columns.
+    named columns."""
+    more = [*([last] if last else []), *[f"mean_{c}" for c in means]]
+    out = _scored(state(grid, by, means, last).repartition(*by), by, m, more)
+    return out.select(*by, *([last] if last else []), "n_rec", *more[bool(last):], "s_obs", "s_rare", "s_rare_r3")
 
-    Species that are in equally many records add the same term, so a group brings (count, number
-    of such species) pairs to the join with its size, not its species.
-    """
-    aggs = [F.max(last).alias(last)] if last else []
-    main = grid.groupBy(*by).agg(*aggs, F.count("*").alias("n_rec"), *[F.avg(skip_nan(lenient_double(F.col(c).cast("string")))).alias(f"mean_{c}") for c in means])
-    # dealt by group once: both aggregates and the join stay where the rows are
-    alike = incidence(grid, by).select(*by, F.col("n_inc").alias("c")).repartition(*by).groupBy(*by, "c").agg(F.count("*").alias("k"))
-    per = alike.groupBy(*by).agg(F.sum("k").alias("s_obs"), F.collect_list(F.struct("c", "k")).alias("_f"))
-    out = main.join(per, by, "left").withColumn("s_obs", F.coalesce("s_obs", F.lit(0).cast("bigint"))).withColumn("s_rare", rarefied(F.col("_f"), F.col("n_rec"), m)).drop("_f")
-    return out.withColumn("s_rare_r3", F.round("s_rare", 3))
+
+def rolled_up(grid: DataFrame, by: list[str], m: int = 10, last: str = "continent") -> DataFrame:
+    """Richness of each group over all years, with a null year and `over` 'all', and of each group and
+    year, with `over` 'year', from one state.
+
+    Incidence is counted once by group, year and species; groups are rolled up where their states are.
+    Records without a year count over all years only."""
+    dated = grid.withColumn("year", year_text(F.col("date")))
+    held = state(dated, [*by, "year"], (), last).repartition(*by)
+    levels = F.array(F.struct(F.lit("all").alias("over"), F.lit(None).cast("string").alias("year")), F.struct(F.lit("year").alias("over"), F.col("year").alias("year")))
+    both = held.select(*by, F.explode(levels).alias("_l"), "species_name", "n", last).filter("_l.over = 'all' or _l.year is not null")
+    counts = both.groupBy(*by, F.col("_l.over").alias("over"), F.col("_l.year").alias("year"), "species_name").agg(F.sum("n").alias("n"), F.max(last).alias(last))
+    return _scored(counts, [*by, "over", "year"], m, [last])
 
 
 def grid_cells(recordings: DataFrame, cells_per_degree: int = 10, m: int = 10, means: tuple[str, ...] = ()) -> DataFrame:
@@ -66,12 +95,16 @@ def spearman(cells: DataFrame, against: str, columns: list[str], least: int = 10
     """`index_name, n, rho` of each column against one; null below `least` pairs or without variance.
 
     Values are ranked as rounded to `places`: means of equal numbers differ in their last bits with
-    the order in which they were summed, and would tie or not by chance.  The windows are partitioned by column name.  A surrounding CASE would not keep corr() from
-    dividing by zero, so covariance and deviations are divided safely instead.
+    the order in which they were summed, and would tie or not by chance.  Ranks are of different values,
+    so equal pairs are counted first, and no task sorts a column.  Ranks have the mean (n + 1) / 2, from
+    which products are taken.
     """
     pairs = long_form(cells.select(F.col(against).cast("double").alias("_y"), *columns), ["_y"], columns).select("index_name", F.round(skip_nan(F.col("value").cast("double")), places).alias("x"), F.round(skip_nan(F.col("_y")), places).alias("y")).filter("x is not null and y is not null")
-    ranks = pairs.select("index_name", average_rank(F.col("x"), ["index_name"]).alias("rx"), average_rank(F.col("y"), ["index_name"]).alias("ry"))
-    found = ranks.groupBy("index_name").agg(F.count("*").alias("n"), F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry")).alias("r"))
+    alike = pairs.groupBy("index_name", "x", "y").agg(F.count("*").alias("w"))
+    off = lambda v: order.placed(alike, ["index_name"], v, "w").select(F.col("_g.index_name").alias("index_name"), v, (F.col("before") + (F.col("n") - F.col("total")) / F.lit(2.0)).alias(f"r{v}"))
+    ranks = alike.join(off("x"), ["index_name", "x"]).join(off("y"), ["index_name", "y"])
+    total = lambda a, b: F.sum(F.col("w") * F.col(a) * F.col(b))
+    found = ranks.groupBy("index_name").agg(F.sum("w").alias("n"), F.try_divide(total("rx", "ry"), F.sqrt(total("rx", "rx")) * F.sqrt(total("ry", "ry"))).alias("r"))
     names = cells.sparkSession.createDataFrame([(c,) for c in columns], "index_name string")
     out = names.join(found, "index_name", "left")
     return out.select("index_name", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"), F.when(F.col("n") >= least, F.col("r")).alias("rho"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -40,6 +40,12 @@ def union_sources(sources: list[tuple[int, DataFrame]]) -> DataFrame:
     return out
 
 
+def counted(rows: DataFrame, seen: Observation, **counts: Column) -> DataFrame:
+    """rows, and their number (`n`) and further counts in `seen` once an action has gone over them: the
+    same pass makes both."""
+    return rows.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in counts.items()])
+
+
 def match_counters(all_rows: DataFrame, merged: DataFrame, by: str = "continent") -> DataFrame:
     """Rows read by source, duplicates, matched, unmatched, and percent matched, per group."""
     read = all_rows.groupBy(by).agg(F.count("*").alias("n_read"), F.count_if(F.col("src_rank") == 1).alias("n_gap"), F.count_if(F.col("src_rank") == 2).alias("n_hist"))

@@ -2,31 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cell_center, label_code, lat_band
 from ..functions.scalars import INSUFFICIENT, LABELS
+from . import order
 
 
-def tertile(value: str, ties: list[str], by: list[Column | str] | None = None) -> Column:
-    """Label by thirds of the rank among rows that have a value; ties go by the named columns.  Rows
-    without one are no part of that order and are spread by hash."""
-    spread = F.when(F.col(value).isNull(), F.xxhash64(*ties))
-    third = F.ntile(3).over(Window.partitionBy(spread, *(by or [])).orderBy(value, *ties))
-    named = F.element_at(F.array(*map(F.lit, LABELS)), third)
-    return F.when(F.col(value).isNull(), INSUFFICIENT).otherwise(named)
+def tertile(number: Column, of: Column) -> Column:
+    """Label by thirds of a row's number among `of` rows; a row without a number has none."""
+    third = F.floor((number - 1) * 3 / of).cast("int") + 1
+    return F.when(number.isNull(), INSUFFICIENT).otherwise(F.element_at(F.array(*map(F.lit, LABELS)), third))
 
 
 def labelled(cells: DataFrame, value: str = "s_rare_r3") -> DataFrame:
-    """cells with label, lat_band and label_regional.
-
-    The number of cells is bounded by the grid (a globe has 6.5 million of 0.1 degrees), not by the
-    records, so one ordered pass over the scored ones is affordable.
-    """
-    ties = ["lat_cell", "lon_cell"]
+    """cells with label, lat_band and label_regional; ties go by place."""
     banded = cells.withColumn("lat_band", lat_band(F.col("lat_cell")))
-    return banded.withColumns({"label": tertile(value, ties), "label_regional": tertile(value, ties, ["lat_band"])})
+    out = order.numbered(banded, value, ["lat_cell", "lon_cell"], {"_all": [], "_band": ["lat_band"]})
+    labels = {"label": tertile(F.col("_all"), F.col("_all_of")), "label_regional": tertile(F.col("_band"), F.col("_band_of"))}
+    return out.withColumns(labels).select(*cells.columns, "lat_band", "label", "label_regional")
 
 
 def label_map(labels: DataFrame) -> DataFrame:

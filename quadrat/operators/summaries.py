@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import finite, order_quantile, percent, upper_median
+from ..functions import finite, percent
+from . import order
 
 
 def class_summary(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     """Rows, and mean and interpolated median of each column, per group.  Missing, NaN and infinite
     values are skipped column by column; the count is of all rows."""
     clean = rows.select(*by, *[finite(F.col(c).cast("double")).alias(c) for c in columns])
-    return clean.groupBy(*by).agg(F.count("*").alias("n_recordings"), *[f(c).alias(f"{c}__{n}") for c in columns for n, f in (("mean", F.avg), ("median", F.median))])
+    main = clean.groupBy(*by).agg(F.count("*").alias("n_recordings"), *[F.avg(c).alias(f"{c}__mean") for c in columns])
+    out = order.with_statistics(main, order.statistics(clean, by, columns, {"median": order.MEDIAN}), by)
+    return out.select(*by, "n_recordings", *[f"{c}__{n}" for c in columns for n in ("mean", "median")])
 
 
 def class_pivot(rows: DataFrame, by: str, column: str, values: list[str]) -> DataFrame:
@@ -25,13 +28,17 @@ def class_pivot(rows: DataFrame, by: str, column: str, values: list[str]) -> Dat
 
 
 def group_medians(cells: DataFrame, by: str = "continent", value: str = "s_rare_r3") -> DataFrame:
-    return cells.filter(F.col(value).isNotNull()).groupBy(by).agg(upper_median(value).alias("median_richness"), F.count("*").alias("n")).orderBy(F.desc("median_richness"), by)
+    scored = cells.filter(F.col(value).isNotNull())
+    found = order.statistics(scored, [by], [value], {"m": order.UPPER_MEDIAN}).withColumnRenamed(f"{value}__m", "median_richness")
+    return order.with_statistics(scored.groupBy(by).agg(F.count("*").alias("n")), found, [by]).select(by, "median_richness", "n").orderBy(F.desc("median_richness"), by)
 
 
 def order_quantiles(cells: DataFrame, value: str, places: tuple[float, ...] = (0.25, 0.5, 0.75, 0.9)) -> DataFrame:
-    """Least and largest value and those at the given places of the sorted values.  Values are of
-    cells, whose number the grid bounds."""
-    return cells.agg(F.min(value).alias("lo"), *[order_quantile(value, p).alias(f"q{round(100 * p)}") for p in places], F.max(value).alias("hi"))
+    """Least and largest value and those at the given places of the sorted values."""
+    found = order.statistics(cells, [], [value], {f"{round(100 * p)}": order.quantile(p) for p in places})
+    found = found.select(*[F.col(f"{value}__{round(100 * p)}").alias(f"q{round(100 * p)}") for p in places])
+    out = order.with_statistics(cells.agg(F.min(value).alias("lo"), F.max(value).alias("hi")), found, [])
+    return out.select("lo", *found.columns, "hi")
 
 
 def histogram(rows: DataFrame, value: str, bins: int) -> DataFrame:
@@ -53,11 +60,11 @@ def dense(counts: DataFrame, keys: dict[str, list], value: str = "n") -> DataFra
     return frame.join(counts, list(keys), "left").withColumn(value, F.coalesce(value, F.lit(0)).cast("bigint"))
 
 
-def stack_offset(rows: DataFrame, by: str, order: str, value: str, places: list | None = None) -> DataFrame:
+def stack_offset(rows: DataFrame, by: str, along: str, value: str, places: list | None = None) -> DataFrame:
     """rows with `base`: the sum of value over the rows before in order, per group.  With places, the
-    order is that of the list, and what is not in it comes first."""
-    place = F.col(order) if places is None else F.array_position(F.array(*map(F.lit, places)), F.col(order))
-    before = Window.partitionBy(by).orderBy(place, order).rowsBetween(Window.unboundedPreceding, -1)
+    order is that of the list, and what is not in it comes last."""
+    place = F.lit(0) if places is None else F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, places)), F.col(along)), F.lit(0)), F.lit(len(places) + 1))
+    before = Window.partitionBy(by).orderBy(place, along).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("base", F.coalesce(F.sum(value).over(before), F.lit(0)).cast("bigint"))
 
 

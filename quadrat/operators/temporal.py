@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import direction, upper_median, year_text
+from ..functions import direction, year_text
+from . import order
 from .cells import richness
 
 
@@ -33,9 +34,16 @@ def direction_counts(changes: DataFrame) -> DataFrame:
 def trend(cells: DataFrame) -> DataFrame:
     """Upper median of the scored cells by year and continent and by year over ALL; null if a year
     has none."""
-    sets = cells.groupingSets([["year", "continent"], ["year"]], "year", "continent")
-    out = sets.agg(F.grouping("continent").alias("g"), upper_median("s_rare").alias("median_richness"), F.count("s_rare").alias("n_scored"))
-    return out.select("year", F.when(F.col("g") == 1, "ALL").otherwise(F.col("continent")).alias("continent"), "median_richness", "n_scored")
+    both = cells.select("year", F.explode(F.array("continent", F.lit("ALL"))).alias("continent"), "s_rare")
+    return medians(both, ["year", "continent"])
+
+
+def medians(cells: DataFrame, by: list[str], *more: Column) -> DataFrame:
+    """Per group: further aggregates, the upper median of s_rare (null if none is scored), and n_scored."""
+    main = cells.groupBy(*by).agg(*more, F.count("s_rare").alias("n_scored"))
+    found = order.statistics(cells, by, ["s_rare"], {"m": order.UPPER_MEDIAN}).withColumnRenamed("s_rare__m", "median_richness")
+    out = order.with_statistics(main, found, by)
+    return out.select(*[c for c in main.columns if c != "n_scored"], "median_richness", "n_scored")
 
 
 def multi_year(cells: DataFrame, by: list[str]) -> DataFrame:
@@ -51,7 +59,7 @@ def multi_year(cells: DataFrame, by: list[str]) -> DataFrame:
 
 
 def scored_by_year(cells: DataFrame) -> DataFrame:
-    return cells.groupBy("year").agg(F.count("s_rare").alias("n_scored"), upper_median("s_rare").alias("median_richness"))
+    return medians(cells, ["year"])
 
 
 def effort(cells: DataFrame) -> DataFrame:

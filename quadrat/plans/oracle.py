@@ -56,7 +56,7 @@ POLY = (
 hit AS (SELECT pid, kind, year, py FROM pt JOIN pl ON x BETWEEN a AND a + w AND y BETWEEN b AND b + w WHERE CASE s_suppkey % 3
   WHEN 0 THEN true WHEN 1 THEN (x - a) + (y - b) <= w ELSE NOT (x > a + w / 4 AND x < a + w * 3 / 4 AND y > b + w / 4 AND y < b + w * 3 / 4) END)"""
 )
-CLS = POINT + ", cl AS (SELECT *, CASE WHEN cust % 10 = 0 THEN 'city' WHEN cust % 10 < 3 THEN 'town' ELSE 'rural' END AS urban_class FROM pt)"
+CLS = POLY + ", h AS (SELECT pid, min(kind) AS kind FROM hit WHERE year = py GROUP BY 1), cl AS (SELECT pt.*, coalesce(kind, 'rural') AS urban_class FROM pt LEFT JOIN h USING (pid))"
 SRC = (
     REC
     + r""", src AS (SELECT id, continent, idx_total, 0 AS src_rank FROM rec WHERE idx_total >= 100000 UNION ALL SELECT id, continent, idx_total + 1, 1 FROM rec WHERE idx_total < 150000
@@ -81,11 +81,38 @@ def _bins(rel: str, value: str, bins: int) -> str:
 FROM {rel}, (SELECT min({value}) AS lo, max({value}) AS hi FROM {rel}) GROUP BY 1"""
 
 
-_agg = lambda cols: ", ".join(f"round(avg({c}), 4) AS {c}__mean, round(median({c}), 4) AS {c}__median" for c in cols)
+_agg = lambda cols: ", ".join(f"round(avg({c}) + 0.00003, 4) AS {c}__mean, round(median({c}) + 0.00003, 4) AS {c}__median" for c in cols)
+
+SCORES = """sc AS (SELECT l_orderkey AS id, l_partkey AS part, l_suppkey AS supp, concat('say "', l_returnflag, '", ', chr(10), l_linestatus) AS note,
+  (l_partkey * 31 + l_suppkey) % 4 AS b, (l_partkey * 7919 + l_suppkey * 104729) % 100003 AS o FROM lineitem)"""
+ODD_ROWS = """od AS (SELECT lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS file, c_custkey AS k, c_name, c_mktsegment,
+  CASE WHEN c_custkey % 11 = 5 THEN 'too many fields' WHEN c_custkey % 13 = 7 THEN 'too few fields' END AS reason FROM customer)"""
 
 ORACLE: dict[str, str] = {
     "s02_month_range": """WITH o AS (SELECT o_orderkey, o_orderkey % 12 + 1 AS lo, CASE WHEN o_orderkey % 4 = 1 THEN o_orderkey % 12 + 1 ELSE o_custkey % 12 + 1 END AS hi FROM orders)
 SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN lpad(CAST(m AS VARCHAR), 2, '0') END AS month FROM (SELECT o_orderkey, unnest(CASE WHEN o_orderkey % 4 = 0 THEN [0::BIGINT] WHEN lo <= hi THEN range(lo, hi + 1) ELSE [] END) AS m FROM o)""",
+    "s04_json_pages": "SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS gen, concat(o_orderpriority, ';', o_orderstatus) AS also, o_orderpriority AS loc, CAST(NULL AS VARCHAR) AS en, o_custkey // 50 AS page FROM orders WHERE (o_custkey // 50) % 7 <> 3",
+    "s05_bad_pages": """SELECT DISTINCT o_custkey // 50 AS page, 'not JSON' AS reason, '{"recordings":[' AS begins FROM orders WHERE (o_custkey // 50) % 7 = 3""",
+    "s08_csv_scan": f"WITH {SCORES} SELECT CAST(id AS VARCHAR) AS id, CAST(part AS VARCHAR) AS part, CAST(supp AS VARCHAR) AS supp, note FROM sc",
+    "s09_pruned_scan": f"WITH {SCORES} SELECT CAST(id AS VARCHAR) AS id, CAST(supp AS VARCHAR) AS supp FROM sc",
+    "s09_good_rows": f"WITH {ODD_ROWS} SELECT CAST(k AS VARCHAR) AS id, c_name AS name, c_mktsegment AS segment FROM od WHERE reason IS NULL",
+    "s09_bad_rows": f"WITH {ODD_ROWS} SELECT file, reason, concat(k, ',', c_name, CASE WHEN reason = 'too many fields' THEN concat(',', c_mktsegment, ',more') ELSE '' END) AS content FROM od WHERE reason IS NOT NULL",
+    "s10_tagged_union": "SELECT CAST(c_custkey AS VARCHAR) AS id, c_mktsegment AS segment, lower(r_name) AS continent FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA'",
+    "s11_glob_scan": f"WITH {ODD_ROWS} SELECT file, count(*) AS n FROM od GROUP BY 1",
+    "s13_shapefile": """WITH p AS (SELECT s_suppkey, ((s_suppkey * 530) % 3300) / 10e0 - 180 AS minx, ((s_suppkey * 310) % 1200) / 10e0 - 60 AS miny, CAST(10 + s_suppkey % 5 * 5 AS DOUBLE) AS w FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey % 7 = 1)
+SELECT 'city' AS kind, CAST(1996 AS INTEGER) AS year, row_number() OVER (ORDER BY s_suppkey) AS poly_id, CAST(CASE s_suppkey % 3 WHEN 2 THEN 2 ELSE 1 END AS INTEGER) AS n_rings, CAST(CASE s_suppkey % 3 WHEN 0 THEN 5 WHEN 1 THEN 4 ELSE 10 END AS INTEGER) AS n_points,
+  minx, miny, minx + w AS maxx, miny + w AS maxy FROM p""",
+    "s14_zipped_outline": "SELECT n_nationkey + 1 AS record, n_name AS name, CAST(n_nationkey AS INTEGER) AS code, n_nationkey * 7e0 - 90 AS minx, n_regionkey * 20e0 - 50 AS miny, n_nationkey * 7e0 - 86 AS maxx, n_regionkey * 20e0 - 46 AS maxy FROM nation WHERE n_name ILIKE 'india'",
+    "s15_result_sink": f"WITH {CELL} SELECT round(lat_cell + 0.05, 4) AS lat, round(lon_cell + 0.05, 4) AS lon, continent, n_rec, round(s_rare_r3, 6) AS richness, label, CAST(CASE label WHEN 'bad' THEN 0 WHEN 'moderate' THEN 1 ELSE 2 END AS INTEGER) AS label_code FROM lab WHERE s_rare_r3 IS NOT NULL",
+    "s17_counters": """WITH p AS (SELECT o_custkey // 50 AS page, o_orderkey FROM orders), r AS (SELECT * FROM p WHERE page % 7 <> 3), m AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_discount > 0.05)
+SELECT (SELECT count(DISTINCT o_orderkey) FROM r) AS n_written, (SELECT count(DISTINCT page) FROM p) AS n_pages, (SELECT count(DISTINCT page) FROM p WHERE page % 7 = 3) AS n_bad_pages, (SELECT count(*) FROM r) AS n_read, (SELECT count(*) FROM r) AS n_blank,
+  (SELECT count(*) - count(DISTINCT o_orderkey) FROM r) AS n_dupes, (SELECT count(DISTINCT o_orderkey) FROM r JOIN m ON l_orderkey = o_orderkey) AS n_matched, (SELECT count(DISTINCT o_orderkey) FROM r LEFT JOIN m ON l_orderkey = o_orderkey WHERE l_orderkey IS NULL) AS n_unmatched""",
+    "p20_null_default": f"WITH {REC}, t AS (SELECT l_orderkey, max(l_linestatus) AS tag FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) SELECT id, coalesce(tag, '') AS tag, tag IS NOT NULL AS matched FROM rec LEFT JOIN t ON l_orderkey = id",
+    "p21_short_names": "SELECT p_partkey, ['ACI', 'ADI', 'AEI', 'Bioacoustic', 'NDSI', 'Spectral Entropy', 'Temporal Entropy', 'NB peaks', 'ADI (NR)', 'Bioacoustic (NR)', 'Spectral Entropy (NR)', 'other'][p_size % 12 + 1] AS short FROM part",
+    "j02_last_in_files": f"WITH {SCORES} SELECT CAST(id AS VARCHAR) AS id, CAST(part AS VARCHAR) AS part, CAST(supp AS VARCHAR) AS supp FROM sc QUALIFY row_number() OVER (PARTITION BY id ORDER BY b DESC, o DESC, part DESC, supp DESC) = 1",
+    "j03_first_in_files": f"WITH {SCORES} SELECT CAST(id AS VARCHAR) AS id, CAST(part AS VARCHAR) AS part, CAST(supp AS VARCHAR) AS supp FROM sc QUALIFY row_number() OVER (PARTITION BY id ORDER BY b, o, part, supp) = 1",
+    "o05_reading_order": f"""WITH {SCORES}, n AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY o, part, supp, id) AS r, row_number() OVER (PARTITION BY b ORDER BY o DESC, part DESC, supp DESC, id DESC) AS z, count(*) OVER (PARTITION BY b) AS n FROM sc)
+SELECT CAST(x.id AS VARCHAR) AS id, CAST(x.part AS VARCHAR) AS part, CAST(x.supp AS VARCHAR) AS supp, CAST(y.id AS VARCHAR) AS last_id, CAST(y.part AS VARCHAR) AS last_part, x.n FROM n x JOIN n y USING (b) WHERE x.r = 1 AND y.z = 1""",
     "s06_unnest": "SELECT l_orderkey, l_partkey, l_quantity FROM lineitem",
     "p01_lenient_double": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 1 THEN o_orderkey + 0.5e0 END AS x FROM orders",
     "p02_grid_snap": f"WITH {CELL} SELECT id, lat_cell, lon_cell FROM g",
@@ -164,10 +191,10 @@ SELECT round(minx, 6) AS minx, round(miny, 6) AS miny, round(maxx, 6) AS maxx, r
     "v1_summary": f"WITH {CELL} SELECT count(*) AS n_cells, count(s_rare) AS n_scored, round(100e0 * count(s_rare) / count(*), 6) AS pct_scored, count(*) FILTER (label = 'bad') AS n_bad, count(*) FILTER (label = 'moderate') AS n_moderate, count(*) FILTER (label = 'good') AS n_good FROM lab",
     "v2_label_map": f"WITH {CELL} SELECT round(lat_cell + 0.05, 4) AS lat, round(lon_cell + 0.05, 4) AS lon, continent, n_rec, round(s_rare_r3, 6) AS richness, label, CAST(CASE label WHEN 'bad' THEN 0 WHEN 'moderate' THEN 1 ELSE 2 END AS INTEGER) AS label_code FROM lab WHERE s_rare_r3 IS NOT NULL",
     "v4_distribution": f"WITH {YEAR} " + _bins("ch", "delta", 30),
-    "v6_trend": f"WITH {YEAR} SELECT year, continent, round({MEDIAN}, 6) AS median_richness, count(s_rare) AS n_scored FROM cy GROUP BY 1, 2",
+    "v6_trend": f"WITH {YEAR} SELECT year, continent, round({MEDIAN}, 6) AS median_richness, count(s_rare) AS n_scored FROM cy GROUP BY 1, 2 UNION ALL SELECT year, 'ALL', round({MEDIAN}, 6), count(s_rare) FROM cy GROUP BY 1",
     "v8_effort_metric": f"WITH {YEAR} SELECT year, CAST(sum(n_rec) AS BIGINT) AS n_rec, count(s_rare) AS n_scored, round({MEDIAN}, 6) AS median_richness FROM cy GROUP BY 1",
     "v8_effort_stack": f"""WITH {YEAR}, c AS (SELECT year, continent, CAST(sum(n_rec) AS BIGINT) AS n_rec FROM cy GROUP BY 1, 2)
-SELECT *, CAST(coalesce(sum(n_rec) OVER (PARTITION BY year ORDER BY coalesce(list_position(['europe', 'america', 'asia', 'africa'], continent), 0), continent ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS base FROM c""",
+SELECT *, CAST(coalesce(sum(n_rec) OVER (PARTITION BY year ORDER BY coalesce(nullif(list_position(['europe', 'america', 'asia', 'africa'], continent), 0), 9), continent ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS base FROM c""",
     "v8_metric_extrema": f"""WITH {YEAR}, m AS (SELECT year, round({MEDIAN}, 6) AS m FROM cy GROUP BY 1 HAVING count(s_rare) > 0)
 SELECT min(m) AS low, max(m) AS peak, (SELECT year FROM m ORDER BY m, year LIMIT 1) AS low_at, (SELECT year FROM m ORDER BY m DESC, year LIMIT 1) AS peak_at,
   (SELECT m FROM m ORDER BY year DESC LIMIT 1) AS last, round(max(m) - (SELECT m FROM m ORDER BY year DESC LIMIT 1), 6) AS drop FROM m""",
@@ -178,3 +205,31 @@ SELECT *, CAST(coalesce(sum(n) OVER (PARTITION BY year ORDER BY list_position(['
   round(n / CAST(nullif(sum(n) OVER (PARTITION BY year), 0) AS DOUBLE), 6) AS share FROM d""",
     "flagship_grid_labels": f"WITH {CELL} SELECT lat_cell, lon_cell, continent, n_rec, s_obs, round(s_rare_r3, 6) AS s_rare10, label, lat_band, label_regional FROM lab",
 }
+
+
+def _beside(*names: str) -> str:
+    """Frames of one row each, or the first of several rows, side by side."""
+    return "SELECT * FROM " + " CROSS JOIN ".join(f"({x if x.startswith(('WITH', 'SELECT')) else ORACLE[x]})" for x in names)
+
+
+def _directions(first: str = "") -> str:
+    return f"WITH {YEAR} SELECT {first}" + ", ".join(f"count(*) FILTER (direction = '{x}') AS n_{x}" for x in ("up", "down", "flat")) + " FROM dir"
+
+
+ORACLE |= {
+    "v1_report": _beside("v1_summary", "o02_best_rho", f"SELECT CAST(sum(n_read) AS BIGINT) AS n_read, CAST(sum(n_total) AS BIGINT) AS n_merged, round(100e0 * sum(n_matched) / sum(n_total), 6) AS pct_matched FROM ({ORACLE['j04_match_counters']})"),
+    "v3_signed_rho": f"WITH {RANK} SELECT index_name, n, rho, CASE WHEN rho < 0 THEN 'negative' ELSE 'positive' END AS sign, CAST(row_number() OVER (ORDER BY abs(coalesce(rho, 0)) DESC, index_name) AS INTEGER) AS place FROM rho",
+    "v4_richness": _beside("a21_histogram", "a13_order_quantiles"),
+    "v6_change": _beside("v4_distribution", _directions()),
+    "v7_decade": _beside("a08_multi_year", _directions("count(*) AS n_changed, "), "v8_metric_extrema"),
+    "v9_country_years": f"""WITH {REC}, c AS (SELECT CAST(substr(date, 1, 4) AS INTEGER) AS year, count(*) AS n FROM rec WHERE cnt = 'INDIA' GROUP BY 1)
+SELECT CAST(yy AS INTEGER) AS year, coalesce(n, 0) AS n, (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM c) AS total FROM range(1996, 2004) t(yy) LEFT JOIN c ON year = yy""",
+    "v10_country_map": f"""WITH {REC}, {POLY}, h AS (SELECT pid, min(kind) AS kind FROM hit WHERE year = py GROUP BY 1),
+o AS (SELECT n_nationkey * 7e0 - 92 AS minx, n_regionkey * 20e0 - 52 AS miny, n_nationkey * 7e0 - 84 AS maxx, n_regionkey * 20e0 - 44 AS maxy FROM nation WHERE n_name = 'INDIA')
+SELECT id, round(lat, 6) AS lat, round(lon, 6) AS lon, coalesce(kind, 'rural') AS urban_class, minx, miny, maxx, maxy, round(1 / cos(radians((miny + maxy) / 2)), 6) AS aspect FROM rec LEFT JOIN h ON pid = id, o WHERE cnt = 'INDIA' AND lat IS NOT NULL""",
+}
+ORACLE["a06_roll_up"] = f"""WITH {YEAR}, am AS (SELECT site, max(continent) AS continent, count(*) AS n_rec FROM rec GROUP BY 1),
+ai AS (SELECT site, s, count(*) AS c FROM (SELECT site, unnest(names) AS s FROM rec) GROUP BY 1, 2),
+ap AS (SELECT site, count(*) AS s_obs, sum(CASE WHEN n_rec < 10 THEN NULL WHEN n_rec - c < 10 THEN 1e0 ELSE 1 - exp(lgamma(n_rec - c + 1) - lgamma(n_rec - c - 9) - lgamma(n_rec + 1) + lgamma(n_rec - 9)) END) AS s FROM ai JOIN am USING (site) GROUP BY 1)
+SELECT site, 'all' AS over, NULL AS year, continent, n_rec, coalesce(s_obs, 0) AS s_obs, round(CASE WHEN n_rec >= 10 THEN coalesce(s, 0) END, 6) AS s_rare FROM am LEFT JOIN ap USING (site)
+UNION ALL SELECT site, 'year', year, continent, n_rec, s_obs, round(s_rare, 6) FROM cy"""

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import functions as fn
-from ..operators import cells, ingest, labels, spatial, summaries, temporal
-from ..sources import month_range
+from ..operators import cells, ingest, labels, order, spatial, summaries, temporal
+from .. import sources
+from ..sources import month_range, shapefile
+from . import written
 from .proxy import INDICES, points, polygons, recordings, sites, staircases, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,9 +45,8 @@ def yearly(s, d):
 
 
 def classed(s, d):
-    """Every order's class by its key, where no polygon is asked for."""
-    rows = points(s, d)
-    return rows.withColumn("urban_class", F.when(F.col("cust") % 10 == 0, "city").when(F.col("cust") % 10 < 3, "town").otherwise("rural"))
+    """Every order's class by the polygon of its year that it lies in."""
+    return spatial.overlay(points(s, d), polygons(s, d), tile=2.0)
 
 
 # sources and scalars
@@ -55,10 +56,100 @@ def s02_month_range(s, d):
     return table(s, d, "orders").select("o_orderkey", F.explode(month_range(spec)).alias("month"))
 
 
+def _page_number():
+    return F.regexp_extract("path", "page([0-9]+)", 1).cast("bigint")
+
+
+@query
+def s04_json_pages(s, d):
+    """Records of all pages that can be read, in nested folders, by page and place."""
+    rows = sources.unnest(sources.json_pages(s, written.pages(s, d)), place=True)
+    return rows.select("id", "gen", "also", "loc", "en", F.regexp_extract("place.place.path", "page([0-9]+)", 1).cast("bigint").alias("page"))
+
+
+@query
+def s05_bad_pages(s, d):
+    """Pages that can't be read, with the reason and how their text begins."""
+    return sources.bad_pages(sources.json_pages(s, written.pages(s, d))).select(_page_number().alias("page"), "reason", F.left("content", F.lit(15)).alias("begins"))
+
+
 @query
 def s06_unnest(s, d):
-    pages = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_partkey", "l_quantity")).alias("recordings"))
-    return pages.select("l_orderkey", F.explode("recordings").alias("r")).select("l_orderkey", "r.*")
+    values = {"id": F.col("l_partkey").cast("string"), "loc": F.col("l_orderkey").cast("string"), "length": F.col("l_quantity").cast("string")}
+    rec = F.struct(*[values.get(f, F.lit(None).cast("string")).alias(f) for f in sources.FIELDS])
+    pages = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(rec).alias("recordings")).select("recordings", F.lit(None).cast("string").alias("corrupt"), "l_orderkey", F.lit(0).alias("place"))
+    return sources.unnest(pages).select(F.col("loc").cast("bigint").alias("l_orderkey"), F.col("id").cast("bigint").alias("l_partkey"), F.col("length").cast("double").alias("l_quantity"))
+
+
+@query
+def s08_csv_scan(s, d):
+    """Quoted fields with quotes, commas and line ends."""
+    return sources.csv_rows(s, written.scores(s, d), written.SCORE)
+
+
+@query
+def s09_pruned_scan(s, d):
+    return sources.csv_rows(s, written.scores(s, d), written.SCORE, ["id", "supp"])
+
+
+@query
+def s09_good_rows(s, d):
+    return sources.good_rows(sources.csv_marked(s, written.odd_rows(s, d), ["id", "name", "segment"])).select("id", "name", "segment")
+
+
+@query
+def s09_bad_rows(s, d):
+    bad = sources.bad_rows(sources.csv_marked(s, written.odd_rows(s, d), ["id", "name", "segment"]))
+    return bad.select(F.regexp_extract("path", "score_([0-9]+)", 1).alias("file"), "reason", F.rtrim("content").alias("content"))
+
+
+@query
+def s10_tagged_union(s, d):
+    """One source a region; that of Asia is absent (S12)."""
+    folder = written.regions(s, d)
+    return sources.tagged_union(s, {r: f"{folder}/r={r}" for r in ("africa", "america", "asia", "europe", "middle east")}, ["id", "name", "segment"], ["id", "segment"])
+
+
+@query
+def s11_glob_scan(s, d):
+    marked = sources.csv_marked(s, f"{written.odd_rows(s, d)}/score_*_meta.csv", ["id", "name", "segment"])
+    return marked.groupBy(F.regexp_extract("place.path", "score_([0-9]+)", 1).alias("file")).agg(F.count("*").alias("n"))
+
+
+@query
+def s13_shapefile(s, d):
+    """One layer of many: the filters reach the files, and of two with one name the first is read."""
+    shapes = shapefile.layers(s, written.layers(s, d)).filter("kind = 'city' and year = 1996")
+    return shapes.select("kind", "year", "poly_id", F.size("rings").alias("n_rings"), F.size(F.flatten("rings")).alias("n_points"), "minx", "miny", "maxx", "maxy")
+
+
+@query
+def s14_zipped_outline(s, d):
+    found = shapefile.of_country(shapefile.outlines(s, written.outlines(s, d)), "india")
+    return found.select("record", shapefile.outline_name(F.col("attributes")).alias("name"), F.element_at("attributes", "CODE").cast("int").alias("code"), "minx", "miny", "maxx", "maxy")
+
+
+@query
+def s15_result_sink(s, d):
+    """A result table, written and read back."""
+    folder = sources.scratch(s, "results")
+    sources.write_result(labels.label_map(labels.labelled(grid_cells(s, d))), folder, "biodiversity_map")
+    back = sources.read_result(s, folder, "biodiversity_map")
+    return back.select(*[r6(F.col(c).cast("double")).alias(c) for c in ("lat", "lon", "richness")], "continent", F.col("n_rec").cast("bigint").alias("n_rec"), "label", F.col("label_code").cast("int").alias("label_code"))
+
+
+@query
+def s17_counters(s, d):
+    """What a merge has read, skipped, dropped and matched, counted in the pass that writes its rows."""
+    read, kept, met, seen = (Observation(x) for x in ("read", "kept", "met", "pages"))
+    pages = ingest.counted(sources.json_pages(s, written.pages(s, d)), seen, bad=F.count("corrupt"))
+    rows = ingest.counted(sources.unnest(pages, place=True), read, blank=F.count_if(F.col("en").isNull()))
+    once = ingest.counted(ingest.last_wins(rows.withColumn("gen_loc", F.concat("gen", "loc")), "id", "place"), kept)
+    lines = table(s, d, "lineitem").filter("l_discount > 0.05").select(F.col("l_orderkey").cast("string").alias("id")).distinct()
+    merged = ingest.counted(ingest.left_join(once.select("id", "gen_loc"), lines), met, matched=F.count_if("matched"))
+    merged.write.parquet(folder := sources.scratch(s, "merged"))
+    counts = {"n_pages": seen.get["n"], "n_bad_pages": seen.get["bad"], "n_read": read.get["n"], "n_blank": read.get["blank"], "n_dupes": read.get["n"] - kept.get["n"], "n_matched": met.get["matched"], "n_unmatched": met.get["n"] - met.get["matched"]}
+    return s.read.parquet(folder).agg(F.count("*").alias("n_written")).select("n_written", *[F.lit(v).cast("bigint").alias(k) for k, v in counts.items()])
 
 
 @query
@@ -154,6 +245,20 @@ def p19_growth_pct(s, d):
     return n.select("n_nationkey", fn.growth(F.col("n_regionkey").cast("bigint"), F.lit(3)).alias("growth"), r6(fn.percent(F.col("n_regionkey"), F.col("n_nationkey"), None)).alias("pct"))
 
 
+@query
+def p20_null_default(s, d):
+    """Texts of unmatched rows: null inside, empty at a sink."""
+    tags = table(s, d, "lineitem").filter("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("id")).agg(F.max("l_linestatus").alias("tag"))
+    joined = ingest.left_join(recordings(s, d).select("id", "cnt"), tags)
+    return joined.select("id", F.coalesce("tag", F.lit("")).alias("tag"), "matched")
+
+
+@query
+def p21_short_names(s, d):
+    names = F.array(*map(F.lit, [*sources.RESULTS["grid_cells"][6:], "other"]))
+    return table(s, d, "part").select("p_partkey", fn.short_name(F.element_at(names, (F.col("p_size") % 12 + 1).cast("int"))).alias("short"))
+
+
 # joins
 def _sources(s, d):
     """Three overlapping sources that hold every recording between them."""
@@ -183,6 +288,28 @@ def j03_probe_first_wins(s, d):
     return rounded(ingest.first_wins(_sources(s, d), ["continent", "id"], "src_rank", "seq").select("continent", "id", "src_rank", "idx_total"), "idx_total")
 
 
+@query
+def j02_last_in_files(s, d):
+    """Of rows with one id, the last as files are read."""
+    rows = sources.csv_marked(s, written.scores(s, d), written.SCORE)
+    return ingest.last_wins(sources.good_rows(rows), "id", "place").select("id", "part", "supp")
+
+
+@query
+def j03_first_in_files(s, d):
+    """Of rows with one id, the first as files are read."""
+    rows = sources.csv_marked(s, written.scores(s, d), written.SCORE)
+    return ingest.first_wins(sources.good_rows(rows), ["id"], "place").select("id", "part", "supp")
+
+
+@query
+def o05_reading_order(s, d):
+    """The first and the last row of each class of rows, as files are read in order of path."""
+    rows = sources.csv_marked(s, written.scores(s, d), written.SCORE).withColumn("r", F.struct("id", "part", "supp"))
+    ends = rows.groupBy(F.expr("(part * 31L + supp) % 4").alias("b")).agg(F.min_by("r", "place").alias("a"), F.max_by("r", "place").alias("z"), F.count("*").alias("n"))
+    return ends.select("a.*", F.col("z.id").alias("last_id"), F.col("z.part").alias("last_part"), "n")
+
+
 @query
 def u01_union_dedup(s, d):
     kept = ingest.first_wins(_sources(s, d), ["continent", "id"], "src_rank", "seq")
@@ -262,6 +389,13 @@ def a06_cell_year(s, d):
     return rounded(yearly(s, d).select("site", "year", "continent", "n_rec", "s_obs", "s_rare"), "s_rare")
 
 
+@query
+def a06_roll_up(s, d):
+    """Sites over all years and by year, from one state."""
+    rows = cells.rolled_up(sites(s, d), ["site"])
+    return rounded(rows.select("site", "over", "year", "continent", "n_rec", "s_obs", "s_rare"), "s_rare")
+
+
 @query
 def a07_coverage(s, d):
     return cells.coverage(grid_cells(s, d))
@@ -301,13 +435,13 @@ def a13_order_quantiles(s, d):
 @query
 def a14_class_summary(s, d):
     out = summaries.class_summary(classed(s, d), ["urban_class"], ["v", "x", "y"])
-    return out.select("urban_class", "n_recordings", *[F.round(c, 4).alias(c) for c in out.columns[2:]])
+    return out.select("urban_class", "n_recordings", *[F.round(F.col(c) + 0.00003, 4).alias(c) for c in out.columns[2:]])  # off the exact ties
 
 
 @query
 def a15_year_class_summary(s, d):
     out = summaries.class_summary(classed(s, d), ["year", "urban_class"], ["v", "y"])
-    return out.select("year", "urban_class", "n_recordings", *[F.round(c, 4).alias(c) for c in out.columns[3:]])
+    return out.select("year", "urban_class", "n_recordings", *[F.round(F.col(c) + 0.00003, 4).alias(c) for c in out.columns[3:]])  # off the exact ties
 
 
 @query
@@ -365,7 +499,7 @@ def a25_extent(s, d):
 @query
 def w01_avg_rank(s, d):
     rows = table(s, d, "part").select("p_partkey", "p_brand", "p_size")
-    return rows.select("p_partkey", fn.average_rank(F.col("p_size"), ["p_brand"]).alias("rank"))
+    return order.average_ranks(rows, ["p_brand"], "p_size").select("p_partkey", "rank")
 
 
 @query
@@ -427,26 +561,67 @@ def v1_summary(s, d):
     return cell.agg(F.count("*").alias("n_cells"), F.count("s_rare").alias("n_scored"), r6(F.try_divide(F.count("s_rare") * 100.0, F.count("*"))).alias("pct_scored"), *[F.count_if(F.col("label") == x).alias(f"n_{x}") for x in ("bad", "moderate", "good")])
 
 
+@query
+def v1_report(s, d):
+    """The summary with the best correlation and the merge's totals."""
+    totals = j04_match_counters(s, d).agg(F.sum("n_read").alias("n_read"), F.sum("n_total").alias("n_merged"), r6(F.try_divide(F.sum("n_matched") * 100.0, F.sum("n_total"))).alias("pct_matched"))
+    return v1_summary(s, d).crossJoin(F.broadcast(o02_best_rho(s, d))).crossJoin(F.broadcast(totals))  # one row each
+
+
 @query
 def v2_label_map(s, d):
     return rounded(labels.label_map(labels.labelled(grid_cells(s, d))), "lat", "lon", "richness")
 
 
+@query
+def v3_signed_rho(s, d):
+    """Correlations by size, with sign and short name."""
+    found = w02_spearman(s, d)
+    place = F.row_number().over(Window.orderBy(F.desc(F.abs(F.coalesce("rho", F.lit(0.0)))), "index_name"))  # as many rows as there are indices
+    sign = F.when(F.col("rho") < 0, "negative").otherwise("positive")
+    return found.select("index_name", "n", "rho", sign.alias("sign"), place.alias("place"))
+
+
+@query
+def v4_richness(s, d):
+    """Histogram of richness in 40 bins, with the quantiles of all cells beside each."""
+    scored = grid_cells(s, d).filter("s_rare_r3 is not null")
+    quantiles = rounded(summaries.order_quantiles(scored, "s_rare_r3"), "lo", "q25", "q50", "q75", "q90", "hi")
+    return summaries.histogram(scored, "s_rare_r3", 40).crossJoin(F.broadcast(quantiles))  # one row
+
+
 @query
 def v4_distribution(s, d):
     return summaries.histogram(temporal.change(yearly(s, d), ["site"]), "delta", 30)
 
 
+@query
+def v6_change(s, d):
+    """Histogram of change in 30 bins, with the counts of directions."""
+    changes = temporal.change(yearly(s, d), ["site"])
+    counts = changes.agg(*[F.count_if(F.col("direction") == x).alias(f"n_{x}") for x in ("up", "down", "flat")])
+    return summaries.histogram(changes, "delta", 30).crossJoin(F.broadcast(counts))  # one row
+
+
 @query
 def v6_trend(s, d):
-    out = yearly(s, d).groupBy("year", "continent").agg(fn.upper_median("s_rare").alias("median_richness"), F.count("s_rare").alias("n_scored"))
-    return rounded(out, "median_richness")
+    return rounded(temporal.trend(yearly(s, d)), "median_richness")
+
+
+@query
+def v7_decade(s, d):
+    """Findings over all years: coverage, directions, and where the yearly median was lowest and highest."""
+    years = yearly(s, d)
+    changes = temporal.change(years, ["site"])
+    series = rounded(temporal.scored_by_year(years).filter("median_richness is not null"), "median_richness")
+    counts = changes.agg(F.count("*").alias("n_changed"), *[F.count_if(F.col("direction") == x).alias(f"n_{x}") for x in ("up", "down", "flat")])
+    ends = rounded(temporal.extrema(series, "year", "median_richness"), "low", "peak", "last", "drop")
+    return temporal.multi_year(years, ["site"]).crossJoin(F.broadcast(counts)).crossJoin(F.broadcast(ends))  # one row each
 
 
 @query
 def v8_effort_metric(s, d):
-    out = yearly(s, d).groupBy("year").agg(F.sum("n_rec").alias("n_rec"), F.count("s_rare").alias("n_scored"), fn.upper_median("s_rare").alias("median_richness"))
-    return rounded(out, "median_richness")
+    return rounded(temporal.medians(yearly(s, d), ["year"], F.sum("n_rec").alias("n_rec")), "median_richness")
 
 
 @query
@@ -461,6 +636,24 @@ def v8_metric_extrema(s, d):
     return rounded(temporal.extrema(series, "year", "median_richness"), "drop")
 
 
+@query
+def v9_country_years(s, d):
+    """A country's records by year, of a run of years without gaps, and all its records of any year."""
+    years = recordings(s, d).filter("cnt = 'INDIA'").select(fn.year_text(F.col("date")).cast("int").alias("year")).filter("year is not null")
+    counts = years.groupBy("year").agg(F.count("*").alias("n"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    return summaries.dense(counts, {"year": list(range(1996, 2004))}).crossJoin(F.broadcast(total))  # one row
+
+
+@query
+def v10_country_map(s, d):
+    """A country's records with the class of the polygon they lie in, and its outline's padded box."""
+    tags = spatial.overlay(points(s, d), polygons(s, d), tile=2.0).select(F.col("pid").alias("id"), "urban_class")
+    rows = recordings(s, d).filter("cnt = 'INDIA'").select("id", F.col("lat").try_cast("double").alias("lat"), F.col("lon").try_cast("double").alias("lon")).filter("lat is not null and lon is not null")
+    box = spatial.extent(shapefile.of_country(shapefile.outlines(s, written.outlines(s, d)), "india"), 2.0)
+    return rounded(rows.join(tags, "id", "left").crossJoin(F.broadcast(box)), "lat", "lon", "aspect")  # one row
+
+
 @query
 def v9_country_split(s, d):
     """A country's records by year and the class of the polygon they lie in: counts, shares, stack."""

@@ -9,10 +9,10 @@ from pyspark.sql import types as T
 from ..functions import list_text
 
 #: The fields of a metadata record, in order.
-FIELDS = (
-    "id gen sp ssp grp en rec cnt loc lat lon alt type sex stage method url file file-name lic q length time date uploaded also rmk "
-    "animal-seen playback-used temp regnr auto dvc mic smp"
-).split()
+FIELDS = [
+    "id", "gen", "sp", "ssp", "grp", "en", "rec", "cnt", "loc", "lat", "lon", "alt", "type", "sex", "stage", "method", "url", "file", "file-name", "lic", "q", "length", "time", "date", "uploaded",
+    "also", "rmk", "animal-seen", "playback-used", "temp", "regnr", "auto", "dvc", "mic", "smp",
+]
 
 
 def metadata_schema() -> T.StructType:
@@ -23,18 +23,34 @@ def text_schema(names: list[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
+def reading_order() -> Column:
+    """A row's place in what is read: its file's path, the block of the file, and its place in the block.
+
+    It orders rows as a reader of all files, sorted by path, would meet them; "first" and "last" are by
+    it.  To be taken right from the scan, before any shuffle."""
+    return F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+
+
 def json_pages(spark: SparkSession, folder: str, name: str = "page*.json") -> DataFrame:
-    """Pages under folder, at any depth: `recordings` (array of records) and `path`.  A page that
-    can't be parsed, or has no recordings, brings no rows when unnested."""
+    """Pages under folder, at any depth: `recordings` (array of records), `corrupt` (the text of a page that
+    can't be parsed, else null), `path` and `place` (reading order)."""
     schema = T.StructType([T.StructField("recordings", T.ArrayType(metadata_schema())), T.StructField("_corrupt_record", T.StringType())])
     pages = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("recursiveFileLookup", True).option("pathGlobFilter", name).json(folder)
-    return pages.select("recordings", F.col("_corrupt_record").isNotNull().alias("corrupt"), F.col("_metadata.file_path").alias("path"))
+    return pages.select("recordings", F.col("_corrupt_record").alias("corrupt"), F.col("_metadata.file_path").alias("path"), reading_order().alias("place"))
 
 
-def unnest(pages: DataFrame) -> DataFrame:
-    """One row of all FIELDS per record of the good pages; a list in `also` becomes ';'-joined text."""
-    rows = pages.filter("not corrupt").select(F.explode("recordings").alias("r")).select("r.*")
-    return rows.withColumn("also", list_text(F.col("also")))
+def unnest(pages: DataFrame, place: bool = False) -> DataFrame:
+    """One row of all FIELDS per record of the good pages, with its `place` (page, and position there) if
+    asked; a list in `also` becomes ';'-joined text.  A page without recordings brings no rows."""
+    rows = pages.filter("corrupt is null").select("place", F.posexplode("recordings").alias("k", "r"))
+    rows = rows.select("r.*", F.struct("place", "k").alias("place")).withColumn("also", list_text(F.col("also")))
+    return rows if place else rows.drop("place")
+
+
+def bad_pages(pages: DataFrame) -> DataFrame:
+    """`path, reason, content` of the pages that can't be parsed."""
+    reason = F.when(F.col("recordings").isNull(), "not JSON").otherwise("not JSON throughout")
+    return pages.filter("corrupt is not null").select("path", reason.alias("reason"), F.col("corrupt").alias("content"))
 
 
 def csv_rows(spark: SparkSession, path: str | list[str], names: list[str], columns: list[str] | None = None) -> DataFrame:
@@ -45,6 +61,26 @@ def csv_rows(spark: SparkSession, path: str | list[str], names: list[str], colum
     return df.select(*columns) if columns else df
 
 
+def csv_marked(spark: SparkSession, path: str | list[str], names: list[str]) -> DataFrame:
+    """Rows like `csv_rows`, with `place` (reading order), and `reason` and `content` (its text) for a row
+    whose number of fields isn't the header's: good rows and quarantine in one read."""
+    schema = T.StructType([*text_schema(names).fields, T.StructField("_corrupt_record", T.StringType())])
+    read = spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).option("maxCharsPerColumn", -1).option("mode", "PERMISSIVE")
+    rows = read.csv(path).withColumn("place", reading_order())
+    # of a short row the last field is null and its text doesn't end with an empty one
+    reason = F.when(F.col("_corrupt_record").isNull(), None).when(F.col(f"`{names[-1]}`").isNull() & ~F.rtrim("_corrupt_record").endswith(","), "too few fields").otherwise("too many fields")
+    return rows.withColumn("reason", reason).withColumnRenamed("_corrupt_record", "content")
+
+
+def good_rows(marked: DataFrame) -> DataFrame:
+    return marked.filter("reason is null").drop("reason", "content")
+
+
+def bad_rows(marked: DataFrame) -> DataFrame:
+    """`path, reason, content` of malformed rows."""
+    return marked.filter("reason is not null").select("place.path", "reason", "content")
+
+
 def existing(spark: SparkSession, paths: list[str]) -> list[str]:
     """Those of the paths that exist, asked of their own file system (which may be remote)."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

@@ -12,9 +12,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quadrat import functions as fn
-from quadrat.operators import cells, ingest, labels, spatial, summaries, temporal
-from quadrat.sources import FIELDS, csv_rows, existing, json_pages, month_range, tagged_union, unnest, write_csv
-from quadrat.sources.shapefile import ShapefileSource, from_bytes
+from quadrat.operators import cells, ingest, labels, order, spatial, summaries, temporal
+from quadrat.sources import FIELDS, NamedFiles, bad_pages, bad_rows, csv_marked, csv_rows, existing, found, good_rows, json_pages, month_range, read_result, tagged_union, unnest, write_csv, write_result
+from quadrat.sources import shapefile as shp_files
+from quadrat.sources.shapefile import from_bytes
 from quadrat.streaming import deduplicated, incidence_counts
 
 
@@ -73,19 +74,62 @@ def test_rarefaction(spark):
 
 
 def test_medians_and_quantiles(spark):
-    med = lambda v: spark.createDataFrame([(x,) for x in v], "x double").agg(fn.upper_median("x")).first()[0]
+    def found(values, **picks):
+        return order.statistics(spark.createDataFrame([(x,) for x in values], "x double"), [], ["x"], picks).first()
+
+    med = lambda v: found(v, m=order.UPPER_MEDIAN)[0]
     assert [med([1.0, 2.0, 3.0, 4.0]), med([1.0, 2.0, 3.0]), med([])] == [3.0, 2.0, None]
-    df = spark.range(10).select(F.col("id").cast("double").alias("x"))
-    assert df.agg(fn.order_quantile("x", 0.25), fn.order_quantile("x", 0.9)).first()[:] == (2.0, 9.0)
+    assert found([float(x) for x in range(10)], a=order.quantile(0.25), b=order.quantile(0.9), c=order.quantile(1.0))[:] == (2.0, 9.0, 9.0)
+
+
+def test_classes_keep_the_order(spark):
+    rng = np.random.default_rng(8)
+    values = np.concatenate([rng.normal(size=300), rng.normal(size=300) * 10.0 ** rng.integers(-300, 300, 300), 2.0 ** np.arange(-1074.0, 1024.0), np.nextafter(2.0 ** np.arange(-40.0, 40.0), 0), [0.0, -0.0, np.inf, -np.inf, 5e-324, -5e-324, 1.7e308]])
+    values = np.concatenate([values, -values])
+    got = spark.createDataFrame([(float(v),) for v in values] + [(float("nan"),)], "x double").select("x", order.coarse(F.col("x")).alias("c")).collect()
+    rows = sorted((r for r in got if r.x == r.x), key=lambda r: r.x)
+    assert all(a.c <= b.c for a, b in zip(rows, rows[1:])) and [r.c for r in got if r.x != r.x][0] > rows[-1].c
+    assert len({r.c for r in rows}) > 2000
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.one_of(st.none(), st.integers(-3, 3).map(float), st.floats(-1e6, 1e6))), min_size=1, max_size=60))
+def test_order_statistics_property(spark, rows):
+    df = spark.createDataFrame([(g, v, None if v is None else -v) for g, v in rows], "g string, v double, w double")
+    got = {r.g: r for r in order.statistics(df, ["g"], ["v", "w"], {"median": order.MEDIAN, "upper": order.UPPER_MEDIAN, "q": order.quantile(0.75)}).collect()}
+    for g in {g for g, _ in rows}:
+        for name, some in (("v", sorted(v for h, v in rows if h == g and v is not None)), ("w", sorted(-v for h, v in rows if h == g and v is not None))):
+            if some:
+                assert got[g][f"{name}__median"] == pytest.approx(float(np.median(some))) and got[g][f"{name}__upper"] == some[len(some) // 2] and got[g][f"{name}__q"] == some[int(len(some) * 0.75)]
+    ranks = order.average_ranks(df, ["g"], "v").collect()
+    for r in ranks:
+        some = [v for h, v in rows if h == r.g and v is not None]
+        assert r["rank"] is None if r.v is None else r["rank"] == sum(x < r.v for x in some) + (sum(x == r.v for x in some) + 1) / 2
+    assert len(ranks) == len(rows)
 
 
 def test_average_rank_and_tertiles(spark):
     df = spark.createDataFrame([(10.0,), (20.0,), (20.0,), (30.0,)], "x double")
-    assert sorted(r[0] for r in df.select(fn.average_rank(F.col("x"))).collect()) == [1, 2.5, 2.5, 4]
+    assert sorted(r["rank"] for r in order.average_ranks(df, [], "x").collect()) == [1, 2.5, 2.5, 4]
     for n, want in ((5, ["bad", "bad", "moderate", "moderate", "good"]), (2, ["bad", "moderate"]), (1, ["bad"])):
         rows = spark.createDataFrame([(float(i), float(i), 1.0) for i in range(n)] + [(None, -1.0, 1.0)], "s_rare_r3 double, lat_cell double, lon_cell double")
         got = labels.labelled(rows).orderBy("lat_cell").collect()
         assert [r.label for r in got] == ["insufficient_data", *want]
+    # one value of nearly all cells: ties go by place, in every band
+    cells_ = [(1.0 if i % 20 else 2.0, float(i % 25), float(i % 7) + i / 1000) for i in range(400)] + [(None, 3.0, 0.0)]
+    got = labels.labelled(spark.createDataFrame(cells_, "s_rare_r3 double, lat_cell double, lon_cell double").repartition(4)).collect()
+    for column, groups in (("label", {0: cells_[:-1]}), ("label_regional", {b: [c for c in cells_[:-1] if c[1] // 10 == b] for b in (0, 1, 2)})):
+        want = {c: ("bad", "moderate", "good")[min(2, k * 3 // len(some))] for some in groups.values() for k, c in enumerate(sorted(some))}
+        assert {(r.s_rare_r3, r.lat_cell, r.lon_cell): r[column] for r in got if r.s_rare_r3} == want and len(got) == 401
+
+
+def test_no_task_sorts_a_whole_group(spark):
+    """Windows over rows or values are parted by class; those over a group alone see its classes' counts."""
+    rows = spark.range(100).selectExpr("cast(id % 3 as string) g", "cast(id as double) v", "cast(id as double) lat_cell", "0D lon_cell", "cast(id as double) s_rare_r3")
+    plans = [f._jdf.queryExecution().optimizedPlan().toString() for f in (order.statistics(rows, ["g"], ["v"], {"m": order.MEDIAN}), order.average_ranks(rows, ["g"], "v"), labels.labelled(rows), summaries.class_summary(rows, ["g"], ["v"]))]
+    for plan in plans:
+        assert not any(x in plan for x in ("median(", "percentile", "collect_list")) and "_c" in plan
+        assert all("_n" in x for x in plan.split("\n") if "Window [" in x and "_c" not in x.split("windowspecdefinition(")[1].split(" ASC")[0])
 
 
 def test_spearman_guards(spark):
@@ -210,7 +254,10 @@ def test_json_pages(spark, tmp_path):
     (deep / "page2.json").write_text('{"recordings": [{"id": "3"')
     (tmp_path / "page3.json").write_text(json.dumps({"n": 0}))
     (tmp_path / "other.json").write_text(json.dumps({"recordings": [{"id": "4"}]}))
-    rows = unnest(json_pages(spark, str(tmp_path)))
+    pages = json_pages(spark, str(tmp_path))
+    rows = unnest(pages)
+    assert [(r.path.rsplit("/", 1)[1], r.reason, r.content) for r in bad_pages(pages).collect()] == [("page2.json", "not JSON", '{"recordings": [{"id": "3"')]
+    assert [r.id for r in unnest(pages, place=True).orderBy("place").collect()] == ["1", "2"]
     assert rows.columns == FIELDS and sorted((r.id, r.also, r.rec) for r in rows.collect()) == [("1", "x y;z", None), ("2", "plain", None)]
 
 
@@ -237,13 +284,70 @@ def shp(rings):
 def test_shapefile(spark, tmp_path):
     rings = [square(0.0, 0.0, 4.0), square(1.0, 1.0, 1.0)]
     (tmp_path / "Cities_2016.shp").write_bytes(shp(rings))
-    spark.dataSource.register(ShapefileSource)
-    direct = spark.read.format("shapefile").option("paths", str(tmp_path / "Cities_2016.shp")).option("kind", "city").load().collect()
+    direct = shp_files.layers(spark, str(tmp_path / "Cities_2016.shp")).collect()
     for rows in (direct, from_bytes(spark, str(tmp_path / "*.shp"), "city").collect()):
         assert [(r.kind, r.year, r.poly_id, r.maxx) for r in rows] == [("city", 2016, 2, 4.0)]
         assert [[tuple(p) for p in ring] for ring in rows[0].rings] == rings
 
 
+def test_layers_open_only_what_filters_ask_for(spark, tmp_path):
+    rings = [square(float(k), 0.0, 2.0) for k in range(6)]
+    shapes, index = shp_files.shape_bytes([[r] for r in rings])
+    for folder, name, content in (("b", "Cities_2016.shp", b"not a shapefile"), ("a", "Cities_2016.shp", shapes), ("a", "Cities_2016.shx", index), ("a", "Towns_2016.shp", b"neither"), ("a", "Towns_2017.shp", shapes)):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / name).write_bytes(content)
+    layers = shp_files.layers(spark, str(tmp_path), bytes="300")
+    one = layers.filter("kind = 'city' and year = 2016")
+    assert one.rdd.getNumPartitions() > 1  # ranges of records, by the index
+    got = one.orderBy("poly_id").collect()
+    assert [(r.kind, r.year, r.poly_id, r.minx) for r in got] == [("city", 2016, k + 1, float(k)) for k in range(6)] and [[tuple(p) for p in r.rings[0]] for r in got] == rings
+    assert layers.filter("year = 2017 and minx > 3").count() == 2 and layers.filter("year in (2017, 2019)").count() == 6
+    with pytest.raises(Exception, match="no file of"):
+        layers.filter("kind = 'town' and year = 2018").count()
+
+
+def test_outlines_in_archives(spark, tmp_path):
+    import zipfile
+
+    shapes, _ = shp_files.shape_bytes([[square(0.0, 0.0, 1.0)], [square(5.0, 0.0, 1.0), square(7.0, 0.0, 1.0)]])
+    table = shp_files.table_bytes(["x", "name", "ADMIN"], [["1", "Peru", "a"], ["2", "A.B", "b"]])
+    with zipfile.ZipFile(tmp_path / "world.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("w/land.SHP", shapes)
+        z.writestr("w/land.dbf", table)
+    (tmp_path / "plain.shp").write_bytes(shapes)
+    (tmp_path / "plain.dbf").write_bytes(table)
+    shapes = shp_files.outlines(spark, str(tmp_path))
+    assert sorted((r.file, r.record, r.attributes["name"]) for r in shapes.collect()) == [("plain.shp", 1, "Peru"), ("plain.shp", 2, "A.B"), ("w/land.SHP", 1, "Peru"), ("w/land.SHP", 2, "A.B")]
+    assert [(r.record, len(r.rings), r.maxx) for r in shp_files.of_country(shapes, "a.b").collect()] == [(2, 2, 8.0)] * 2
+    assert shp_files.of_country(shapes, "AXB").count() == 0  # a dot is no pattern
+
+
+def test_a_result_is_whole_or_not_there(spark, tmp_path):
+    df = spark.range(5).selectExpr("id as lat", "'a, \"b\"' as continent", "cast(null as string) as label", "9 as other").repartition(3)
+    write_result(df, str(tmp_path), "biodiversity_map")
+    back = read_result(spark, str(tmp_path), "biodiversity_map")
+    assert back.columns == ["lat", "lon", "continent", "n_rec", "richness", "label", "label_code"]
+    assert sorted((r.lat, r.continent, r.label or "") for r in back.collect()) == [(str(k), 'a, "b"', "") for k in range(5)]
+    before = found(str(tmp_path), "*")
+    with pytest.raises(Exception):
+        write_result(df.withColumn("lat", F.when(F.col("lat") == 3, F.raise_error(F.lit("broken"))).otherwise(F.col("lat"))), str(tmp_path), "biodiversity_map")
+    assert found(str(tmp_path), "*") == before and read_result(spark, str(tmp_path), "biodiversity_map").count() == 5
+    write_result(df.limit(2), str(tmp_path), "biodiversity_map")
+    assert read_result(spark, str(tmp_path), "biodiversity_map").count() == 2
+    spark.dataSource.register(NamedFiles)
+    for names in (["../x"], ["a", "a"]):
+        with pytest.raises(Exception):
+            spark.createDataFrame([(n, b"1") for n in names], "name string, content binary").write.format("named_files").mode("append").save(str(tmp_path / "n"))
+    assert found(str(tmp_path / "n"), "*") == []
+
+
+def test_malformed_rows_are_kept_apart(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,t,u\n1,"x, ""y""\nz",2\n2,x\n3,x,y,z\n4,,\n')
+    marked = csv_marked(spark, str(tmp_path), ["id", "t", "u"])
+    assert sorted((r.id, r.t, r.u) for r in good_rows(marked).collect()) == [("1", 'x, "y"\nz', "2"), ("4", None, None)]
+    assert sorted((r.reason, r.content.strip()) for r in bad_rows(marked).collect()) == [("too few fields", "2,x"), ("too many fields", "3,x,y,z")]
+
+
 def test_streaming(spark, tmp_path):
     schema = "id string, ts timestamp, lat string, lon string, gen string, sp string, also string"
     rows = [("1", "2024-01-01 10:00:00", "5.01", "5.01", "A", "b", "c d"), ("1", "2024-01-01 10:05:00", "5.01", "5.01", "A", "b", "c d"), ("2", "2024-01-01 11:00:00", "5.02", "5.02", "A", "b", "")]
