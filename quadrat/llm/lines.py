@@ -24,11 +24,16 @@ from pyspark.sql import functions as F
 
 from .common import cut, look_up, unused
 
+#: Lines of a text that share one list of those that go.
+BLOCK = 512
+
 
 def lines(docs: DataFrame, least: int = 1) -> DataFrame:
     """`h` and `check` (hashes), `o` (place in order), `s` (words with single blanks) of the lines that
     have at least `least` words.  `o` is (no doc_id, doc_id, text's hash, line)."""
-    rows = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line", "said"))
+    # hashed before lines are: a text that is still asked for would be carried along with each of its lines
+    whole = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.split("text", "\n").alias("parts"))
+    rows = whole.select("doc_id", "th", F.posexplode("parts").alias("line", "said"))
     odd = F.contains("said", F.lit("  ")) | F.contains("said", F.lit("\t")) | F.contains("said", F.lit("\r"))
     one = F.trim(F.when(odd, F.regexp_replace("said", "[ \t\r]+", " ")).otherwise(F.col("said")))
     rows = rows.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "line").alias("o"), one.alias("s")).filter("s <> ''")
@@ -126,11 +131,16 @@ def dropped(docs: DataFrame, least: int = 1, near: int = 5) -> DataFrame:
 def dedup(docs: DataFrame, least: int = 1, near: int = 5) -> DataFrame:
     """All rows and columns of docs with dropped lines taken out of `text`, and `n_chars`, if there
     is one, counted anew.  A text that loses no line is untouched; one that loses all is empty.
-    Columns of any other name stay as they are."""
+    Columns of any other name stay as they are.  The work for a text is in proportion to its lines."""
     k, lost = unused(docs, 2)
-    gone = dropped(docs, least, near).groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias(lost)).select(F.xxhash64("doc_id", "text_hash").alias(k), lost)
+    gone = dropped(docs, least, near).groupBy("doc_id", "text_hash", F.floor(F.col("line") / BLOCK).alias("b")).agg(F.collect_set("line").alias("l"))
+    gone = gone.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("b", "l")).alias("p"))
+    # a list for each block of lines, so that a line is looked for among those of its block only
+    blocks = F.transform(F.sequence(F.lit(0), F.array_max(F.transform("p", lambda x: x["b"])).cast("int")), lambda b: F.flatten(F.transform(F.filter("p", lambda x: x["b"] == b), lambda x: x["l"])))
+    gone = gone.select(F.xxhash64("doc_id", "text_hash").alias(k), blocks.alias(lost))
     rows = docs.withColumn(k, F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text"))).join(gone, k, "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(lost, i)), "\n")
+    stays = lambda x, i: ~F.coalesce(F.array_contains(F.get(F.col(lost), F.floor(i / BLOCK).cast("int")), i), F.lit(False))
+    left = F.array_join(F.filter(F.split("text", "\n"), stays), "\n")
     out = rows.withColumn("text", F.when(F.col(lost).isNull(), F.col("text")).otherwise(left))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -376,3 +376,14 @@ def test_round_trip(spark):
     back = {r.doc_id: r.text for r in pieces.decode(pieces.encode(docs)).collect()}
     assert back == {i: t or "" for i, t in enumerate(texts)}
     assert pieces.sample(docs.limit(0)).count() == 0
+
+
+def test_a_million_repeated_lines(spark):
+    """A text that loses nearly all of very many lines takes seconds."""
+    import time
+
+    text = "\n".join(["the very same line of words"] * 1_000_000 + ["one more line that stays here"])
+    docs = spark.createDataFrame([(1, "the very same line of words"), (2, text), (3, "a line of its own\n" * 3)], "doc_id long, text string")
+    began = time.time()
+    kept = {r.doc_id: r.text for r in lines.dedup(docs).collect()}
+    assert kept == {1: "the very same line of words", 2: "one more line that stays here", 3: "a line of its own\n"} and time.time() - began < 90
