@@ -194,7 +194,7 @@ SELECT round(minx, 6) AS minx, round(miny, 6) AS miny, round(maxx, 6) AS maxx, r
     "v6_trend": f"WITH {YEAR} SELECT year, continent, round({MEDIAN}, 6) AS median_richness, count(s_rare) AS n_scored FROM cy GROUP BY 1, 2 UNION ALL SELECT year, 'ALL', round({MEDIAN}, 6), count(s_rare) FROM cy GROUP BY 1",
     "v8_effort_metric": f"WITH {YEAR} SELECT year, CAST(sum(n_rec) AS BIGINT) AS n_rec, count(s_rare) AS n_scored, round({MEDIAN}, 6) AS median_richness FROM cy GROUP BY 1",
     "v8_effort_stack": f"""WITH {YEAR}, c AS (SELECT year, continent, CAST(sum(n_rec) AS BIGINT) AS n_rec FROM cy GROUP BY 1, 2)
-SELECT *, CAST(coalesce(sum(n_rec) OVER (PARTITION BY year ORDER BY coalesce(nullif(list_position(['europe', 'america', 'asia', 'africa'], continent), 0), 9), continent ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS base FROM c""",
+SELECT *, CAST(coalesce(sum(n_rec) OVER (PARTITION BY year ORDER BY coalesce(nullif(list_position(['europe', 'america', 'asia', 'africa', 'australia'], continent), 0), 9), continent ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS base FROM c""",
     "v8_metric_extrema": f"""WITH {YEAR}, m AS (SELECT year, round({MEDIAN}, 6) AS m FROM cy GROUP BY 1 HAVING count(s_rare) > 0)
 SELECT min(m) AS low, max(m) AS peak, (SELECT year FROM m ORDER BY m, year LIMIT 1) AS low_at, (SELECT year FROM m ORDER BY m DESC, year LIMIT 1) AS peak_at,
   (SELECT m FROM m ORDER BY year DESC LIMIT 1) AS last, round(max(m) - (SELECT m FROM m ORDER BY year DESC LIMIT 1), 6) AS drop FROM m""",
@@ -233,3 +233,7 @@ ai AS (SELECT site, s, count(*) AS c FROM (SELECT site, unnest(names) AS s FROM
 ap AS (SELECT site, count(*) AS s_obs, sum(CASE WHEN n_rec < 10 THEN NULL WHEN n_rec - c < 10 THEN 1e0 ELSE 1 - exp(lgamma(n_rec - c + 1) - lgamma(n_rec - c - 9) - lgamma(n_rec + 1) + lgamma(n_rec - 9)) END) AS s FROM ai JOIN am USING (site) GROUP BY 1)
 SELECT site, 'all' AS over, NULL AS year, continent, n_rec, coalesce(s_obs, 0) AS s_obs, round(CASE WHEN n_rec >= 10 THEN coalesce(s, 0) END, 6) AS s_rare FROM am LEFT JOIN ap USING (site)
 UNION ALL SELECT site, 'year', year, continent, n_rec, s_obs, round(s_rare, 6) FROM cy"""
+ORACLE["s07_csv_sink"] = f"SELECT id, gen, also, loc FROM ({ORACLE['s04_json_pages']})"
+ORACLE["o06_first_hit"] = f"WITH {POLY} SELECT kind, py AS year, count(*) AS n, min(a) AS minx, max(a + w) AS maxx FROM pl GROUP BY 1, 2"
+ORACLE["u02_union_continents"] = f"SELECT continent, count(*) AS n FROM ({ORACLE['s10_tagged_union']}) GROUP BY 1"
+ORACLE["r03_append_labels"] = f"WITH {CELL} SELECT lat_cell, lon_cell, n_rec, s_obs, lat_band, label, label_regional FROM lab"

@@ -16,7 +16,7 @@ from .proxy import INDICES, points, polygons, recordings, sites, staircases, tab
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CLASSES = ["city", "town", "rural"]
-STACK = ["europe", "america", "asia", "africa"]
+STACK = ["europe", "america", "asia", "africa", "australia"]
 
 
 def query(f):
@@ -81,6 +81,14 @@ def s06_unnest(s, d):
     return sources.unnest(pages).select(F.col("loc").cast("bigint").alias("l_orderkey"), F.col("id").cast("bigint").alias("l_partkey"), F.col("length").cast("double").alias("l_quantity"))
 
 
+@query
+def s07_csv_sink(s, d):
+    """Records with the fixed header, written and read back: what is missing is an empty field."""
+    folder = sources.scratch(s, "flat")
+    sources.write_csv(sources.unnest(sources.json_pages(s, written.pages(s, d))), folder, sources.FIELDS)
+    return sources.csv_rows(s, folder, sources.FIELDS, ["id", "gen", "also", "loc"])
+
+
 @query
 def s08_csv_scan(s, d):
     """Quoted fields with quotes, commas and line ends."""
@@ -310,6 +318,17 @@ def o05_reading_order(s, d):
     return ends.select("a.*", F.col("z.id").alias("last_id"), F.col("z.part").alias("last_part"), "n")
 
 
+@query
+def o06_first_hit(s, d):
+    """Every layer is there twice, the second one moved: the first by path is read."""
+    return shapefile.layers(s, written.layers(s, d)).groupBy("kind", "year").agg(F.count("*").alias("n"), F.min("minx").alias("minx"), F.max("maxx").alias("maxx"))
+
+
+@query
+def u02_union_continents(s, d):
+    return s10_tagged_union(s, d).groupBy("continent").agg(F.count("*").alias("n"))
+
+
 @query
 def u01_union_dedup(s, d):
     kept = ingest.first_wins(_sources(s, d), ["continent", "id"], "src_rank", "seq")
@@ -554,6 +573,11 @@ def r02_pivot_fill(s, d):
     return full.groupBy("year").pivot("urban_class", CLASSES).agg(F.first("n")).na.fill(0)
 
 
+@query
+def r03_append_labels(s, d):
+    return labels.labelled(grid_cells(s, d)).select("lat_cell", "lon_cell", "n_rec", "s_obs", "lat_band", "label", "label_regional")
+
+
 # report products
 @query
 def v1_summary(s, d):
