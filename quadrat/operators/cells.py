@@ -101,8 +101,12 @@ def spearman(cells: DataFrame, against: str, columns: list[str], least: int = 10
     """
     pairs = long_form(cells.select(F.col(against).cast("double").alias("_y"), *columns), ["_y"], columns).select("index_name", F.round(skip_nan(F.col("value").cast("double")), places).alias("x"), F.round(skip_nan(F.col("_y")), places).alias("y")).filter("x is not null and y is not null")
     alike = pairs.groupBy("index_name", "x", "y").agg(F.count("*").alias("w"))
-    off = lambda v: order.placed(alike, ["index_name"], v, "w").select(F.col("_g.index_name").alias("index_name"), v, (F.col("before") + (F.col("n") - F.col("total")) / F.lit(2.0)).alias(f"r{v}"))
-    ranks = alike.join(off("x"), ["index_name", "x"]).join(off("y"), ["index_name", "y"])
+    sides = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.col(side).alias("v")) for side in "xy"])).alias("_s")
+    long = alike.select("*", sides).select("index_name", "x", "y", "w", F.col("_s.side").alias("side"), F.col("_s.v").alias("v"))
+    # one pass ranks both sides
+    off = order.placed(long, ["index_name", "side"], "v", "w").select(F.col("_g.index_name").alias("index_name"), F.col("_g.side").alias("side"), "v", (F.col("before") + (F.col("n") - F.col("total")) / F.lit(2.0)).alias("r"))
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("r"))).alias(f"r{side}")
+    ranks = long.join(off, ["index_name", "side", "v"]).groupBy("index_name", "x", "y").agg(F.max("w").alias("w"), of("x"), of("y"))
     total = lambda a, b: F.sum(F.col("w") * F.col(a) * F.col(b))
     found = ranks.groupBy("index_name").agg(F.sum("w").alias("n"), F.try_divide(total("rx", "ry"), F.sqrt(total("rx", "rx")) * F.sqrt(total("ry", "ry"))).alias("r"))
     names = cells.sparkSession.createDataFrame([(c,) for c in columns], "index_name string")

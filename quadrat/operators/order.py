@@ -42,7 +42,12 @@ def placed(rows: DataFrame, by: list[str], value: str, weight: str | None = None
     """`_g, value, n, before, total`: for each different value of a group (_g is the struct of `by`), how
     many rows have it, are smaller, and are in the group.  Null values are left out."""
     many = F.sum(weight) if weight else F.count("*")
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(_key(by).alias("_g"), value).agg(many.alias("n")).withColumn("_c", coarse(F.col(value)))
+    return _ordered(rows.filter(F.col(value).isNotNull()).groupBy(_key(by).alias("_g"), value).agg(many.alias("n")), value)
+
+
+def _ordered(counts: DataFrame, value: str) -> DataFrame:
+    """`_g, value, n` of different values, with before and total."""
+    counts = counts.withColumn("_c", coarse(F.col(value)))
     classes = counts.groupBy("_g", "_c").agg(F.sum("n").alias("_n"))
     classes = classes.select("_g", "_c", _before("_n", "_g", order=["_c"]).alias("_before"), F.sum("_n").over(Window.partitionBy("_g")).alias("total"))
     return counts.join(classes, ["_g", "_c"]).select("_g", value, "n", (F.col("_before") + _before("n", "_g", "_c", order=[value])).alias("before"), "total")
@@ -65,13 +70,30 @@ def quantile(p: float) -> Pick:
     return lambda n: [F.least(F.floor(n * F.lit(p)), n - 1)]
 
 
-def statistics(rows: DataFrame, by: list[str], columns: list[str], picks: dict[str, Pick]) -> DataFrame:
-    """`by` and `column__pick` of each column and pick, for groups with a value in some column."""
-    long = rows.select(*by, F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).cast("double").alias("v")) for k, c in enumerate(columns)])).alias("_x")).select(*by, F.col("_x.k").alias("_k"), F.col("_x.v").alias("_v"))
+#: What a column's counted values also give; each is null (`n` is 0) without any.
+TOTALS: dict[str, Callable[[Column, Column], Column]] = {
+    "n": lambda v, n: F.coalesce(F.sum(F.when(v.isNotNull(), n)), F.lit(0)).cast("bigint"),
+    "mean": lambda v, n: F.try_divide(F.sum(v * n), F.sum(F.when(v.isNotNull(), n))),
+    "lo": lambda v, n: F.min(v),
+    "hi": lambda v, n: F.max(v),
+}
+
+
+def statistics(rows: DataFrame, by: list[str], columns: list[str], picks: dict[str, Pick], totals: tuple[str, ...] = (), size: str | None = None) -> DataFrame:
+    """`by` and `column__pick` of each column and pick, and `column__total` of each of the named TOTALS.
+
+    Values are counted once, and all of it comes from the counts.  Groups without a value in any column
+    are left out, unless `size` names a column for the number of a group's rows, with or without values."""
+    held = [F.struct(F.lit(k).alias("k"), F.col(c).cast("double").alias("v")) for k, c in enumerate(columns)]
+    mark = [F.struct(F.lit(-1).alias("k"), F.lit(0.0).alias("v"))] if size else []
+    long = rows.select(*by, F.explode(F.array(*held, *mark)).alias("_x")).select(*by, F.col("_x.k").alias("_k"), F.col("_x.v").alias("_v"))
     at = placed(long, [*by, "_k"], "_v")
     here = lambda i: (F.col("before") <= i) & (i < F.col("before") + F.col("n"))
     one = lambda k, pick: sum(F.max(F.when((F.col("_g._k") == k) & here(i), F.col("_v"))) for i in pick(F.col("total"))) / len(pick(F.col("total")))
-    found = [one(k, pick).alias(f"{c}__{name}") for k, c in enumerate(columns) for name, pick in picks.items()]
+    found = [F.coalesce(F.sum(F.when(F.col("_g._k") == -1, F.col("n"))), F.lit(0)).cast("bigint").alias(size)] if size else []
+    for k, c in enumerate(columns):
+        found += [one(k, pick).alias(f"{c}__{name}") for name, pick in picks.items()]
+        found += [TOTALS[t](F.when(F.col("_g._k") == k, F.col("_v")), F.col("n")).alias(f"{c}__{t}") for t in totals]
     return at.groupBy(*[F.col(f"_g.{c}").alias(c) for c in by]).agg(*found)
 
 

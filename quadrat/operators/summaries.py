@@ -13,8 +13,7 @@ def class_summary(rows: DataFrame, by: list[str], columns: list[str]) -> DataFra
     """Rows, and mean and interpolated median of each column, per group.  Missing, NaN and infinite
     values are skipped column by column; the count is of all rows."""
     clean = rows.select(*by, *[finite(F.col(c).cast("double")).alias(c) for c in columns])
-    main = clean.groupBy(*by).agg(F.count("*").alias("n_recordings"), *[F.avg(c).alias(f"{c}__mean") for c in columns])
-    out = order.with_statistics(main, order.statistics(clean, by, columns, {"median": order.MEDIAN}), by)
+    out = order.statistics(clean, by, columns, {"median": order.MEDIAN}, ("mean",), size="n_recordings")
     return out.select(*by, "n_recordings", *[f"{c}__{n}" for c in columns for n in ("mean", "median")])
 
 
@@ -28,17 +27,14 @@ def class_pivot(rows: DataFrame, by: str, column: str, values: list[str]) -> Dat
 
 
 def group_medians(cells: DataFrame, by: str = "continent", value: str = "s_rare_r3") -> DataFrame:
-    scored = cells.filter(F.col(value).isNotNull())
-    found = order.statistics(scored, [by], [value], {"m": order.UPPER_MEDIAN}).withColumnRenamed(f"{value}__m", "median_richness")
-    return order.with_statistics(scored.groupBy(by).agg(F.count("*").alias("n")), found, [by]).select(by, "median_richness", "n").orderBy(F.desc("median_richness"), by)
+    found = order.statistics(cells, [by], [value], {"m": order.UPPER_MEDIAN}, ("n",))
+    return found.select(by, F.col(f"{value}__m").alias("median_richness"), F.col(f"{value}__n").alias("n")).orderBy(F.desc("median_richness"), by)
 
 
 def order_quantiles(cells: DataFrame, value: str, places: tuple[float, ...] = (0.25, 0.5, 0.75, 0.9)) -> DataFrame:
     """Least and largest value and those at the given places of the sorted values."""
-    found = order.statistics(cells, [], [value], {f"{round(100 * p)}": order.quantile(p) for p in places})
-    found = found.select(*[F.col(f"{value}__{round(100 * p)}").alias(f"q{round(100 * p)}") for p in places])
-    out = order.with_statistics(cells.agg(F.min(value).alias("lo"), F.max(value).alias("hi")), found, [])
-    return out.select("lo", *found.columns, "hi")
+    found = order.statistics(cells, [], [value], {f"{round(100 * p)}": order.quantile(p) for p in places}, ("lo", "hi"))
+    return found.select(F.col(f"{value}__lo").alias("lo"), *[F.col(f"{value}__{round(100 * p)}").alias(f"q{round(100 * p)}") for p in places], F.col(f"{value}__hi").alias("hi"))
 
 
 def histogram(rows: DataFrame, value: str, bins: int) -> DataFrame:

@@ -40,6 +40,9 @@ def trend(cells: DataFrame) -> DataFrame:
 
 def medians(cells: DataFrame, by: list[str], *more: Column) -> DataFrame:
     """Per group: further aggregates, the upper median of s_rare (null if none is scored), and n_scored."""
+    if not more:
+        found = order.statistics(cells, by, ["s_rare"], {"m": order.UPPER_MEDIAN}, ("n",), size="_rows")
+        return found.select(*by, F.col("s_rare__m").alias("median_richness"), F.col("s_rare__n").alias("n_scored"))
     main = cells.groupBy(*by).agg(*more, F.count("s_rare").alias("n_scored"))
     found = order.statistics(cells, by, ["s_rare"], {"m": order.UPPER_MEDIAN}).withColumnRenamed("s_rare__m", "median_richness")
     out = order.with_statistics(main, found, by)
