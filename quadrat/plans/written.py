@@ -33,13 +33,14 @@ def pages(spark: SparkSession, sf_dir: str) -> str:
     return folder
 
 
-def scores(spark: SparkSession, sf_dir: str) -> str:
-    """Lines as CSV rows of SCORE in four files and in an order of their own; ids repeat.  A note has
-    quotes, commas and line ends."""
+def scores(spark: SparkSession, sf_dir: str, most: int = 500_000) -> str:
+    """Lines as CSV rows of SCORE in an order of their own that goes on from file to file; ids repeat.  A
+    note has quotes, commas and line ends, and one task reads all of such a file: none has over `most` rows."""
     folder = scratch(spark, "scores")
     line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.expr("concat('say \"', l_returnflag, '\", ', chr(10), l_linestatus)").alias("note"), ((F.col("l_partkey") * 31 + F.col("l_suppkey")) % 4).alias("b"), ((F.col("l_partkey") * 7919 + F.col("l_suppkey") * 104729) % 100003).alias("o"))
-    dealt = line.repartitionByRange(4, "b").sortWithinPartitions("b", "o", "part", "supp", "id")
-    dealt.select(*SCORE).write.option("header", True).option("quote", '"').option("escape", '"').csv(folder)
+    order = ["b", "o", "part", "supp", "id"]
+    dealt = line.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt.select(*SCORE).write.option("maxRecordsPerFile", most).option("header", True).option("quote", '"').option("escape", '"').csv(folder)
     return folder
 
 

@@ -234,6 +234,20 @@ def test_clipped_tiles_are_the_whole_polygon(spark):
     assert sizes[8000][1] < 8000 * 4
 
 
+def test_score_files_are_bounded(spark, tmp_path):
+    """A file with line ends in its fields is read by one task, so its rows don't grow with the table."""
+    from quadrat.plans import written
+
+    rows = [(i % 300, i * 37 % 211, i * 11 % 17, "R", "F", 0.1, 1.0) for i in range(1000)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string, l_discount double, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    marked = csv_marked(spark, written.scores(spark, str(tmp_path), most=60), written.SCORE)
+    files = [r["count"] for r in marked.groupBy("place.path").count().collect()]
+    assert sum(files) == 1000 and max(files) <= 60
+    key = lambda i, p, s: ((p * 31 + s) % 4, (p * 7919 + s * 104729) % 100003, p, s, i)
+    got = [(int(r.id), int(r.part), int(r.supp)) for r in marked.orderBy("place").collect()]
+    assert got == sorted((r[:3] for r in rows), key=lambda r: key(*r))
+
+
 def test_summaries(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", None), ("a", 2.0), ("a", float("inf")), ("b", float("nan"))], "k string, v double")
     got = {r.k: r for r in summaries.class_summary(df, ["k"], ["v"]).collect()}
