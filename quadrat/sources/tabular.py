@@ -31,12 +31,21 @@ def reading_order() -> Column:
     return F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
 
 
+#: A page is read as one line: no text has this, in UTF-8, UTF-16 or UTF-32.  With `multiLine` Spark opens
+#: the file anew for each value that isn't a string (such as a list in `also`) to take its text as it is.
+WHOLE = "\0\0\0\0"
+
+
 def json_pages(spark: SparkSession, folder: str, name: str = "page*.json") -> DataFrame:
     """Pages under folder, at any depth: `recordings` (array of records), `corrupt` (the text of a page that
     can't be parsed, else null), `path` and `place` (reading order)."""
     schema = T.StructType([T.StructField("recordings", T.ArrayType(metadata_schema())), T.StructField("_corrupt_record", T.StringType())])
-    pages = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("recursiveFileLookup", True).option("pathGlobFilter", name).json(folder)
-    return pages.select("recordings", F.col("_corrupt_record").alias("corrupt"), F.col("_metadata.file_path").alias("path"), reading_order().alias("place"))
+    read = lambda: spark.read.option("lineSep", WHOLE).option("recursiveFileLookup", True).option("pathGlobFilter", name)
+    pages = read().schema(schema).option("mode", "PERMISSIVE").json(folder)
+    pages = pages.select("recordings", F.col("_corrupt_record").alias("corrupt"), F.col("_metadata.file_path").alias("path"), reading_order().alias("place"))
+    # JSON is UTF-8: of a page in UTF-16 or UTF-32, which has zeros at once, not every value can be taken as it is
+    zeros = read().text(folder).filter(F.left("value", F.lit(4)).contains("\0")).select(F.col("_metadata.file_path").alias("path"), F.lit("").alias("_zeros")).distinct()
+    return pages.join(F.broadcast(zeros), "path", "left").select("recordings", F.coalesce("corrupt", "_zeros").alias("corrupt"), "path", "place")
 
 
 def unnest(pages: DataFrame, place: bool = False) -> DataFrame:

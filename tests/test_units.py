@@ -1,5 +1,6 @@
 """Hand-computed fixtures, and properties against plain Python."""
 
+import gzip
 import json
 import math
 import struct
@@ -248,6 +249,18 @@ def test_score_files_are_bounded(spark, tmp_path):
     assert got == sorted((r[:3] for r in rows), key=lambda r: key(*r))
 
 
+def test_page_values_as_they_stand(spark, tmp_path):
+    """A page is taken in one piece, compressed or not, and one that isn't UTF-8 is a bad page."""
+    text = json.dumps({"recordings": [{"id": 7, "lat": 0, "also": ["a", "b"], "q": {"k": [1]}}]}).replace('"lat": 0', '"lat": 12.50')
+    (tmp_path / "page1.json").write_text(text)
+    (tmp_path / "page2.json.gz").write_bytes(gzip.compress(text.encode()))
+    for i, code in enumerate(("utf-16", "utf-16-le", "utf-16-be", "utf-32-be")):
+        (tmp_path / f"page{3 + i}.json").write_bytes(text.encode(code))
+    pages = json_pages(spark, str(tmp_path), "page*")
+    assert [(r.id, r.lat, r.also, r.q) for r in unnest(pages).collect()] == [("7", "12.50", "a;b", '{"k": [1]}')] * 2
+    assert sorted(r.path[-10:] for r in bad_pages(pages).collect()) == [f"page{k}.json" for k in (3, 4, 5, 6)]
+
+
 def test_summaries(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", None), ("a", 2.0), ("a", float("inf")), ("b", float("nan"))], "k string, v double")
     got = {r.k: r for r in summaries.class_summary(df, ["k"], ["v"]).collect()}
