@@ -115,27 +115,41 @@ def inside(x: str, y: str, corner_x: str, corner_y: str) -> Column:
     return F.expr(f"{on} OR (size(filter(edges, e -> {along_x} <> {along_y})) % 2 = 1) <> odd")
 
 
-def points_in(points: DataFrame, polygons: DataFrame, tile: float = 1.0, by_year: bool = True, most: int = 64) -> DataFrame:
-    """`pid, kind` of points (pid, x, y, year) that lie in or on a polygon of a kind, each once.
+def needed(tiles: DataFrame, keys: list[str]) -> DataFrame:
+    """Tiles without those that lie where a polygon of the same keys covers the whole tile: its points are
+    in that one, so the others can't add to what is found.  Of several that cover it one stays."""
+    here = Window.partitionBy(*keys, "_l", "_tx", "_ty").orderBy(F.size("edges"))
+    ranked = tiles.withColumns({"_least": F.first(F.size("edges")).over(here), "_rank": F.row_number().over(here)})
+    return ranked.filter("_least > 0 or _rank = 1").drop("_least", "_rank")
+
+
+def met(points: DataFrame, polygons: DataFrame, tile: float, by_year: bool, most: int = 64) -> DataFrame:
+    """`pid, kind` of points in or on a polygon of a kind, some of them several times.
 
     A point is met only at the levels that some polygon lies on (one row of a few levels is sent to all
     tasks).  Adaptive execution splits crowded tiles.
     """
     keys = ["kind", "year"] if by_year else ["kind"]
     tiles = clipped(polygons, tile, most, keys)
+    tiles = needed(tiles, keys).hint("merge")  # tiles hold edges: never all of them in the driver or in one task
     used = framed(polygons, tile, most, keys)[1].select(F.explode(F.sequence("_leaf", "_root")).alias("_l")).agg(F.collect_set("_l").alias("_used"))
     placed = points.select("pid", "x", "y", "year").filter(finite(F.col("x")).isNotNull() & finite(F.col("y")).isNotNull())
     held = placed.crossJoin(F.broadcast(used)).withColumn("_l", F.explode("_used")).drop("_used")
     side = F.lit(tile) * F.pow(F.lit(4.0), F.col("_l"))
     held = held.withColumn("_s", side).withColumns({"_tx": F.floor(F.col("x") / F.col("_s")), "_ty": F.floor(F.col("y") / F.col("_s"))})
-    met = held.join(tiles, ["_l", "_tx", "_ty", *(["year"] if by_year else [])])
-    return met.filter((F.size("edges") == 0) | inside("x", "y", "(_tx * _s)", "(_ty * _s)")).select("pid", "kind").distinct()
+    pairs = held.join(tiles, ["_l", "_tx", "_ty", *(["year"] if by_year else [])])
+    return pairs.filter((F.size("edges") == 0) | inside("x", "y", "(_tx * _s)", "(_ty * _s)")).select("pid", "kind")
+
+
+def points_in(points: DataFrame, polygons: DataFrame, tile: float = 1.0, by_year: bool = True, most: int = 64) -> DataFrame:
+    """`pid, kind` of points (pid, x, y, year) that lie in or on a polygon of a kind, each once."""
+    return met(points, polygons, tile, by_year, most).distinct()
 
 
 def overlay(points: DataFrame, polygons: DataFrame, tile: float = 1.0, by_year: bool = True) -> DataFrame:
     """points with urban_class: the first kind of PRIORITY that holds the point, else ELSE."""
     place = F.min(F.when(F.col("kind") == PRIORITY[0], 0).otherwise(1))
-    found = points_in(points, polygons, tile, by_year).groupBy("pid").agg(place.alias("_p"))
+    found = met(points, polygons, tile, by_year).groupBy("pid").agg(place.alias("_p"))
     tag = F.when(F.col("_p") == 0, PRIORITY[0]).when(F.col("_p") == 1, PRIORITY[1]).otherwise(ELSE)
     return points.join(found, "pid", "left").withColumn("urban_class", tag).drop("_p")
 

@@ -235,6 +235,18 @@ def test_clipped_tiles_are_the_whole_polygon(spark):
     assert sizes[8000][1] < 8000 * 4
 
 
+def test_covered_tiles_and_no_broadcast(spark):
+    """Where one polygon of a kind covers a tile the others of that kind aren't tested, and tiles, which hold
+    edges, are never sent to the driver."""
+    rows = [("town", 2015, i, [square(-10.0 - i / 64, -10.0, 21.0)], 0.0, 0.0, 0.0, 0.0) for i in range(50)] + [("city", 2015, 99, [square(0.0, 0.0, 0.5)], 0.0, 0.0, 0.5, 0.5)]
+    points = spark.createDataFrame([(1, 0.2, 0.2, 2015), (2, 0.7, 0.7, 2015), (3, 99.0, 0.0, 2015)], "pid long, x double, y double, year int")
+    polygons = polygon_frame(spark, rows)
+    assert spatial.met(points, polygons, 2.0, True).count() < 8  # 101 of all pairs
+    found = spatial.points_in(points, polygons, 2.0)
+    assert {tuple(r) for r in found.collect()} == {(1, "town"), (2, "town"), (1, "city")}
+    assert "strategy=merge" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_score_files_are_bounded(spark, tmp_path):
     """A file with line ends in its fields is read by one task, so its rows don't grow with the table."""
     from quadrat.plans import written
