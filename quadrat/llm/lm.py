@@ -167,17 +167,18 @@ class Trainer:
     def step(self, around: np.ndarray, own: np.ndarray) -> None:
         net, n = self.net, len(own)
         h = net.hidden(around)
-        z = h @ net.outer + net.bias
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(n), own] -= 1
-        p /= n
+        p = h @ net.outer
+        p += net.bias
+        p -= p.max(axis=1, keepdims=True)
+        np.exp(p, out=p)
+        p *= 1 / (n * p.sum(axis=1, keepdims=True))
+        p[np.arange(n), own] -= np.float32(1 / n)
         back = (p @ net.outer.T) * (1 - h * h)
-        inner = np.empty_like(net.inner)
-        for k in range(len(PLACES)):
-            spread = np.zeros((CLASSES + 1, n), np.float32)
-            spread[around[:, k], np.arange(n)] = 1
-            inner[k] = spread @ back
+        inner = np.zeros_like(net.inner)
+        for k in range(len(PLACES)):  # sums of back by class
+            by = np.argsort(around[:, k], kind="stable")
+            some, first = np.unique(around[by, k], return_index=True)
+            inner[k][some] = np.add.reduceat(back[by], first)
         self.t += 1
         for part, g, m, v in zip((net.inner, net.outer, net.bias), (inner, h.T @ p, p.sum(axis=0)), self.m, self.v):
             m += 0.1 * (g - m)
@@ -185,17 +186,21 @@ class Trainer:
             part -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)
 
 
-def train(classed: DataFrame, net: Network, rounds: int = 2, every: int = 16, batch: int = 2048, few: int = 32) -> Network:
+def share(n: int, turn: int, every: int) -> np.ndarray:
+    """Which of a chunk's n words a round takes: one in `every`, in no order; `every` rounds take each once."""
+    return np.random.default_rng(n).permutation(n)[turn % every :: every]
+
+
+def train(classed: DataFrame, net: Network, rounds: int = 2, every: int = 2, batch: int = 2048, few: int = 32) -> Network:
     """The network after `rounds` of averaging.  A round's gradients take one word in `every` of each
-    chunk, others in each round; the windows around them and all counts are of all words."""
+    chunk, others in each round, so with as many rounds every word of the corpus takes part once."""
 
     def run(batches, turn, start):
         trainer, seen = Trainer(Network.of(start)), 0
         for at in batches:
             for row in at.to_pylist():
                 own, sizes = np.frombuffer(row["classes"], np.uint8), np.array(row["sizes"], np.int64)
-                around, rng = window(own, sizes), np.random.default_rng([turn, len(own)])
-                mine = rng.permutation(len(own))[: -(-len(own) // every)]
+                around, mine = window(own, sizes), share(len(own), turn, every)
                 for k in range(0, len(mine), batch):
                     some = mine[k : k + batch]
                     trainer.step(around[some], own[some])

@@ -1,6 +1,7 @@
 """Chat, PII, line dedup, toxicity, language model and pieces, each against a plain version."""
 
 import hashlib
+import inspect
 import math
 import re
 import zlib
@@ -291,6 +292,13 @@ def test_lm_learns_from_both_sides(spark):
     assert logp.mean() > math.log(1 / 20) + 2
 
 
+def test_lm_trains_on_every_word():
+    how = inspect.signature(lm.train).parameters
+    rounds, every = how["rounds"].default, how["every"].default
+    for n in (0, 1, 7, 1000):
+        assert {*np.concatenate([lm.share(n, turn, every) for turn in range(rounds)])} == {*range(n)}
+
+
 def test_lm_sets_apart_documents_that_occur_twice(spark):
     rng = np.random.default_rng(2)
     new = lambda: " ".join("".join(rng.choice(list("abcdefgh"), 7)) for _ in range(60))
