@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions import lenient_double, rarefied, skip_nan, snap, species_set, year_text
 from . import order
@@ -32,15 +33,24 @@ def incidence(grid: DataFrame, by: list[str]) -> DataFrame:
     return grid.select(*by, F.explode("species").alias("species_name")).groupBy(*by, "species_name").agg(F.count("*").alias("n_inc"))
 
 
-def state(grid: DataFrame, by: list[str], means: tuple[str, ...] = (), last: str | None = "continent") -> DataFrame:
+def _number(rows: DataFrame, column: str) -> Column:
+    """A column's numbers; only what isn't one already goes by its text."""
+    return F.col(column).cast("double") if isinstance(rows.schema[column].dataType, NumericType) else lenient_double(F.col(column).cast("string"))
+
+
+def state(grid: DataFrame, by: list[str], means: tuple[str, ...] = (), last: str | None = "continent", home: list[str] | None = None) -> DataFrame:
     """`by, species_name, n` and more: in how many records of a group each species is, and, with a null
-    species, how many records there are, their `last` and their means.
+    species, how many records there are, their `last` and their means.  A group's rows are in one partition,
+    and those of equal `home`, some of `by`.
 
-    One pass over the records makes both."""
-    marked = grid.select(*by, *([last] if last else []), *means, F.explode(F.concat(F.array(F.lit(None).cast("string")), "species")).alias("species_name"))
+    One pass over the records makes both.  A maximum of texts would have Spark sort the records, so they
+    are first counted by hash for each text that `last` has."""
+    marked = grid.select(*by, F.col(last).alias("_last") if last else F.lit(None).cast("string").alias("_last"), *[_number(grid, c).alias(c) for c in means], F.explode(F.concat(F.array(F.lit(None).cast("string")), "species")).alias("species_name"))
     whole = F.col("species_name").isNull()
-    aggs = [F.max(F.when(whole, F.col(last))).alias(last)] if last else []
-    return marked.groupBy(*by, "species_name").agg(F.count("*").alias("n"), *aggs, *[F.avg(F.when(whole, skip_nan(lenient_double(F.col(c).cast("string"))))).alias(f"mean_{c}") for c in means])
+    sums = [f(F.when(whole, skip_nan(F.col(c)))).alias(f"_{name}_{c}") for c in means for name, f in (("sum", F.sum), ("n", F.count))]
+    each = marked.groupBy(*by, "species_name", F.when(whole, F.col("_last")).alias("_last")).agg(F.count("*").alias("_n"), *sums)
+    held = each.repartition(*(home or by)).groupBy(*by, "species_name")
+    return held.agg(F.sum("_n").alias("n"), *([F.max("_last").alias(last)] if last else []), *[F.try_divide(F.sum(f"_sum_{c}"), F.sum(f"_n_{c}")).alias(f"mean_{c}") for c in means])
 
 
 def _scored(counts: DataFrame, by: list[str], m: int, more: list[str]) -> DataFrame:
@@ -58,7 +68,7 @@ def richness(grid: DataFrame, by: list[str], m: int = 10, means: tuple[str, ...]
     """Per group: `continent` (the last in order), n_rec, s_obs, s_rare, s_rare_r3 and mean_* of the
     named columns."""
     more = [*([last] if last else []), *[f"mean_{c}" for c in means]]
-    out = _scored(state(grid, by, means, last).repartition(*by), by, m, more)
+    out = _scored(state(grid, by, means, last), by, m, more)
     return out.select(*by, *([last] if last else []), "n_rec", *more[bool(last):], "s_obs", "s_rare", "s_rare_r3")
 
 
@@ -69,7 +79,7 @@ def rolled_up(grid: DataFrame, by: list[str], m: int = 10, last: str = "continen
     Incidence is counted once by group, year and species; groups are rolled up where their states are.
     Records without a year count over all years only."""
     dated = grid.withColumn("year", year_text(F.col("date")))
-    held = state(dated, [*by, "year"], (), last).repartition(*by)
+    held = state(dated, [*by, "year"], (), last, home=by)
     levels = F.array(F.struct(F.lit("all").alias("over"), F.lit(None).cast("string").alias("year")), F.struct(F.lit("year").alias("over"), F.col("year").alias("year")))
     both = held.select(*by, F.explode(levels).alias("_l"), "species_name", "n", last).filter("_l.over = 'all' or _l.year is not null")
     counts = both.groupBy(*by, F.col("_l.over").alias("over"), F.col("_l.year").alias("year"), "species_name").agg(F.sum("n").alias("n"), F.max(last).alias(last))

@@ -40,6 +40,14 @@ def grid_cells(s, d, means=()):
     return cells.grid_cells(recordings(s, d), means=means)
 
 
+def kept_cells(s, d, means=()):
+    """Grid cells, made once and read from the shared folder: for what goes over them more than once, which
+    would make them from the tables each time."""
+    made = grid_cells(s, d, means)
+    made.write.parquet(folder := sources.scratch(s, "cells"))
+    return s.read.schema(made.schema).parquet(folder)
+
+
 def yearly(s, d):
     return temporal.yearly(sites(s, d), ["site"])
 
@@ -141,7 +149,7 @@ def s14_zipped_outline(s, d):
 def s15_result_sink(s, d):
     """A result table, written and read back."""
     folder = sources.scratch(s, "results")
-    sources.write_result(labels.label_map(labels.labelled(grid_cells(s, d))), folder, "biodiversity_map")
+    sources.write_result(labels.label_map(labels.labelled(kept_cells(s, d))), folder, "biodiversity_map")
     back = sources.read_result(s, folder, "biodiversity_map")
     return back.select(*[r6(F.col(c).cast("double")).alias(c) for c in ("lat", "lon", "richness")], "continent", F.col("n_rec").cast("bigint").alias("n_rec"), "label", F.col("label_code").cast("int").alias("label_code"))
 
@@ -238,7 +246,7 @@ def p16_country_name(s, d):
 
 @query
 def p17_label_code(s, d):
-    return labels.labelled(grid_cells(s, d)).select("lat_cell", "lon_cell", "label", fn.label_code(F.col("label")).alias("label_code"))
+    return labels.labelled(kept_cells(s, d)).select("lat_cell", "lon_cell", "label", fn.label_code(F.col("label")).alias("label_code"))
 
 
 @query
@@ -337,9 +345,8 @@ def u01_union_dedup(s, d):
 
 @query
 def j04_match_counters(s, d):
-    every = _sources(s, d)
-    merged = ingest.left_join(ingest.first_wins(every, ["continent", "id"], "src_rank", "seq").drop("seq"), ingest.last_wins(_meta(s, d), "id", "seq").select("id", "seq"))
-    return ingest.match_counters(every, merged)
+    kept = ingest.first_wins(_sources(s, d), ["continent", "id"], "src_rank", "seq", **ingest.read_counts()).drop("seq")
+    return ingest.merge_counters(ingest.left_join(kept, ingest.last_wins(_meta(s, d), "id", "seq").select("id", "seq")))
 
 
 @query
@@ -442,12 +449,12 @@ def a11_trend_grouping_sets(s, d):
 
 @query
 def a12_group_medians(s, d):
-    return rounded(summaries.group_medians(grid_cells(s, d)), "median_richness")
+    return rounded(summaries.group_medians(kept_cells(s, d)), "median_richness")
 
 
 @query
 def a13_order_quantiles(s, d):
-    out = summaries.order_quantiles(grid_cells(s, d), "s_rare_r3")
+    out = summaries.order_quantiles(kept_cells(s, d), "s_rare_r3")
     return rounded(out, *out.columns)
 
 
@@ -470,7 +477,7 @@ def a16_pivot_pct(s, d):
 
 @query
 def a17_label_counts(s, d):
-    return labels.label_counts(labels.labelled(grid_cells(s, d)))
+    return labels.label_counts(labels.labelled(kept_cells(s, d)))
 
 
 @query
@@ -490,7 +497,7 @@ def a20_series_extrema(s, d):
 
 @query
 def a21_histogram(s, d):
-    return summaries.histogram(grid_cells(s, d).filter("s_rare_r3 is not null"), "s_rare_r3", 40)
+    return summaries.histogram(kept_cells(s, d).filter("s_rare_r3 is not null"), "s_rare_r3", 40)
 
 
 @query
@@ -521,20 +528,23 @@ def w01_avg_rank(s, d):
     return order.average_ranks(rows, ["p_brand"], "p_size").select("p_partkey", "rank")
 
 
+def _correlations(cell):
+    return rounded(cells.spearman(cell.filter("s_rare is not null"), "s_rare_r3", [f"mean_{c}" for c in INDICES]), "rho")
+
+
 @query
 def w02_spearman(s, d):
-    out = cells.spearman(grid_cells(s, d, INDICES).filter("s_rare is not null"), "s_rare_r3", [f"mean_{c}" for c in INDICES])
-    return rounded(out, "rho")
+    return _correlations(kept_cells(s, d, INDICES))
 
 
 @query
 def w03_global_tertile(s, d):
-    return labels.labelled(grid_cells(s, d)).select("lat_cell", "lon_cell", "label")
+    return labels.labelled(kept_cells(s, d)).select("lat_cell", "lon_cell", "label")
 
 
 @query
 def w04_band_tertile(s, d):
-    return labels.labelled(grid_cells(s, d)).select("lat_cell", "lon_cell", "lat_band", "label_regional")
+    return labels.labelled(kept_cells(s, d)).select("lat_cell", "lon_cell", "lat_band", "label_regional")
 
 
 @query
@@ -551,9 +561,13 @@ def o01_sort_abs(s, d):
     return found.select("index_name", "rho", place.alias("place"))
 
 
+def _best(found):
+    return found.agg(F.max(F.abs("rho")).alias("best_rho"))
+
+
 @query
 def o02_best_rho(s, d):
-    return w02_spearman(s, d).agg(F.max(F.abs("rho")).alias("best_rho"))
+    return _best(w02_spearman(s, d))
 
 
 @query
@@ -575,26 +589,30 @@ def r02_pivot_fill(s, d):
 
 @query
 def r03_append_labels(s, d):
-    return labels.labelled(grid_cells(s, d)).select("lat_cell", "lon_cell", "n_rec", "s_obs", "lat_band", "label", "label_regional")
+    return labels.labelled(kept_cells(s, d)).select("lat_cell", "lon_cell", "n_rec", "s_obs", "lat_band", "label", "label_regional")
 
 
 # report products
+def _summary(cell):
+    return labels.labelled(cell).agg(F.count("*").alias("n_cells"), F.count("s_rare").alias("n_scored"), r6(F.try_divide(F.count("s_rare") * 100.0, F.count("*"))).alias("pct_scored"), *[F.count_if(F.col("label") == x).alias(f"n_{x}") for x in ("bad", "moderate", "good")])
+
+
 @query
 def v1_summary(s, d):
-    cell = labels.labelled(grid_cells(s, d))
-    return cell.agg(F.count("*").alias("n_cells"), F.count("s_rare").alias("n_scored"), r6(F.try_divide(F.count("s_rare") * 100.0, F.count("*"))).alias("pct_scored"), *[F.count_if(F.col("label") == x).alias(f"n_{x}") for x in ("bad", "moderate", "good")])
+    return _summary(kept_cells(s, d))
 
 
 @query
 def v1_report(s, d):
-    """The summary with the best correlation and the merge's totals."""
+    """The summary with the best correlation, of the same cells, and the merge's totals."""
+    cell = kept_cells(s, d, INDICES)
     totals = j04_match_counters(s, d).agg(F.sum("n_read").alias("n_read"), F.sum("n_total").alias("n_merged"), r6(F.try_divide(F.sum("n_matched") * 100.0, F.sum("n_total"))).alias("pct_matched"))
-    return v1_summary(s, d).crossJoin(F.broadcast(o02_best_rho(s, d))).crossJoin(F.broadcast(totals))  # one row each
+    return _summary(cell).crossJoin(F.broadcast(_best(_correlations(cell)))).crossJoin(F.broadcast(totals))  # one row each
 
 
 @query
 def v2_label_map(s, d):
-    return rounded(labels.label_map(labels.labelled(grid_cells(s, d))), "lat", "lon", "richness")
+    return rounded(labels.label_map(labels.labelled(kept_cells(s, d))), "lat", "lon", "richness")
 
 
 @query
@@ -609,7 +627,7 @@ def v3_signed_rho(s, d):
 @query
 def v4_richness(s, d):
     """Histogram of richness in 40 bins, with the quantiles of all cells beside each."""
-    scored = grid_cells(s, d).filter("s_rare_r3 is not null")
+    scored = kept_cells(s, d).filter("s_rare_r3 is not null")
     quantiles = rounded(summaries.order_quantiles(scored, "s_rare_r3"), "lo", "q25", "q50", "q75", "q90", "hi")
     return summaries.histogram(scored, "s_rare_r3", 40).crossJoin(F.broadcast(quantiles))  # one row
 
@@ -691,5 +709,5 @@ def v9_country_split(s, d):
 
 @query
 def flagship_grid_labels(s, d):
-    out = labels.labelled(grid_cells(s, d))
+    out = labels.labelled(kept_cells(s, d))
     return out.select("lat_cell", "lon_cell", "continent", "n_rec", "s_obs", r6("s_rare_r3").alias("s_rare10"), "label", "lat_band", "label_regional")

@@ -186,6 +186,28 @@ def test_joins(spark):
     assert all(r.n_total == r.n_matched + r.n_unmatched for r in total) and sum(r.n_dupes for r in total) == 1
 
 
+def test_report_makes_its_cells_once(spark, monkeypatch):
+    """Cells are made from the tables once, and the merge's sources are read once each."""
+    from quadrat.plans import queries
+
+    held, made = [], cells.grid_cells
+    monkeypatch.setattr(cells, "grid_cells", lambda *a, **k: held.append(made(*a, **k)) or held[-1])
+    out = queries.v1_report(spark, "/root/testdata/sf0.001")
+    leaves = lambda df, column: df._jdf.queryExecution().optimizedPlan().collectLeaves().mkString("\n").count(column + "#")
+    assert len(held) == 1 and leaves(held[0], "l_quantity") == 1
+    assert leaves(out, "p_name") == 0 and leaves(out, "l_quantity") == 1 and leaves(out, "o_orderkey") == 3
+
+
+def test_merge_counters_are_those_of_two_passes(spark):
+    rows = spark.range(60).selectExpr("if(id % 3 = 0, null, if(id % 3 = 1, 'x', 'y')) continent", "id % 20 id", "cast(id % 4 as int) src_rank", "id seq")
+    every = rows.union(rows.filter("id < 5"))
+    counted = ingest.first_wins(every, ["continent", "id"], "src_rank", "seq", **ingest.read_counts())
+    meta = spark.createDataFrame([(k,) for k in range(0, 20, 3)], "id long")
+    got = ingest.merge_counters(ingest.left_join(counted, meta))
+    want = ingest.match_counters(every.filter("continent is not null"), ingest.left_join(ingest.first_wins(every, ["continent", "id"], "src_rank", "seq"), meta))
+    assert sorted(got.filter("continent is not null").collect()) == sorted(want.collect()) and got.columns == want.columns
+
+
 def square(x, y, w):
     return [(x, y), (x + w, y), (x + w, y + w), (x, y + w), (x, y)]
 
