@@ -10,7 +10,8 @@ window, with an embedding of each class for each place; the word follows by its
 Documents are coded once, in chunks: a chunk has the ids of its words and asks for each of its
 different words once, so a word that is everywhere has one row a chunk, and no key is hot.  The
 network is trained in numpy inside the tasks: each runs through its own chunks from the same start,
-and the weights are averaged by how many words they have seen, in rounds.  Sums of weights are
+and the weights are averaged by how many words they have seen, in rounds.  Words with equal classes
+around them are brought together, as the network says the same of them.  Sums of weights are
 folded over partitions until a few are left, so the driver sees a bounded number of them.
 
 A document doesn't help to predict itself: its own occurrences are taken off a word's count.
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import itertools
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,6 +41,7 @@ HIDDEN = 24
 SMOOTH = 0.1
 _WORD = re.compile(rb"\S+")
 _DIGITS = frozenset(b"0123456789")
+_ONES = np.ones(CLASSES, np.float32)
 
 
 def words(text: str | None) -> list[bytes]:
@@ -99,24 +102,38 @@ def vocabulary(asked: DataFrame) -> DataFrame:
 
 def window(classes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Classes at PLACES around each word, EDGE outside its document: a row per word."""
-    n = len(classes)
-    ends = np.repeat(np.cumsum(sizes), sizes)
-    starts = ends - np.repeat(sizes, sizes)
+    n, ends = len(classes), np.cumsum(sizes)
     out = np.full((n, len(PLACES)), EDGE, np.uint8)
     for k, d in enumerate(PLACES):
-        at = np.arange(n) + d
-        inside = (at >= starts) & (at < ends)
-        out[inside, k] = classes[at[inside]]
+        left, right = max(-d, 0), max(d, 0)
+        if n > left + right:
+            out[left : n - right, k] = classes[right : n - left]
+        for j in range(left + right):  # these look over the edge of their document
+            at = ends - 1 - j if d > 0 else ends - sizes + j
+            out[at[sizes > j], k] = EDGE
     return out
 
 
+def alike(around: np.ndarray, piece: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the rows of around, equal rows side by side, and where each different row begins, and the
+    end; in pieces, to hold little at once."""
+    for low in range(0, len(around), piece):
+        some = np.ascontiguousarray(around[low : low + piece]).view(np.uint32).ravel().astype(np.uint64)
+        some <<= np.uint64(32)
+        some |= np.arange(low, low + len(some), dtype=np.uint64)
+        some.sort()
+        at = (some & np.uint64((1 << 32) - 1)).astype(np.int64)
+        some >>= np.uint64(32)
+        yield at, np.concatenate([[0], np.flatnonzero(some[1:] != some[:-1]) + 1, [len(some)]])
+
+
 @dataclass
 class Network:
-    """Embeddings [place, class, hidden], output weights [hidden, class] and bias [class]."""
+    """Embeddings [place, class, hidden] and output weights [hidden + 1, class], of which the last row
+    is the bias."""
 
     inner: np.ndarray
     outer: np.ndarray
-    bias: np.ndarray
 
     @classmethod
     def start(cls, totals: np.ndarray, seed: int = 5) -> Network:
@@ -124,87 +141,120 @@ class Network:
         inner = 0.1 * rng.standard_normal((len(PLACES), CLASSES + 1, HIDDEN))
         outer = 0.1 * rng.standard_normal((HIDDEN, CLASSES))
         prior = np.log((totals + 1) / (totals.sum() + CLASSES))
-        return cls(inner.astype(np.float32), outer.astype(np.float32), prior.astype(np.float32))
+        return cls(inner.astype(np.float32), np.vstack([outer, prior]).astype(np.float32))
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.inner.ravel(), self.outer.ravel(), self.bias])
+        return np.concatenate([self.inner.ravel(), self.outer.ravel()])
 
     @classmethod
     def of(cls, flat: np.ndarray) -> Network:
-        a, b = len(PLACES) * (CLASSES + 1) * HIDDEN, HIDDEN * CLASSES
-        flat = flat.astype(np.float32)
-        return cls(flat[:a].reshape(len(PLACES), CLASSES + 1, HIDDEN), flat[a : a + b].reshape(HIDDEN, CLASSES), flat[a + b :])
+        at, flat = len(PLACES) * (CLASSES + 1) * HIDDEN, flat.astype(np.float32)
+        return cls(flat[:at].reshape(len(PLACES), CLASSES + 1, HIDDEN), flat[at:].reshape(HIDDEN + 1, CLASSES))
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
-        return np.tanh(sum(self.inner[k][around[:, k]] for k in range(len(PLACES))))
+        """The hidden layer of each row, and a column of ones for the bias."""
+        total = self.inner[0].take(around[:, 0], axis=0)
+        for k in range(1, len(PLACES)):
+            total += self.inner[k].take(around[:, k], axis=0)
+        out = np.ones((len(around), HIDDEN + 1), np.float32)
+        np.tanh(total, out=out[:, :HIDDEN])
+        return out
 
     def own_logp(self, around: np.ndarray, own: np.ndarray, block: int = 1024) -> np.ndarray:
-        """log P of each word's own class, in blocks that stay in the processor's cache."""
+        """log P of each word's own class.  What words with equal classes around them share is computed
+        once, in blocks that stay in the processor's cache."""
         out = np.empty(len(own))
-        for at in range(0, len(own), block):
-            z = self.hidden(around[at : at + block]) @ self.outer
-            z += self.bias
-            z -= z.max(axis=1, keepdims=True)
-            mine = z[np.arange(len(z)), own[at : at + block]]
-            out[at : at + block] = mine - np.log(np.exp(z, out=z).sum(axis=1))
+        for at, bounds in alike(around):
+            for k in range(0, len(bounds) - 1, block):
+                some = bounds[k : k + block + 1]
+                z, here = self.hidden(around[at[some[:-1]]]) @ self.outer, at[some[0] : some[-1]]
+                z -= z.max(axis=1, keepdims=True)
+                row = np.repeat(np.arange(len(z)), np.diff(some))
+                mine = z[row, own[here]]
+                out[here] = mine - np.log(np.exp(z, out=z) @ _ONES)[row]
         return out
 
     def logp(self, around: np.ndarray) -> np.ndarray:
-        """log P(class) for each row of classes around a word."""
-        z = self.hidden(around) @ self.outer + self.bias
+        """log P(class) for each row of classes around a word, in double precision."""
+        z = self.hidden(around).astype(np.float64) @ self.outer
         z -= z.max(axis=1, keepdims=True)
         return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
 class Trainer:
-    """Adam on batches of (classes around, own class)."""
+    """Adam on batches of (classes around, own classes of the words there, how many those are)."""
 
     def __init__(self, net: Network, rate: float = 0.01):
         self.net, self.rate, self.t = Network.of(net.flat().copy()), rate, 0
-        parts = (self.net.inner, self.net.outer, self.net.bias)
+        parts = (self.net.inner, self.net.outer)
         self.m, self.v = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
 
-    def step(self, around: np.ndarray, own: np.ndarray) -> None:
-        net, n = self.net, len(own)
+    def gradients(self, around: np.ndarray, own: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the words' mean -log P, by inner and outer.  Exponentials go through the products as they
+        are; their sums divide the narrow sides."""
+        net, row = self.net, np.repeat(np.arange(len(times)), times)
         h = net.hidden(around)
         p = h @ net.outer
-        p += net.bias
-        p -= p.max(axis=1, keepdims=True)
+        if np.abs(net.outer).sum(axis=0).max() > 60:  # h is within -1 and 1, so exp and its sums hold what is less
+            p -= p.max(axis=1, keepdims=True)
         np.exp(p, out=p)
-        p *= 1 / (n * p.sum(axis=1, keepdims=True))
-        p[np.arange(n), own] -= np.float32(1 / n)
-        back = (p @ net.outer.T) * (1 - h * h)
+        each = (p @ _ONES) / times.astype(np.float32)
+        np.subtract.at(p.reshape(-1), row * CLASSES + own, each[row])
+        each *= len(own)
+        back = p @ net.outer[:HIDDEN].T
+        back *= (1 - h[:, :HIDDEN] ** 2) / each[:, None]
         inner = np.zeros_like(net.inner)
         for k in range(len(PLACES)):  # sums of back by class
-            by = np.argsort(around[:, k], kind="stable")
-            some, first = np.unique(around[by, k], return_index=True)
-            inner[k][some] = np.add.reduceat(back[by], first)
+            seen = np.bincount(around[:, k], minlength=CLASSES + 1)
+            some, by = np.flatnonzero(seen), np.argsort(around[:, k], kind="stable")
+            inner[k][some] = np.add.reduceat(back.take(by, axis=0), (np.cumsum(seen) - seen)[some])
+        h /= each[:, None]
+        return inner, (p.T @ h).T
+
+    def step(self, around: np.ndarray, own: np.ndarray, times: np.ndarray) -> None:
         self.t += 1
-        for part, g, m, v in zip((net.inner, net.outer, net.bias), (inner, h.T @ p, p.sum(axis=0)), self.m, self.v):
+        for part, g, m, v in zip((self.net.inner, self.net.outer), self.gradients(around, own, times), self.m, self.v):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             part -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)
 
 
 def share(n: int, turn: int, every: int) -> np.ndarray:
-    """Which of a chunk's n words a round takes: one in `every`, in no order; `every` rounds take each once."""
+    """Which of a chunk's n bunches a round takes: one in `every`, in no order; `every` rounds take each once."""
     return np.random.default_rng(n).permutation(n)[turn % every :: every]
 
 
+def bunches(bounds: np.ndarray, most: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Where bunches begin and how many words they have: runs between bounds, cut to `most` words, so that
+    a frequent run goes to many batches."""
+    sizes = np.diff(bounds)
+    parts = -(-sizes // most)
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    return np.repeat(bounds[:-1], parts) + nth * most, np.minimum(np.repeat(sizes, parts) - nth * most, most)
+
+
 def train(classed: DataFrame, net: Network, rounds: int = 2, every: int = 2, batch: int = 2048, few: int = 32) -> Network:
-    """The network after `rounds` of averaging.  A round's gradients take one word in `every` of each
-    chunk, others in each round, so with as many rounds every word of the corpus takes part once."""
+    """The network after `rounds` of averaging.  A round's gradients take one in `every` of each chunk's
+    bunches, others in each round, so with as many rounds every word of the corpus takes part once.  A
+    bunch is a few words with equal classes around them, for which the network is run once; a batch has
+    as many bunches as make `batch` words."""
 
     def run(batches, turn, start):
         trainer, seen = Trainer(Network.of(start)), 0
-        for at in batches:
-            for row in at.to_pylist():
-                own, sizes = np.frombuffer(row["classes"], np.uint8), np.array(row["sizes"], np.int64)
-                around, mine = window(own, sizes), share(len(own), turn, every)
-                for k in range(0, len(mine), batch):
-                    some = mine[k : k + batch]
-                    trainer.step(around[some], own[some])
-                seen += len(mine)
+        for row in itertools.chain.from_iterable(b.to_pylist() for b in batches):
+            own, sizes = np.frombuffer(row["classes"], np.uint8), np.array(row["sizes"], np.int64)
+            around = window(own, sizes)
+            for at, bounds in alike(around):
+                first, times = bunches(bounds)
+                mine = share(len(first), turn, every)
+                first, times = first[mine], times[mine]
+                ends = np.cumsum(times)
+                cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, times.sum(), batch)), len(mine)))
+                for low, high in itertools.pairwise(cuts):
+                    n = times[low:high]
+                    words = np.repeat(first[low:high] - ends[low:high] + n, n) + np.arange(ends[low] - n[0], ends[high - 1])
+                    trainer.step(around[at[first[low:high]]], own[at[words]], n)
+                seen += int(times.sum())
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([(trainer.net.flat().astype(np.float64) * seen).tobytes()])], names=["seen", "sums"])
 

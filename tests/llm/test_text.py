@@ -299,6 +299,42 @@ def test_lm_trains_on_every_word():
         assert {*np.concatenate([lm.share(n, turn, every) for turn in range(rounds)])} == {*range(n)}
 
 
+def test_lm_runs_the_network_once_for_equal_windows(monkeypatch):
+    """Right scores and gradients with one row of the network a different window, or bunch of words."""
+    rng = np.random.default_rng(4)
+    net = lm.Network.start(rng.integers(0, 1000, lm.CLASSES))
+    own = np.concatenate([rng.integers(0, lm.CLASSES, 300), np.tile(rng.integers(0, lm.CLASSES, 10), 90)]).astype(np.uint8)
+    around = lm.window(own, np.array([1, 0, 299, 900]))
+    plain, different = net.logp(around), len(np.unique(around, axis=0))
+    rows, hidden = [], lm.Network.hidden
+    monkeypatch.setattr(lm.Network, "hidden", lambda self, around: rows.append(len(around)) or hidden(self, around))
+    assert np.allclose(net.own_logp(around, own), plain[np.arange(len(own)), own], atol=1e-5)
+    assert sum(rows) == different < 320
+
+    ((at, bounds),) = lm.alike(around)
+    first, times = lm.bunches(bounds)
+    words = at[np.concatenate([np.arange(f, f + n) for f, n in zip(first, times)])]
+    assert sorted(words) == [*range(len(own))] and max(times) == 4 and len(times) < 560
+    inner, outer = lm.Trainer(net).gradients(around[at[first]], own[words], times)
+    assert sum(rows) == different + len(times)
+    miss = (np.exp(plain) - np.eye(lm.CLASSES)[own]) / len(own)
+    h = hidden(net, around).astype(float)
+    back, want = (miss @ net.outer[:-1].T) * (1 - h[:, :-1] ** 2), np.zeros(inner.shape)
+    for k in range(len(lm.PLACES)):
+        np.add.at(want[k], around[:, k], back)
+    assert np.allclose(outer, h.T @ miss, atol=1e-6) and np.allclose(inner, want, atol=1e-6)
+    huge = lm.Trainer(lm.Network(net.inner * 100, net.outer * 100))  # exp alone would overflow
+    assert all(np.isfinite(g).all() for g in huge.gradients(around[at[first]], own[words], times))
+
+
+def test_lm_windows_of_short_documents():
+    own, sizes = np.arange(9, dtype=np.uint8), np.array([1, 0, 2, 1, 5])
+    docs = np.split(own, np.cumsum(sizes)[:-1])
+    want = [[d[i + k] if 0 <= i + k < len(d) else lm.EDGE for k in lm.PLACES] for d in docs for i in range(len(d))]
+    assert lm.window(own, sizes).tolist() == want
+    assert lm.window(own[:1], sizes[:1]).tolist() == [[lm.EDGE] * 4] and lm.window(own[:0], sizes[:0]).shape == (0, 4)
+
+
 def test_lm_sets_apart_documents_that_occur_twice(spark):
     rng = np.random.default_rng(2)
     new = lambda: " ".join("".join(rng.choice(list("abcdefgh"), 7)) for _ in range(60))
