@@ -233,6 +233,20 @@ def bunches(bounds: np.ndarray, most: int = 4) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(bounds[:-1], parts) + nth * most, np.minimum(np.repeat(sizes, parts) - nth * most, most)
 
 
+def drawn(at: np.ndarray, bounds: np.ndarray, turn: int, every: int, batch: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """A round's batches of what alike gives: the place of one word of each bunch, those of all its words,
+    and how many these are."""
+    first, times = bunches(bounds)
+    mine = share(len(first), turn, every)
+    first, times = first[mine], times[mine]
+    ends = np.cumsum(times)
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, times.sum(), batch)), len(mine)))
+    for low, high in itertools.pairwise(cuts):
+        some, n = first[low:high], times[low:high]
+        run = np.repeat(some - ends[low:high] + n, n) + np.arange(ends[low] - n[0], ends[high - 1])
+        yield at[some], at[run], n
+
+
 def train(classed: DataFrame, net: Network, rounds: int = 2, every: int = 2, batch: int = 2048, few: int = 32) -> Network:
     """The network after `rounds` of averaging.  A round's gradients take one in `every` of each chunk's
     bunches, others in each round, so with as many rounds every word of the corpus takes part once.  A
@@ -245,16 +259,9 @@ def train(classed: DataFrame, net: Network, rounds: int = 2, every: int = 2, bat
             own, sizes = np.frombuffer(row["classes"], np.uint8), np.array(row["sizes"], np.int64)
             around = window(own, sizes)
             for at, bounds in alike(around):
-                first, times = bunches(bounds)
-                mine = share(len(first), turn, every)
-                first, times = first[mine], times[mine]
-                ends = np.cumsum(times)
-                cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, times.sum(), batch)), len(mine)))
-                for low, high in itertools.pairwise(cuts):
-                    n = times[low:high]
-                    words = np.repeat(first[low:high] - ends[low:high] + n, n) + np.arange(ends[low] - n[0], ends[high - 1])
-                    trainer.step(around[at[first[low:high]]], own[at[words]], n)
-                seen += int(times.sum())
+                for one, every_word, times in drawn(at, bounds, turn, every, batch):
+                    trainer.step(around[one], own[every_word], times)
+                    seen += len(every_word)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([(trainer.net.flat().astype(np.float64) * seen).tobytes()])], names=["seen", "sums"])
 

@@ -327,6 +327,19 @@ def test_lm_runs_the_network_once_for_equal_windows(monkeypatch):
     assert all(np.isfinite(g).all() for g in huge.gradients(around[at[first]], own[words], times))
 
 
+def test_lm_batches_have_every_word_once():
+    rng = np.random.default_rng(6)
+    for n in (1, 3, 2000):
+        around = lm.window(rng.integers(0, 3, n).astype(np.uint8), np.array([n]))
+        pieces = [*lm.alike(around, piece=700)]
+        assert sorted(np.concatenate([at for at, _ in pieces])) == [*range(n)]
+        for batch in (1, 50):
+            took = [b for at, bounds in pieces for turn in range(2) for b in lm.drawn(at, bounds, turn, 2, batch)]
+            assert sorted(np.concatenate([words for _, words, _ in took])) == [*range(n)]
+            for one, words, times in took:
+                assert (np.repeat(around[one], times, axis=0) == around[words]).all() and len(words) < batch + 4
+
+
 def test_lm_windows_of_short_documents():
     own, sizes = np.arange(9, dtype=np.uint8), np.array([1, 0, 2, 1, 5])
     docs = np.split(own, np.cumsum(sizes)[:-1])
