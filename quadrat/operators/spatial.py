@@ -40,68 +40,76 @@ def _above(x: str, y: str) -> str:
     return f"(CASE WHEN e.ay = e.by THEN {side} < 0 WHEN e.bx > e.ax THEN {side} <= 0 ELSE {side} > 0 END)"
 
 
-def edges_of(polygons: DataFrame, keys: list[str]) -> DataFrame:
-    """Polygons' `keys, _key, _n, minx, miny, maxx, maxy, e`, a row for each edge of their rings, from its
-    lower to its upper end.  _key is of the shape, so equal polygons are one; _n is its edges.  Rings that
-    don't end where they begin are closed; without an area they are still edges, which points can be on.
-    Polygons without rings, or with a coordinate that isn't a finite number, are left out."""
+def outlines(polygons: DataFrame, tile: float, most: int, keys: list[str]) -> DataFrame:
+    """Polygons' `keys, _key, rings, minx, miny, maxx, maxy, _root, _leaf`, a row for each different shape, with its
+    box and its coarsest and finest level.  _key is of the shape, so equal polygons are one.  Rings that don't end
+    where they begin are closed; without an area they still have edges, which points can be on.  Polygons
+    without edges, or with a coordinate that isn't a finite number, are left out."""
     shut = "transform(rings, r -> if(size(r) > 0 AND r[0] <> r[size(r) - 1], concat(r, array(r[0])), r))"
-    sound = "forall(flatten(rings), p -> p.x IS NOT NULL AND p.y IS NOT NULL AND abs(p.x) < double('inf') AND abs(p.y) < double('inf') AND NOT isnan(p.x) AND NOT isnan(p.y))"
-    closed = polygons.filter(sound).withColumn("rings", F.expr(shut)).withColumn("_key", F.struct(F.xxhash64("rings").alias("a"), F.xxhash64(F.lit(1), "rings").alias("b")))
-    whole = closed.select(*keys, "_key", "rings").dropDuplicates([*keys, "_key"])
-    n = whole.withColumn("_n", F.expr("aggregate(rings, 0, (a, r) -> a + greatest(size(r) - 1, 0))"))
-    pairs = n.select(*keys, "_key", "_n", F.explode("rings").alias("r")).filter("size(r) > 1").select(*keys, "_key", "_n", F.explode(F.expr("transform(sequence(1, size(r) - 1), i -> struct(r[i - 1] AS p, r[i] AS q))")).alias("l"))
-    up = F.expr("if(l.p.y < l.q.y OR (l.p.y = l.q.y AND l.p.x <= l.q.x), struct(l.p.x AS ax, l.p.y AS ay, l.q.x AS bx, l.q.y AS by), struct(l.q.x AS ax, l.q.y AS ay, l.p.x AS bx, l.p.y AS by))")
-    return pairs.select(*keys, "_key", "_n", up.alias("e"))
-
-
-def framed(polygons: DataFrame, tile: float, most: int, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Edges, and a row for each polygon with its box and its coarsest and finest level, _root and _leaf."""
-    edges = edges_of(polygons, keys)
-    box = edges.groupBy(*keys, "_key").agg(F.min(F.least("e.ax", "e.bx")).alias("minx"), F.max(F.greatest("e.ax", "e.bx")).alias("maxx"), F.min("e.ay").alias("miny"), F.max("e.by").alias("maxy"), F.first("_n").alias("_n"))
-    finer = F.ceil(F.log(4.0, F.greatest(F.col("_n") / F.lit(4.0 * FEW * 8), F.lit(1.0)))).cast("int")
+    closed = polygons.select(*keys, F.expr(shut).alias("rings"))
+    whole = closed.select(*keys, F.struct(F.xxhash64("rings").alias("a"), F.xxhash64(F.lit(1), "rings").alias("b")).alias("_key"), "rings").dropDuplicates([*keys, "_key"])
+    x, y = F.flatten("rings").getField("x"), F.flatten("rings").getField("y")
+    bad = F.array(*[F.lit(float(v)) for v in ("inf", "-inf", "nan")])
+    sound = whole.filter(~F.arrays_overlap(x, bad) & ~F.arrays_overlap(y, bad)).withColumn("rings", F.expr("filter(rings, r -> size(r) > 1)"))  # a null among them makes arrays_overlap null
+    box = sound.select(*keys, "_key", "rings", F.array_min(x).alias("minx"), F.array_max(x).alias("maxx"), F.array_min(y).alias("miny"), F.array_max(y).alias("maxy")).filter("minx IS NOT NULL")
+    finer = F.ceil(F.log(4.0, F.greatest((F.size(x) - F.size("rings")) / F.lit(4.0 * FEW * 8), F.lit(1.0)))).cast("int")
     n = lambda lo, hi, k: F.floor(F.col(hi) / F.lit(tile * 4.0**k)).cast("double") - F.floor(F.col(lo) / F.lit(tile * 4.0**k)).cast("double") + 1
     fits = [F.when(n("minx", "maxx", k) * n("miny", "maxy", k) <= most, F.lit(k)) for k in LEVELS]
-    fit = F.coalesce(*fits, F.lit(LEVELS[-1]))
-    leaf = F.when(F.col("_n") > 4 * FEW, F.least("_root", fit - finer)).otherwise(F.col("_root"))
-    return edges, box.withColumn("_root", F.greatest(fit, F.lit(0))).withColumn("_leaf", leaf)
+    fit = box.withColumns({"_fit": F.coalesce(*fits, F.lit(LEVELS[-1])), "_finer": finer, "_many": F.size(x) - F.size("rings") > 4 * FEW}).withColumn("_root", F.greatest("_fit", F.lit(0)))
+    return fit.withColumn("_leaf", F.when(F.col("_many"), F.least("_root", F.col("_fit") - F.col("_finer"))).otherwise(F.col("_root"))).drop("_fit", "_finer", "_many")
+
+
+def edges_of(rows: DataFrame, *carried: str) -> DataFrame:
+    """`carried, e`: a row for each edge of the rings, from its lower to its upper end."""
+    rings = rows.select(*carried, F.explode("rings").alias("r"))
+    pairs = rings.select(*carried, F.explode(F.expr("arrays_zip(slice(r, 1, size(r) - 1), slice(r, 2, size(r) - 1))")).alias("l"))
+    ends = pairs.select(*carried, F.col("l.`0`").alias("p"), F.col("l.`1`").alias("q"))
+    up = F.expr("if(p.y < q.y OR (p.y = q.y AND p.x <= q.x), struct(p.x AS ax, p.y AS ay, q.x AS bx, q.y AS by), struct(q.x AS ax, q.y AS ay, p.x AS bx, p.y AS by))")
+    return ends.select(*carried, up.alias("e"))
 
 
 def clipped(polygons: DataFrame, tile: float, most: int = 64, keys: list[str] | None = None) -> DataFrame:
     """`keys, _key, _l, _tx, _ty, edges, odd`: the tiles that polygons (kind, year, rings) cover or cross,
     the edges that cross a tile, and whether its lower left corner is inside.
 
-    Rows are as many as edges times levels, however large the polygon; only the edges of a single tile
-    of the finest level are held together, and those of one row of corners are counted in order."""
+    Edges meet the tiles of the finest level only: a tile over them is crossed if one in it is, and its corner is one
+    of theirs, as sides are powers of four of one another.  Only the edges of a single tile of the finest level
+    are held together, and those of one row of corners are counted in order."""
     keys = keys or ["kind", "year"]
     ids = [*keys, "_key"]
-    edges, root = framed(polygons, tile, most, keys)
-    side = F.lit(tile) * F.pow(F.lit(4.0), F.col("_l"))
-    levels = edges.drop("_n").join(root.select(*ids, "_root", "_leaf"), ids).withColumn("_l", F.explode(F.sequence("_leaf", "_root"))).withColumn("_s", side)
+    place = [*ids, "_l", "_ty", "_tx"]
+    rows = outlines(polygons, tile, most, keys)
+    side = lambda level: F.lit(tile) * F.pow(F.lit(4.0), F.col(level))
+    edges = edges_of(rows.withColumn("_s", side("_leaf")), *ids, "_leaf", "_root", "_s")
 
     # tiles that an edge crosses, row by row; a hair wider, which does no harm
-    hair = "_s * 1e-9D + (abs(e.ax) + abs(e.bx) + abs(e.ay) + abs(e.by)) * 1e-15D"
-    rows = levels.withColumn("_ty", F.explode(F.expr(f"sequence(floor((e.ay - ({hair})) / _s), floor((e.by + ({hair})) / _s))")))
+    wide = edges.withColumn("_h", F.expr("_s * 1e-9D + (abs(e.ax) + abs(e.bx) + abs(e.ay) + abs(e.by)) * 1e-15D"))
+    met = wide.withColumn("_ty", F.explode(F.expr("sequence(floor((e.ay - _h) / _s), floor((e.by + _h) / _s))")))
     at = lambda y: f"if(e.by = e.ay, {{0}}, least(greatest(e.ax + (e.bx - e.ax) * coalesce(try_divide(greatest(least({y}, e.by), e.ay) - e.ay, e.by - e.ay), 0D), least(e.ax, e.bx)), greatest(e.ax, e.bx)))"
     lo, hi = at("_ty * _s").format("e.ax"), at("(_ty + 1) * _s").format("e.bx")
-    met = rows.withColumn("_tx", F.explode(F.expr(f"sequence(floor((least({lo}, {hi}) - ({hair})) / _s), floor((greatest({lo}, {hi}) + ({hair})) / _s))")))
-    crossed = met.select(*ids, "_l", "_tx", "_ty", F.when(F.col("_l") == F.col("_leaf"), F.col("e")).alias("e"), F.lit(1).alias("on"), "_leaf")
+    met = met.withColumns({"_lo": F.expr(lo), "_hi": F.expr(hi)}).withColumn("_tx", F.explode(F.expr("sequence(floor((least(_lo, _hi) - _h) / _s), floor((greatest(_lo, _hi) + _h) / _s))")))
+    crossed = met.select(*ids, "_leaf", "_root", "_ty", "_tx", "e")
+    tiles = crossed.withColumnRenamed("_leaf", "_l").groupBy(*place).agg(F.collect_list("e").alias("edges"))
 
     # tiles beside them: those of the box on the coarsest level, and on finer ones those of a crossed tile
-    none, step = F.lit(None).cast(crossed.schema["e"].dataType), F.array(*[F.lit(k).cast("long") for k in range(4)])
-    below = crossed.filter("_l > _leaf").select(*ids, "_l", "_tx", "_ty", "_leaf").distinct()
-    below = below.select(*ids, (F.col("_l") - 1).alias("_l"), F.col("_tx"), F.explode(F.transform(step, lambda k: F.col("_ty") * 4 + k)).alias("_ty"), "_leaf").withColumn("_tx", F.explode(F.transform(step, lambda k: F.col("_tx") * 4 + k)))
-    tops = root.withColumn("_l", F.col("_root")).withColumn("_s", side)
-    tops = tops.withColumn("_tx", F.explode(F.expr("sequence(floor(minx / _s), floor(maxx / _s))"))).withColumn("_ty", F.explode(F.expr("sequence(floor(miny / _s), floor(maxy / _s))")))
-    beside = tops.select(*ids, "_l", "_tx", "_ty", "_leaf").unionByName(below).select(*ids, "_l", "_tx", "_ty", none.alias("e"), F.lit(0).alias("on"), "_leaf")
-    tiles = crossed.unionByName(beside).groupBy(*ids, "_l", "_ty", "_tx").agg(F.collect_list("e").alias("edges"), F.max("on").alias("on"), F.first("_leaf").alias("_leaf")).filter("on = 0 or _l = _leaf")
+    up = crossed.drop("e").distinct().withColumn("_k", F.explode(F.expr("sequence(0, _root - _leaf)")))
+    over = up.select(*ids, "_leaf", (F.col("_leaf") + F.col("_k")).alias("_l"), *[F.expr(f"shiftright({c}, 2 * _k)").alias(c) for c in ("_ty", "_tx")]).distinct()
+    below = "flatten(transform(sequence(0L, 3L), i -> transform(sequence(0L, 3L), j -> struct(_l - 1 AS l, _ty * 4 + i AS y, _tx * 4 + j AS x, 0 AS on))))"
+    near = over.withColumn("n", F.explode(F.expr(f"concat(array(struct(_l AS l, _ty AS y, _tx AS x, 1 AS on)), if(_l > _leaf, {below}, array()))")))
+    tops = rows.withColumn("_l", F.col("_root")).withColumn("_s", side("_l"))
+    tops = tops.withColumn("_ty", F.explode(F.expr("sequence(floor(miny / _s), floor(maxy / _s))"))).withColumn("_tx", F.explode(F.expr("sequence(floor(minx / _s), floor(maxx / _s))")))
+    beside = tops.select(*place, F.lit(0).alias("on")).unionByName(near.select(*ids, *[F.col(f"n.{c[-1]}").alias(c) for c in ("_l", "_ty", "_tx")], "n.on"))
+    free = beside.groupBy(*place).agg(F.max("on").alias("on")).filter("on = 0").select(*place)
 
     # corners: how many edges cross the row of corners to the right of each
-    line = levels.withColumn("_ty", F.explode(F.expr("sequence(floor(e.ay / _s), floor(e.by / _s) + 1)"))).withColumn("_y", F.col("_ty") * F.col("_s")).filter("e.ay <= _y and _y < e.by")
+    line = edges.withColumn("_ty", F.explode(F.expr("sequence(floor(e.ay / _s), floor(e.by / _s) + 1)"))).withColumn("_y", F.col("_ty") * F.col("_s")).filter("e.ay <= _y and _y < e.by")
     about = line.withColumn("_t", F.floor((F.expr("e.ax + (e.bx - e.ax) * try_divide(_y - e.ay, e.by - e.ay)")) / F.col("_s")))
     last = "_t - 2" + "".join(f" + cast({_right(f'((_t + ({k})) * _s)', '_y')} AS int)" for k in (-1, 0, 1))
-    ends = about.select(*ids, "_l", "_ty", F.expr(last).alias("_tx")).groupBy(*ids, "_l", "_ty", "_tx").agg(F.count("*").alias("c"))
-    both = tiles.select(*ids, "_l", "_ty", "_tx", "edges", F.lit(0).cast("long").alias("c")).unionByName(ends.withColumn("edges", F.lit(None).cast(tiles.schema["edges"].dataType)))
+    least = about.select(*ids, "_leaf", "_root", "_ty", F.expr(last).alias("_tx")).groupBy(*ids, "_leaf", "_root", "_ty", "_tx").agg(F.count("*").alias("c"))
+    upper = least.withColumn("_k", F.explode(F.expr("sequence(0, _root - _leaf)"))).filter("_ty = shiftleft(shiftright(_ty, 2 * _k), 2 * _k)")
+    ends = upper.select(*ids, (F.col("_leaf") + F.col("_k")).alias("_l"), *[F.expr(f"shiftright({c}, 2 * _k)").alias(c) for c in ("_ty", "_tx")], "c").groupBy(*place).agg(F.sum("c").alias("c"))
+    kind, zero = tiles.schema["edges"].dataType, F.lit(0).cast("long").alias("c")
+    both = tiles.select(*place, "edges", zero).unionByName(free.select(*place, F.array().cast(kind).alias("edges"), zero)).unionByName(ends.select(*place, F.lit(None).cast(kind).alias("edges"), "c"))
     along = Window.partitionBy(*ids, "_l", "_ty").orderBy(F.desc("_tx"), F.desc("c")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     odd = both.withColumn("odd", F.sum("c").over(along) % 2 == 1).filter("edges is not null")
     return odd.filter("odd or size(edges) > 0").select(*ids, "_l", "_tx", "_ty", "edges", "odd")
@@ -131,13 +139,15 @@ def met(points: DataFrame, polygons: DataFrame, tile: float, by_year: bool, most
     """
     keys = ["kind", "year"] if by_year else ["kind"]
     tiles = clipped(polygons, tile, most, keys)
-    tiles = needed(tiles, keys).hint("merge")  # tiles hold edges: never all of them in the driver or in one task
-    used = framed(polygons, tile, most, keys)[1].select(F.explode(F.sequence("_leaf", "_root")).alias("_l")).agg(F.collect_set("_l").alias("_used"))
+    tiles = needed(tiles, keys)  # joined by merging: tiles hold edges: never all of them in the driver or in one task
+    used = outlines(polygons, tile, most, keys).select(F.explode(F.sequence("_leaf", "_root")).alias("_l")).agg(F.collect_set("_l").alias("_used"))
     placed = points.select("pid", "x", "y", "year").filter(finite(F.col("x")).isNotNull() & finite(F.col("y")).isNotNull())
     held = placed.crossJoin(F.broadcast(used)).withColumn("_l", F.explode("_used")).drop("_used")
     side = F.lit(tile) * F.pow(F.lit(4.0), F.col("_l"))
-    held = held.withColumn("_s", side).withColumns({"_tx": F.floor(F.col("x") / F.col("_s")), "_ty": F.floor(F.col("y") / F.col("_s"))})
-    pairs = held.join(tiles, ["_l", "_tx", "_ty", *(["year"] if by_year else [])])
+    held = held.withColumn("_s", side).withColumns({"_tx": F.floor(F.col("x") / F.col("_s")), "_ty": F.floor(F.col("y") / F.col("_s"))}).drop("_s")
+    at = ["_l", "_tx", "_ty", *(["year"] if by_year else [])]
+    hashed = lambda rows: rows.withColumn("_at", F.xxhash64(*at))  # noqa: E731  # first of the keys, so that sorting seldom looks at the others
+    pairs = hashed(held).join(hashed(tiles).hint("merge"), ["_at", *at]).withColumn("_s", side)
     return pairs.filter((F.size("edges") == 0) | inside("x", "y", "(_tx * _s)", "(_ty * _s)")).select("pid", "kind")
 
 

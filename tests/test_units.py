@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quadrat import functions as fn
 from quadrat.operators import cells, ingest, labels, order, spatial, summaries, temporal
+from quadrat.plans import proxy
 from quadrat.sources import FIELDS, NamedFiles, bad_pages, bad_rows, csv_marked, csv_rows, existing, found, good_rows, json_pages, month_range, read_result, tagged_union, unnest, write_csv, write_result
 from quadrat.sources import shapefile as shp_files
 from quadrat.sources.shapefile import from_bytes
@@ -257,6 +258,47 @@ def test_clipped_tiles_are_the_whole_polygon(spark):
     assert sizes[8000][1] < 8000 * 4
 
 
+def made_by(df, operators):
+    """Rows that the physical operators of these names put out, all together."""
+    df.sparkSession.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = df.groupBy().count()
+        plan.collect()
+        nodes, rows = [plan._jdf.queryExecution().executedPlan()], 0
+        while nodes:
+            node = nodes.pop()
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+            if node.nodeName() in operators:
+                rows += node.metrics().apply("numOutputRows").value()
+        return rows
+    finally:
+        df.sparkSession.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_edges_meet_the_finest_tiles_only(spark):
+    """Clipping's rows don't grow with the levels of tiles, of which a polygon of many edges has several."""
+    ring = [(3 * math.cos(2 * math.pi * k / 8000), 3 * math.sin(2 * math.pi * k / 8000)) for k in range(8000)]
+    polygons = polygon_frame(spark, [("k", 2015, 1, [ring], 0.0, 0.0, 0.0, 0.0)])
+    levels = spatial.clipped(polygons, 0.1).select("_l").distinct().count()
+    assert levels >= 4
+    assert made_by(spatial.clipped(polygons, 0.1), ["Generate"]) < 8000 * 14
+
+
+def test_unsound_outlines(spark):
+    rings = [[[(0.0, 0.0), (1.0, bad), (0.0, 2.0)]] for bad in (None, float("inf"), float("-inf"), float("nan"))] + [None, [], [[]], [None], [[(1.0, 1.0)]], [square(0.0, 0.0, 1.0), [(5.0, None)]]]
+    rows = [(f"k{i}", 2015, i, r, 0.0, 0.0, 0.0, 0.0) for i, r in enumerate([*rings, [square(0.0, 0.0, 1.0), [(50.0, 50.0)]], [[(0.0, 0.0), (1.0, 0.0), (0.0, 1.0)]]])]
+    found = spatial.outlines(polygon_frame(spark, rows), 1.0, 64, ["kind"]).select("kind", "minx", "miny", "maxx", "maxy").collect()
+    assert sorted(map(tuple, found)) == [("k10", 0.0, 0.0, 1.0, 1.0), ("k11", 0.0, 0.0, 1.0, 1.0)]
+
+
+def test_staircases_of_many_suppliers_are_drawn_once(spark, tmp_path):
+    """Keys 1,320 apart have the same place, size and kind; every other supplier has a polygon of its own."""
+    spark.range(60 * 1320).select(F.col("id").alias("s_suppkey")).coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    drawn = proxy.staircases(spark, str(tmp_path), steps=3)
+    assert drawn.count() == 1320 and drawn.select("kind", "rings").distinct().count() == 1320
+    assert drawn.rdd.getNumPartitions() > 1  # a drawing is far larger than its supplier
+
+
 def test_covered_tiles_and_no_broadcast(spark):
     """Where one polygon of a kind covers a tile the others of that kind aren't tested, and tiles, which hold
     edges, are never sent to the driver."""
